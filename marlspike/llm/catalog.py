@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing, simhash
 
 QUERIES = {
+    "op3_mix_sources": mixing.op3,
     "op8_decontaminate": decontaminate.op8,
+    "op9_simhash_dedup": simhash.op9,
 }
 
 ORACLES = {
