@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, digest, mixing, simhash, suffixes
 
 QUERIES = {
+    "op1_digest": digest.op1,
     "op3_mix_sources": mixing.op3,
+    "op7_suffix_dedup": suffixes.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_simhash_dedup": simhash.op9,
 }

@@ -61,3 +61,79 @@ def as_bytes(value) -> bytes:
     if value is None:
         return b""
     return value if isinstance(value, bytes) else value.encode("utf-8")
+
+
+def id_bounds(docs: DataFrame, id_col: str, parts: int) -> list:
+    """At most ``parts - 1`` ids present in ``docs`` that cut it into ranges of similar row counts, and the smallest id first."""
+    cuts = [k / parts for k in range(parts)]
+    row = docs.agg(F.percentile_approx(id_col, cuts, 20 * parts).alias("b"), F.min(id_col).alias("a")).first()
+    return sorted({row["a"], *(row["b"] or [])} - {None})
+
+
+def range_bucket(col, bounds: list):
+    """How many of the sorted ``bounds`` are at or below ``col`` (0 for null), by binary search."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    table = F.array(*[F.lit(b) for b in bounds])
+    found = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, F.least(at + step, F.lit(len(bounds))) - 1) <= col), at + step).otherwise(at),
+    )
+    return F.coalesce(found, F.lit(0))
+
+
+_TILE_BITS = 17
+_PLACE = np.uint32((1 << _TILE_BITS) - 1)
+
+
+def least_runs(keys, starts: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that share their least position, over texts laid end to end.
+
+    ``keys(a, b)`` gives 32-bit values of positions a to b - 1 (their high 15 bits
+    count); text k has ``counts[k]`` windows of ``width`` positions from
+    ``starts[k]`` on (``starts`` also has the end of all).  Of equal values the
+    leftmost is least.  Returns for each run the position and the first and last
+    window start, in order; runs do not cross texts.  Work goes in tiles that fit a
+    processor cache.
+    """
+    total = int(starts[-1])
+    some = counts > 0
+    step = np.zeros(total + 1, np.int8)
+    step[starts[:-1][some]] += 1
+    np.add.at(step, (starts[:-1] + counts)[some], -1)
+    valid = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+    breaks = np.zeros(total + 1, bool)
+    breaks[starts] = True
+    end = int((starts[:-1] + counts)[some].max()) if some.any() else 0
+    found = []
+    span = (1 << _TILE_BITS) - width
+    for t in range(0, end, span):
+        upto = min(t + span, end)
+        ok = valid[t:upto]
+        if not ok.any():
+            continue
+        key = keys(t, upto + width - 1)
+        key = (key & ~_PLACE) | np.arange(len(key), dtype=np.uint32)
+        d = 1
+        while d < width:
+            more = min(d, width - d)
+            key = np.minimum(key[: len(key) - more], key[more:])
+            d += more
+        place = (key & _PLACE).astype(np.int64) + t
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | ~ok[:-1] | breaks[t + 1 : upto]
+        new &= ok
+        first = np.flatnonzero(new)
+        stop = np.ones(len(place), bool)
+        stop[:-1] = new[1:] | ~ok[1:]
+        last = np.flatnonzero(stop & ok)
+        found.append((place[first], t + first, t + last))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    place, lo, hi = (np.concatenate(x) for x in zip(*found))
+    same = np.zeros(len(place), bool)  # a run cut by a tile's end goes on
+    same[1:] = (place[1:] == place[:-1]) & (lo[1:] == hi[:-1] + 1) & ~breaks[lo[1:]]
+    head = np.flatnonzero(~same)
+    return place[head], lo[head], hi[np.append(head[1:], len(place)) - 1]
