@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, digest, mixing, simhash, suffixes
+from . import decontaminate, digest, mixing, quality, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_digest": digest.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_mix_sources": mixing.op3,
+    "op5_quality": quality.op5,
     "op7_suffix_dedup": suffixes.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_simhash_dedup": simhash.op9,
