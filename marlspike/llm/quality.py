@@ -32,26 +32,36 @@ STRENGTHS = (0.02, 0.01, 0.005, 0.0025)
 FOLDS = 4
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text, by name; no language, source or id among them."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.length(text)
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    count = F.size(words)
-    per_char = lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0))
-    per_word = lambda x: F.coalesce(F.try_divide(x.cast("double"), count), F.lit(0.0))
-    return {
-        "log_words": F.log1p(count.cast("double")),
-        "word_length": per_word(n),
-        "distinct_words": per_word(F.size(F.array_distinct(words))),
-        "upper": per_char(F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))),
-        "digits": per_char(F.regexp_count(text, F.lit("[0-9]"))),
-        "stops": per_word(F.regexp_count(text, F.lit(r"[.!?…]"))),
-        "commas": per_word(F.regexp_count(text, F.lit(","))),
-        "marks": per_word(F.regexp_count(text, F.lit(r"[#$%&*|<>{}\[\]=_@^~\\/]"))),
-        "exclaims": per_word(F.regexp_count(text, F.lit("!"))),
-        "lines": per_word(F.regexp_count(text, F.lit("\n"))),
-    }
+#: What is counted in a text, and whether it is counted for each character or each word.
+COUNTED = {
+    "digits": ("[0-9]", "n"),
+    "stops": (r"[.!?…]", "count"),
+    "commas": (",", "count"),
+    "marks": (r"[#$%&*|<>{}\[\]=_@^~\\/]", "count"),
+    "exclaims": ("!", "count"),
+    "lines": ("\n", "count"),
+}
+STATISTICS = ["log_words", "word_length", "distinct_words", "upper", *COUNTED]
+
+
+def measured(rows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns and the statistics of a text column; no language, source or id among them.
+
+    Plain columns in steps, each of which Catalyst computes once: inside a struct, or
+    in one step, shared parts would be computed again for every use.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = rows.select(*keep, text.alias("_s_text"))
+    rows = rows.select(*keep, "_s_text", F.filter(F.split("_s_text", r"\s+"), lambda w: w != "").alias("_s_words"))
+    rows = rows.select(
+        *keep, F.length("_s_text").alias("_s_n"), F.size("_s_words").alias("_s_count"), F.size(F.array_distinct("_s_words")).alias("_s_distinct"),
+        F.length(F.regexp_replace("_s_text", r"[^\p{Lu}]+", "")).alias("_s_upper"), *[F.regexp_count("_s_text", F.lit(p)).alias(f"_s_{k}") for k, (p, _) in COUNTED.items()],
+    )
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(f"_s_{a}").cast("double"), F.col(f"_s_{b}")), F.lit(0.0))
+    return rows.select(
+        *keep, F.log1p(F.col("_s_count").cast("double")).alias("log_words"), share("n", "count").alias("word_length"), share("distinct", "count").alias("distinct_words"),
+        share("upper", "n").alias("upper"), *[share(k, by).alias(k) for k, (_, by) in COUNTED.items()],
+    )
 
 
 class Tree:
@@ -190,18 +200,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     """A model from a bounded sample of labelled rows."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, fold)).groupBy(id_col).agg(F.max(label).alias("_y"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    stats = statistics(F.col("_text"))
-    names = list(stats)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), F.col("_id") == known[id_col])
-    found = rows.select("_id", "_y", *[c.alias(n) for n, c in stats.items()]).orderBy("_id", *names).limit(2 * most).toPandas()
-    return train(found[names].to_numpy(float).reshape(-1, len(names)), found["_y"].to_numpy(float), names)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), F.col("_id") == known[id_col])
+    found = measured(rows, "_text", ["_id", "_y"]).orderBy("_id", *STATISTICS).limit(2 * most).toPandas()
+    return train(found[STATISTICS].to_numpy(float).reshape(-1, len(STATISTICS)), found["_y"].to_numpy(float), STATISTICS)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for each row."""
-    stats = statistics(F.col("_text"))
-    measured = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).select(F.col(id_col), F.struct(*[c.alias(n) for n, c in stats.items()]).alias("_s"))
-    return measured.select(F.col(id_col), model.column({n: F.col(f"_s.{n}") for n in stats}).alias("score"))
+    rows = measured(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", ["_id"])
+    return rows.select(F.col("_id").alias(id_col), model.column({n: F.col(n) for n in STATISTICS}).alias("score"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
