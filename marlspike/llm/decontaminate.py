@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import output
+
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
 
@@ -151,8 +153,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row for each row of ``docs``: id, n_words, hit runs in words, spans in code points, item ids met."""
     spark = docs.sparkSession
     blocks = [_Shared(spark, held) for held in _blocks(items, item_col, item_text_col, block_bytes)]
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, starts array<bigint>, ends array<bigint>, contaminated boolean"
+    out = output(docs, {id_col: id_col}, "n_words bigint, n_hit bigint, items array<string>, starts array<bigint>, ends array<bigint>, contaminated boolean")
 
     def read(batches):
         for batch in batches:

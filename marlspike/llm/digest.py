@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import id_bounds, least_runs, mix64, range_bucket, text_bytes
+from .shared import id_bounds, least_runs, mix64, output, range_bucket, text_bytes
 
 WINDOW = 32
 SPAN = 64
@@ -225,8 +226,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
         begins, F.array(F.struct(F.col("_home").alias("batch"), F.lit(False).alias("guest")), F.struct(before.alias("batch"), F.lit(True).alias("guest")))
     ).otherwise(F.array(F.struct(F.col("_home").alias("batch"), F.lit(False).alias("guest"))))
     dealt = placed.select(id_col, "_text", F.explode(to).alias("_to")).select(id_col, "_text", "_to.batch", "_to.guest")
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = output(docs, {id_col: id_col}, "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
     def digest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = list(zip(table.column("guest").to_pylist(), table.column(id_col).to_pylist(), (t or "" for t in table.column("_text").to_pylist())))
@@ -247,11 +247,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
             schema=out_schema,
         )
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out_schema = to_arrow_schema(docs.select(id_col).schema).append(pa.field("n_chars", pa.int64()))
-    for name, t in (("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())):
-        out_schema = out_schema.append(pa.field(name, t))
+    out_schema = to_arrow_schema(out)
     return dealt.groupBy("batch").applyInArrow(digest, out)
 
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import output, written
 
 BROADCAST_BYTES = 32 << 20
 HOSTS_HELD = 5000
@@ -377,7 +377,7 @@ def wrappers(pages: DataFrame, host_col: str = "_host", html_col: str = "_html",
                 held.clear()
         yield out()
 
-    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for text in sorted(pdf["wrapper"], key=lambda t: (-len(t), t)):
             whole = added(whole, Wrapper.load(json.loads(text)))
@@ -389,7 +389,6 @@ def wrappers(pages: DataFrame, host_col: str = "_host", html_col: str = "_html",
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) for every page."""
-    kind = pages.schema[id_col].dataType.simpleString()
     read = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"), host_of(F.col(url_col).cast("string")).alias("_host"))
     known = written(wrappers(read), "wrappers")
     size = known.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
@@ -407,7 +406,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(html, last.get(held)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
-    return joined.select("_id", "_url", "_html", "wrapper").mapInArrow(pull, f"`{id_col}` {kind}, `{url_col}` string, text string")
+    return joined.select("_id", "_url", "_html", "wrapper").mapInArrow(pull, output(pages, {id_col: id_col}, f"`{url_col}` string, text string"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

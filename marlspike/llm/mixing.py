@@ -120,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     shards = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
 
-    def quota(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def quota(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard", ignore_index=True)
         words = sainte_lague(pdf["shard_size"], int(pdf["seats"].iloc[0])) * block_words
         return pd.DataFrame({"sid": pdf["sid"], "shard": pdf["shard"], "shard_size": pdf["shard_size"], "quota": np.minimum(words, repeat * pdf["shard_size"])})

@@ -13,6 +13,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -137,3 +138,9 @@ def least_runs(keys, starts: np.ndarray, counts: np.ndarray, width: int) -> tupl
     same[1:] = (place[1:] == place[:-1]) & (lo[1:] == hi[:-1] + 1) & ~breaks[lo[1:]]
     head = np.flatnonzero(~same)
     return place[head], lo[head], hi[np.append(head[1:], len(place)) - 1]
+
+
+def output(df: DataFrame, columns: dict[str, str], ddl: str) -> T.StructType:
+    """A schema: columns of ``df`` under new names (name: column), then fields in DDL."""
+    kept = [T.StructField(name, df.schema[column].dataType, True) for name, column in columns.items()]
+    return T.StructType(kept + T.StructType.fromDDL(ddl).fields)

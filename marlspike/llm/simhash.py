@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import output, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -86,8 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [fingerprint(shingle_hashes(t or b"")) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=[id_col, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(read, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(read, output(docs, {id_col: id_col}, "fp bigint"))
 
 
 def segments(m: int) -> list[tuple[int, int]]:
@@ -174,7 +173,7 @@ def link_edges(nodes: DataFrame, n: int, radius: int = RADIUS, m: int | None = N
     for more in sent[1:]:
         rows = rows.unionByName(more)
 
-    def find(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shift, width = segments(m)[int(key[0]) >> 20]
         fp = pdf["fp"].to_numpy().view(np.uint64)
         label = _part_links(fp, pdf["mask"].to_numpy().view(np.uint64), shift, width, min(prefix, width), radius, most)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_bounds, least_runs, mix64, range_bucket, text_bytes
+from .shared import id_bounds, least_runs, mix64, output, range_bucket, text_bytes
 
 LENGTH = 100
 GRAM = 36
@@ -218,7 +218,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     batches = max(LEAST_BATCHES, -(-size // batch_bytes))
     parts = max(LEAST_BATCHES, -(-size // (PART_KEYS * 25)))
     bounds = id_bounds(docs, id_col, batches)
-    kind = docs.schema[id_col].dataType.simpleString()
     row = [F.struct(*carry).alias("_row")] if carry else []
     dealt = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *row, range_bucket(F.col(id_col), bounds).alias("_batch"))
     plain = dealt
@@ -268,8 +267,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
 
     one = judged(plain.groupBy("_batch").applyInArrow(first, blocks), 1)
     two = judged(plain.groupBy("_batch").cogroup(one.groupBy("batch")).applyInArrow(second, blocks), 2)
-    out = f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>"
-    out += ", kept string" * keep_text + (f", row {dealt.schema['_row'].dataType.simpleString()}" if carry else "")
+    out = output(docs, {id_col: id_col}, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>" + ", kept string" * keep_text)
+    if carry:
+        out = out.add("row", dealt.schema["_row"].dataType, True)
     return plain.groupBy("_batch").cogroup(one.union(two).groupBy("batch")).applyInArrow(last, out)
 
 

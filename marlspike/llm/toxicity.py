@@ -42,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import output
+
 DECAY = 0.6
 ORDERS = (3, 4)
 LONGEST = 24
@@ -339,7 +341,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, in
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def read(batches):
         for batch in batches:
@@ -347,7 +348,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             got = [x for k in range(0, len(texts), 256) for x in shared.value.scores(texts[k : k + 256])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=[id_col, "score"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(read, f"`{id_col}` {kind}, score double")
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(read, output(docs, {id_col: id_col}, "score double"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .htmlmain import Node, parse
+from .shared import output
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
@@ -91,7 +92,9 @@ def derive(responses: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Two records for each response; ``carry`` columns come along as struct ``row``."""
     row = [F.struct(*carry).alias("_row")] if carry else []
     chosen = responses.select(*[F.col(c) for c in RESPONSE], *row)
-    out = RECORD + (f", row {chosen.schema['_row'].dataType.simpleString()}" if carry else "")
+    out = output(chosen, {}, RECORD)
+    if carry:
+        out = out.add("row", chosen.schema["_row"].dataType, True)
 
     def build(batches):
         for batch in batches:
