@@ -55,7 +55,7 @@ def _is_number(value: Any) -> bool:
 
 
 def compiled(where: dict[str, Any] | None, columns: list[str]) -> Column:
-    """A filter as a boolean column; a missing key matches nothing but ``$ne`` and ``$nin``.
+    """A filter as a boolean column for ``where``; a missing key matches nothing but ``$ne`` and ``$nin``.
 
     Order comparisons with a number compare as numbers.
     """
@@ -76,7 +76,7 @@ def compiled(where: dict[str, Any] | None, columns: list[str]) -> Column:
                 test = _COMPARE[name](c.try_cast("double"), F.lit(float(v)))
             else:
                 test = _COMPARE[name](c, v if name in ("$in", "$nin") else F.lit(_text(v)))
-            parts.append(F.coalesce(test, F.lit(name in ("$ne", "$nin"))))
+            parts.append(F.coalesce(test, F.lit(True)) if name in ("$ne", "$nin") else test)  # bare tests reach the Parquet scan
     return reduce(lambda a, b: a & b, parts)
 
 
