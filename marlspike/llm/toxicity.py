@@ -36,6 +36,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,12 @@ from .shared import output
 
 DECAY = 0.6
 ORDERS = (3, 4)
-LONGEST = 24
+LONGEST = 16
 MAX_LABELLED = 8000
 LANDMARKS = 32
 NEAR_CLEAN = 8
 HELD_OUT = (5, 0)
-CACHE = 400_000
+CACHE = 600_000
 _ENDS = ".,;:!?()[]{}<>\"'`*#$%&|=+-_/\\~^"
 
 
@@ -120,38 +121,110 @@ def self_kernel(words: list[str]) -> np.ndarray:
 
 
 class Landmarks:
-    """The kernel against a fixed list of strings."""
+    """The kernel against a fixed list of strings, over the subsequences that occur in them.
+
+    A word's subsequences are looked up by their two halves: a table numbers the
+    letter pairs of the landmarks, and order 3 is a pair and a letter, order 4 two
+    pairs.  Everything else is a subsequence that no landmark has and adds nothing.
+    """
 
     def __init__(self, words: list[str]):
         self.words = words
-        self.own = self_kernel(words)
-        self.letters = sorted(set("".join(words)))
-        self.place = {c: i for i, c in enumerate(self.letters)}
-        self.counts = self._counts(words)
-
-    def _counts(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.letters)), np.uint8)
-        for k, w in enumerate(words):
-            for c in w:
-                if (i := self.place.get(c)) is not None:
-                    out[k, i] += 1
-        return out
+        letters = sorted(set("".join(words)))
+        self.letters = np.array([ord(c) for c in letters], np.int32)
+        self.base = len(letters) + 1
+        pairs: dict[tuple[int, int], int] = {}
+        found: list[dict[tuple[int, ...], dict[int, float]]] = [{} for _ in ORDERS]
+        for j, word in enumerate(words):
+            code = self.code(_codes([word]))[0].tolist()
+            for order, features in zip(ORDERS, found):
+                for at in combinations(range(len(code)), order):
+                    key = tuple(code[i] for i in at)
+                    features.setdefault(key, {})
+                    features[key][j] = features[key].get(j, 0.0) + DECAY ** (at[-1] - at[0] + 1)
+                    for x in (key[:2], key[2:]):
+                        if len(x) == 2:
+                            pairs.setdefault(x, len(pairs))
+        self.none = len(pairs)
+        self.pairs = np.full(self.base * self.base, self.none, np.int32)
+        for (x, y), k in pairs.items():
+            self.pairs[x * self.base + y] = k
+        own = self_kernel(words)
+        self.tables, self.matrix = [], []
+        for p, (order, features) in enumerate(zip(ORDERS, found)):
+            table = np.full((self.none + 1) * (self.base if order == 3 else self.none + 1), len(features), np.int32)
+            matrix = np.zeros((len(features) + 1, len(words)), np.float32)
+            for k, (key, weights) in enumerate(features.items()):
+                table[self._place(pairs[key[:2]], key[2] if order == 3 else pairs[key[2:]], order)] = k
+                for j, w in weights.items():
+                    matrix[k, j] = w / math.sqrt(own[p, j])
+            self.tables.append(table)
+            self.matrix.append(matrix)
+
+    def _place(self, first, then, order: int):
+        return first * (self.base if order == 3 else self.none + 1) + then
+
+    def code(self, points: np.ndarray) -> np.ndarray:
+        """Code points to letter numbers; 0 for letters that no landmark has."""
+        at = np.searchsorted(self.letters, points)
+        at = np.minimum(at, max(0, len(self.letters) - 1))
+        return np.where(self.letters[at] == points, at + 1, 0).astype(np.int32)
+
+    def each(self, code: np.ndarray):
+        """(order index, decay, places in that order's table) of every subsequence of words of one length."""
+        n = code.shape[1]
+        column = np.ascontiguousarray(code.T)
+        pair = {(i, j): self.pairs[column[i] * self.base + column[j]] for i in range(n) for j in range(i + 1, n)}
+        for (i, j), p in pair.items():
+            if (p == self.none).all():
+                continue
+            p3, p4 = p * self.base, p * (self.none + 1)
+            for k in range(j + 1, n):
+                yield 0, DECAY ** (k - i + 1), p3 + column[k]
+                for last in range(k + 1, n):
+                    yield 1, DECAY ** (last - i + 1), p4 + pair[k, last]
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """k(word, landmark) as an array (words, landmarks)."""
         out = np.zeros((len(words), len(self.words)), np.float32)
+        for at, code, points in self._grouped(words, 2048):
+            seen = [np.zeros((len(at), len(m)), np.float32) for m in self.matrix]
+            row = np.arange(len(at))
+            for p, decay, place in self.each(code):
+                seen[p][row, self.tables[p][place]] += np.float32(decay)
+            own = subsequences(points, points)
+            for p, m in enumerate(self.matrix):
+                out[at] += (seen[p][:, :-1] @ m[:-1]) / np.sqrt(np.maximum(own[p], 1e-30))[:, None] / len(ORDERS)
+        return out
+
+    def _grouped(self, words: list[str], most: int):
+        """(places, letter numbers, code points) of words of one length, at most ``most`` at a time."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(sizes[sizes >= min(ORDERS)]):
-            for at in np.array_split(same := np.flatnonzero(sizes == n), -(-len(same) // 4096)):
-                mine = [words[i] for i in at]
-                own, code, have = self_kernel(mine), _codes(mine), self._counts(mine)
-                for j, word in enumerate(self.words):
-                    # fewer letters in common than the lowest order: exactly 0
-                    near = np.flatnonzero(np.minimum(have, self.counts[j]).sum(axis=1) >= min(ORDERS))
-                    if len(near):
-                        cross = subsequences(code[near], np.repeat(_codes([word]), len(near), 0))
-                        scale = np.sqrt(own[:, near] * self.own[:, j : j + 1])
-                        out[at[near], j] = np.where(scale > 0, cross / np.maximum(scale, 1e-30), 0).mean(axis=0)
+            same = np.flatnonzero(sizes == n)
+            for at in np.array_split(same, -(-len(same) // most)):
+                points = _codes([words[i] for i in at])
+                yield at, self.code(points), points
+
+    def folded(self, weights: np.ndarray) -> list[np.ndarray]:
+        """For each order, what a subsequence at a place of its table adds, over all landmarks."""
+        return [np.append((m[:-1] @ weights).astype(np.float32), np.float32(0))[t] / np.float32(len(ORDERS)) for m, t in zip(self.matrix, self.tables)]
+
+    def gains(self, words: list[str], folded: list[np.ndarray]) -> np.ndarray:
+        """The weighted kernel sum of each word where it can be positive, else 0."""
+        out = np.zeros(len(words), np.float32)
+        for at, code, points in self._grouped(words, 16_384):
+            some = np.flatnonzero((code > 0).sum(axis=1) >= min(ORDERS))
+            if not len(some):
+                continue
+            at, code, points = at[some], code[some], points[some]
+            top = np.zeros((len(ORDERS), len(at)), np.float32)
+            for p, decay, place in self.each(code):
+                top[p] += folded[p][place] * np.float32(decay)
+            good = np.flatnonzero((top > 0).any(axis=0))
+            if len(good):
+                own = subsequences(points[good], points[good])
+                out[at[good]] = np.maximum((top[:, good] / np.sqrt(np.maximum(own, 1e-30))).sum(axis=0), 0)
         return out
 
 
@@ -161,26 +234,29 @@ class Model:
     def __init__(self, landmarks: Landmarks | None, weights, bias: float, slope: float, offset: float):
         self.landmarks, self.weights, self.bias, self.slope, self.offset = landmarks, weights, bias, slope, offset
         self.known: dict[str, float] = {}
+        self.table: list[np.ndarray] | None = None
 
     def decisions(self, texts: list[str]) -> list[float]:
-        """The highest decision among each text's segments."""
+        """The highest decision among each text's segments, the bias (kernel 0) at least."""
         if self.landmarks is None:
             return [self.bias] * len(texts)
+        if self.table is None:
+            self.table = self.landmarks.folded(self.weights)
         bags = [set(segments(t)) for t in texts]
         new = list(set().union(*bags).difference(self.known)) if bags else []
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = list(set().union(*bags))
         if new:
-            self.known.update(zip(new, (self.landmarks.kernel(new) @ self.weights + self.bias).tolist()))
+            self.known.update(zip(new, self.landmarks.gains(new, self.table).tolist()))
         known = self.known
-        return [max((known[w] for w in bag), default=self.bias) for bag in bags]
+        return [self.bias + max((known[w] for w in bag), default=0.0) for bag in bags]
 
     def scores(self, texts: list[str]) -> list[float]:
         return [1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * d + self.offset)))) for d in self.decisions(texts)]
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "table": None}
 
 
 def _strings(segment: str) -> list[str]:
@@ -345,12 +421,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def read(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            got = [x for k in range(0, len(texts), 256) for x in shared.value.scores(texts[k : k + 256])]
+            got = [x for part in _parts(texts) for x in shared.value.scores(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=[id_col, "score"])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(read, output(docs, {id_col: id_col}, "score double"))
 
 
+def _parts(texts: list[str], most: int = 4 << 20):
+    """Consecutive texts of at most ``most`` characters together (one text at least)."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     """``op2_toxicity`` over all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
