@@ -62,6 +62,7 @@ class Batch:
         ids = table.column(id_col).to_pylist()
         texts = table.column("_text").cast(pa.binary()).to_pylist()
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, texts[i] or b""))
+        self.missing = [texts[i] is None for i in self.order]
         self.texts = [texts[i] or b"" for i in self.order]
         self.sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
@@ -212,7 +213,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     """One row for each document: id, n_bytes, n_removed, n_spans, kept_sha256, byte spans.
 
     ``carry`` columns come back as struct ``row``; ``keep_text`` adds ``kept``: the text
-    without the characters that lost all of their bytes.
+    without the characters that lost all of their bytes (null for null).
     """
     size = text_bytes(docs, text_col)
     batches = max(LEAST_BATCHES, -(-size // batch_bytes))
@@ -220,7 +221,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     bounds = id_bounds(docs, id_col, batches)
     row = [F.struct(*carry).alias("_row")] if carry else []
     dealt = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *row, range_bucket(F.col(id_col), bounds).alias("_batch"))
-    plain = dealt
     blocks = "part int, batch int, step int, data binary"
 
     def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -242,7 +242,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         a, b = removed_runs(batch, runs, verdict, strings, strings.verdict(_flags(answers, 2)), length)
         lo, hi = np.searchsorted(a, batch.starts[:-1]), np.searchsorted(a, batch.starts[1:])
         digest, gone, kept, begin, end = [], [], [], [], []
-        for text, start, i, j in zip(batch.texts, batch.starts[:-1].tolist(), lo.tolist(), hi.tolist()):
+        for text, missing, start, i, j in zip(batch.texts, batch.missing, batch.starts[:-1].tolist(), lo.tolist(), hi.tolist()):
             x, y = (a[i:j] - start).tolist(), (b[i:j] - start).tolist()
             edges = [0, *(v for pair in zip(x, y) for v in pair), len(text)]
             left = b"".join(text[p:q] for p, q in zip(edges[::2], edges[1::2])) if x else text
@@ -251,7 +251,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
             begin.append(x)
             end.append(y)
             if keep_text:
-                kept.append(without_characters(text, x, y) if x else text.decode())
+                kept.append(None if missing else without_characters(text, x, y) if x else text.decode())
         data = {id_col: table.column(id_col).take(pa.array(batch.order, pa.int64())), "n_bytes": batch.sizes, "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array([len(x) for x in begin], pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "starts": pa.array(begin, pa.list_(pa.int64())), "ends": pa.array(end, pa.list_(pa.int64()))}
         if keep_text:
             data["kept"] = pa.array(kept, pa.string())
@@ -265,12 +265,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
 
         return rows.groupBy("part").applyInArrow(judge, blocks)
 
-    one = judged(plain.groupBy("_batch").applyInArrow(first, blocks), 1)
-    two = judged(plain.groupBy("_batch").cogroup(one.groupBy("batch")).applyInArrow(second, blocks), 2)
+    one = judged(dealt.groupBy("_batch").applyInArrow(first, blocks), 1)
+    two = judged(dealt.groupBy("_batch").cogroup(one.groupBy("batch")).applyInArrow(second, blocks), 2)
     out = output(docs, {id_col: id_col}, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>" + ", kept string" * keep_text)
     if carry:
         out = out.add("row", dealt.schema["_row"].dataType, True)
-    return plain.groupBy("_batch").cogroup(one.union(two).groupBy("batch")).applyInArrow(last, out)
+    return dealt.groupBy("_batch").cogroup(one.union(two).groupBy("batch")).applyInArrow(last, out)
 
 
 def without_characters(text: bytes, starts: list[int], ends: list[int]) -> str:
@@ -293,7 +293,7 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: removed characters leave the texts; every document stays, and n_chars follows."""
-    found = repeats(docs, carry=docs.columns, keep_text=True)
-    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
-    new = {"text": text, "n_chars": F.when(F.col("row.n_chars").isNotNull(), F.length(text).cast("long"))}
-    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]  # the text travels once
+    found = repeats(docs, carry=rest, keep_text=True)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
