@@ -22,8 +22,9 @@ Blocks are joined by one newline; white space inside a block becomes one space.
 
 Defined results: null and empty pages have an empty text; a page without url belongs
 to the host without a name; hosts with one page are extracted by structure alone;
-equal pages of a host have equal texts; unclosed and misplaced tags are mended; extra
-columns are ignored.
+equal pages of a host have equal texts; unclosed and misplaced tags are mended; blocks
+nested deeper than ``DEPTH`` belong to their ancestor at that depth (each keeps its line);
+extra columns are ignored.
 
 Scale: each task merges its own pages of a host first, so a host with a third of all
 pages is a few trees for each task in the second merge.  Wrappers are broadcast when
@@ -49,6 +50,9 @@ HOSTS_HELD = 5000
 TEMPLATE_PAGES = 4
 TEMPLATE_SHARE = 0.8
 WRAPPER_NODES = 2000
+DEPTH = 150
+SIBLINGS = 200
+CELLS = 100_000
 
 # HTML element names by their role, and words in class, id and role that mark what is not the article.
 BLOCKS = frozenset("html head title body nav ul ol li div article section main aside header footer form p h1 h2 h3 h4 h5 h6 table tr blockquote pre figure figcaption dl dt dd hr fieldset address details summary dialog menu center caption legend option".split())
@@ -67,7 +71,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Node:
     """A block element: its parts are texts (text, characters in links) and nodes, in order."""
 
-    __slots__ = ("tag", "marks", "parts", "share", "length", "links", "seen")
+    __slots__ = ("tag", "marks", "parts", "share", "length", "links", "seen", "sign", "groups")
 
     def __init__(self, tag: str, marks: str = ""):
         self.tag, self.marks, self.parts = tag, marks, []
@@ -93,6 +97,7 @@ def parse(html: str) -> Node:
     link = 0
     linked = 0
     at = 0
+    deeper = 0  # open blocks below DEPTH: they part the text, but are no nodes
 
     def flush() -> None:
         nonlocal linked
@@ -121,7 +126,10 @@ def parse(html: str) -> Node:
             continue
         name = name.group(1).lower()
         if tag[1] == "/":
-            if name in BLOCKS:
+            if name in BLOCKS and deeper:
+                flush()
+                deeper -= 1
+            elif name in BLOCKS:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == name:
                         flush()
@@ -138,6 +146,9 @@ def parse(html: str) -> Node:
         elif name in BLOCKS:
             flush()
             link = 0
+            if len(stack) > DEPTH:
+                deeper += name != "hr"
+                continue
             closes = CLOSES.get(name, CLOSES["p"])
             k = len(stack) - 1
             while k > 0 and stack[k].tag in closes:
@@ -157,30 +168,42 @@ def parse(html: str) -> Node:
 
 
 class Shape:
-    """A node for matching: neighbouring siblings of one shape are one."""
+    """A node for matching: it stands for neighbouring siblings of one shape."""
 
-    __slots__ = ("key", "kids", "members", "sign", "mark")
+    __slots__ = ("key", "kids", "members", "mark")
 
-    def __init__(self, key: str, kids: list[Shape], members: list[Node]):
-        self.key, self.kids, self.members = key, kids, members
-        self.sign = f"{key}({','.join(k.sign for k in kids)})"
+    def __init__(self, members: list[Node]):
+        self.key, self.members = members[0].key, members
+        self.kids = [Shape([n for group in groups for n in group]) for groups in zip(*(m.groups for m in members))]
         self.mark = crc32("\n".join(m.own() for m in members).encode("utf-8", "surrogatepass"))
 
 
-def shape(nodes: list[Node]) -> Shape:
-    """The shape of nodes that stand for one (the same shape each)."""
-    kids: list[Shape] = []
-    for parent in nodes:
-        for node in parent.nodes():
-            s = shape([node])
-            if kids and kids[-1].sign == s.sign:
-                kids[-1].members.extend(s.members)
+def shape(root: Node) -> Shape:
+    """The tree of shapes of a page.
+
+    Signs are made from the leaves up, once for each node.  Neighbours of one sign are
+    a group; among very many siblings all of one sign are.
+    """
+
+    def sign(node: Node) -> None:
+        groups: list[list[Node]] = []
+        kids = node.nodes()
+        for k in kids:
+            sign(k)
+            if groups and groups[-1][0].sign == k.sign:
+                groups[-1].append(k)
             else:
-                kids.append(s)
-    merged = []
-    for k in kids:
-        merged.append(shape(k.members) if len(k.members) > 1 and k.kids else Shape(k.key, k.kids, k.members))
-    return Shape(nodes[0].key, merged, nodes)
+                groups.append([k])
+        if len(groups) > SIBLINGS:
+            by: dict[int, list[Node]] = {}
+            for k in kids:
+                by.setdefault(k.sign, []).append(k)
+            groups = list(by.values())
+        node.groups = groups
+        node.sign = hash((node.key, tuple(g[0].sign for g in groups)))
+
+    sign(root)
+    return Shape([root])
 
 
 class Wrapper:
@@ -213,6 +236,9 @@ def match(a, b, memo: dict) -> tuple[int, list[tuple[int, int]]]:
     if (found := memo.get((id(a), id(b)))) is not None:
         return found
     x, y = a.kids, b.kids
+    if len(x) * len(y) > CELLS:
+        memo[id(a), id(b)] = out = _in_order(x, y, memo)
+        return out
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     pair = [[0] * len(y) for _ in x]
     for i, p in enumerate(x):
@@ -232,6 +258,24 @@ def match(a, b, memo: dict) -> tuple[int, list[tuple[int, int]]]:
     return out
 
 
+def _in_order(x: list, y: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """A match of very long child lists: each child with the next one of its key."""
+    places: dict[str, list[int]] = {}
+    for j in range(len(y) - 1, -1, -1):
+        places.setdefault(y[j].key, []).append(j)
+    total, at, pairs = 1, 0, []
+    for i, p in enumerate(x):
+        free = places.get(p.key, [])
+        while free and free[-1] < at:
+            free.pop()
+        if free:
+            at = free.pop()
+            total += match(p, y[at], memo)[0]
+            pairs.append((i, at))
+            at += 1
+    return total, pairs
+
+
 def merge(a: Wrapper, b: Wrapper, memo: dict | None = None) -> Wrapper:
     """The wrapper of both; children without a match keep their place."""
     memo = {} if memo is None else memo
@@ -350,7 +394,7 @@ def main_text(html: str | None, wrapper: Wrapper | None = None) -> str:
     root = parse(html)
     _measure(root)
     if wrapper is not None and wrapper.pages > 1:
-        tell(wrapper, shape([root]), {})
+        tell(wrapper, shape(root), {})
     article = _article(root)
     return "\n".join(blocks_of(article, True) or blocks_of(article, False))
 
@@ -371,7 +415,7 @@ def wrappers(pages: DataFrame, host_col: str = "_host", html_col: str = "_html",
 
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[host] = added(held.get(host), Wrapper.of(shape([parse(html or "")])))
+                held[host] = added(held.get(host), Wrapper.of(shape(parse(html or ""))))
             if len(held) > HOSTS_HELD:
                 yield out()
                 held.clear()

@@ -37,20 +37,27 @@ def test_template_is_left_out_without_article_tag():
 
     whole = None
     for n in range(6):
-        whole = htmlmain.added(whole, htmlmain.Wrapper.of(htmlmain.shape([htmlmain.parse(page(n))])))
+        whole = htmlmain.added(whole, htmlmain.Wrapper.of(htmlmain.shape(htmlmain.parse(page(n)))))
     text = htmlmain.main_text(page(3), whole)
     assert "Welcome" not in text and text.count("\n") == 1 and text.endswith("3")
 
 
 def test_tree_matching_is_the_largest_match():
-    a = htmlmain.shape([htmlmain.parse("<div><h1>x</h1><p>y</p><ul><li>z</li></ul></div>")])
-    b = htmlmain.shape([htmlmain.parse("<div><p>y</p><form>q</form><ul><li>z</li><li>w</li></ul></div>")])
+    a = htmlmain.shape(htmlmain.parse("<div><h1>x</h1><p>y</p><ul><li>z</li></ul></div>"))
+    b = htmlmain.shape(htmlmain.parse("<div><p>y</p><form>q</form><ul><li>z</li><li>w</li></ul></div>"))
     assert htmlmain.match(a, b, {})[0] == 5  # root, div, p, ul, li
 
 
 def test_very_long_and_broken_pages():
     assert htmlmain.main_text("<div>" * 300 + "deep" + "</p>" * 50) == "deep"
     assert htmlmain.main_text("<p>a < b and 'quote <b>x</b>") == "a < b and 'quote x"
+    deep = "<div><ul><li>a</li><li>b</li></ul>" * 3000 + "end" + "</div>" * 3000
+    assert htmlmain.main_text(deep).count("end") == 1
+    wide = "<body>" + "".join(f"<p>w{i}</p><div class='k{i}'>y{i}</div>" for i in range(3000)) + "</body>"
+    whole = htmlmain.added(htmlmain.Wrapper.of(htmlmain.shape(htmlmain.parse(wide))), htmlmain.Wrapper.of(htmlmain.shape(htmlmain.parse(wide))))
+    assert "w2999" in htmlmain.main_text(wide, whole)
+    nested = "<ul><li>a</li><li>" * 60 + "z"
+    assert htmlmain.main_text(nested).endswith("z")
     assert len(htmlmain.main_text("<article>" + "<p>word</p>" * 20_000)) == 5 * 20_000 - 1
 
 
