@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_suffix_dedup": suffixes.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_token_rollups": tokencounts.ORACLE,
 }

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import id_bounds, least_runs, mix64, output, range_bucket, text_bytes
+from .shared import bounds_column, id_bounds, least_runs, mix64, output, range_bucket, ranges_for, text_bytes
 
 WINDOW = 32
 SPAN = 64
@@ -214,14 +214,14 @@ def edited(text: str, following: str) -> str:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: np.ndarray | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row for each row: id, n_chars, digests of the text and its edited text, and their likeness."""
     rank = rarity(docs, text_col) if rank is None else rank
-    batches = max(LEAST_BATCHES, -(-text_bytes(docs, text_col) // batch_bytes))
+    batches = ranges_for(text_bytes(docs, text_col), batch_bytes, LEAST_BATCHES)
     bounds = id_bounds(docs, id_col, batches)
     id_ = F.col(id_col)
     home = range_bucket(id_, bounds)
     before = F.when(F.col("_home") == 1, F.lit(len(bounds))).otherwise(F.col("_home") - 1)
     lone = -1 - F.pmod(F.xxhash64("_text"), F.lit(batches)).cast("int")
     placed = docs.select(id_, F.col(text_col).cast("string").alias("_text"), home.alias("_home"))
-    begins = F.coalesce(F.get(F.array(*[F.lit(b) for b in bounds or [0]]), F.col("_home") - 1) == F.col(id_col), F.lit(False))
+    begins = F.coalesce(F.get(bounds_column(bounds or [0]), F.col("_home") - 1) == F.col(id_col), F.lit(False))
     to = F.when(F.col(id_col).isNull(), F.array(F.struct(lone.alias("batch"), F.lit(False).alias("guest")))).when(
         begins, F.array(F.struct(F.col("_home").alias("batch"), F.lit(False).alias("guest")), F.struct(before.alias("batch"), F.lit(True).alias("guest")))
     ).otherwise(F.array(F.struct(F.col("_home").alias("batch"), F.lit(False).alias("guest"))))

@@ -7,6 +7,7 @@ only where the session has none, as in tests on one machine).
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -34,9 +35,22 @@ def written(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MADE: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once no result reads them any more."""
+    n = 0
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts together (null counts as none)."""
     row = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()
@@ -64,19 +78,34 @@ def as_bytes(value) -> bytes:
     return value if isinstance(value, bytes) else value.encode("utf-8")
 
 
+#: The most ranges of ids; beyond it batches grow instead, so the list of bounds stays a few MB.
+MAX_RANGES = 200_000
+
+
+def ranges_for(size: int, batch_bytes: int, least: int) -> int:
+    """How many ranges a corpus of ``size`` bytes is dealt into."""
+    return min(MAX_RANGES, max(least, -(-size // batch_bytes)))
+
+
 def id_bounds(docs: DataFrame, id_col: str, parts: int) -> list:
-    """At most ``parts - 1`` ids present in ``docs`` that cut it into ranges of similar row counts, and the smallest id first."""
+    """At most ``parts`` ids present in ``docs``, the smallest first, that cut it into ranges of similar row counts."""
     cuts = [k / parts for k in range(parts)]
     row = docs.agg(F.percentile_approx(id_col, cuts, 20 * parts).alias("b"), F.min(id_col).alias("a")).first()
     return sorted({row["a"], *(row["b"] or [])} - {None})
 
 
+def bounds_column(bounds: list):
+    """The bounds as one constant array."""
+    kind = "bigint" if all(isinstance(b, int) for b in bounds) else "double"
+    return F.from_json(F.lit(json.dumps([b if isinstance(b, int) else float(b) for b in bounds])), f"array<{kind}>")
+
+
 def range_bucket(col, bounds: list):
     """How many of the sorted ``bounds`` are at or below ``col`` (0 for null), by binary search."""
     if not bounds:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    table = F.array(*[F.lit(b) for b in bounds])
+    table = bounds_column(bounds)
     found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_bounds, least_runs, mix64, output, range_bucket, text_bytes
+from .shared import id_bounds, least_runs, mix64, output, range_bucket, ranges_for, text_bytes
 
 LENGTH = 100
 GRAM = 36
@@ -216,7 +216,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     without the characters that lost all of their bytes (null for null).
     """
     size = text_bytes(docs, text_col)
-    batches = max(LEAST_BATCHES, -(-size // batch_bytes))
+    batches = ranges_for(size, batch_bytes, LEAST_BATCHES)
     parts = max(LEAST_BATCHES, -(-size // (PART_KEYS * 25)))
     bounds = id_bounds(docs, id_col, batches)
     row = [F.struct(*carry).alias("_row")] if carry else []
@@ -297,3 +297,20 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = repeats(docs, carry=rest, keep_text=True)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+ORACLE = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, (strlen(coalesce(text, '')))::bigint as n from documents),
+w as (select doc_id, p, md5(substr(h, 2 * p + 1, 200)) as m from (select doc_id, h, unnest(range(0, n - 99)) as p from d where n >= 100)),
+r as (select doc_id, p from w qualify row_number() over (partition by m order by doc_id, p) > 1),
+i as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from
+  (select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + 100 then 1 else 0 end as fresh from r)),
+s as (select doc_id, run, min(p) as a, max(p) + 100 as b from i group by doc_id, run),
+g as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as x, a as y from s
+  union all select doc_id, max(b), null from s group by doc_id),
+k as (select g.doc_id, string_agg(case when y is null then substr(h, 2 * x + 1) else substr(h, 2 * x + 1, 2 * (y - x)) end, '' order by x) as kept from g join d using (doc_id) group by g.doc_id),
+t as (select doc_id, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans from s group by doc_id)
+select d.doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join t using (doc_id) left join k using (doc_id)
+"""
