@@ -15,10 +15,10 @@ from ..sources.collection import Collection
 from ..sources.files import Extractor, extracted, pdf_pages, upload_error
 
 
-def vectors(files: DataFrame, embedder: Embedder, extractor: Extractor = pdf_pages, session_id: Any = None, user_id: Any = None, processed_at: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def vectors(files: DataFrame, embedder: Embedder, extractor: Extractor = pdf_pages, session_id: Any = None, user_id: Any = None, processed_at: str | None = None, settings: Settings = DEFAULTS, info=None) -> DataFrame:
     """Rows (id, document, embedding, metadata) of all chunks of readable files."""
     at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if processed_at is None else F.lit(processed_at)
-    texts = extracted(files, extractor).where("error is null").withColumn("processed_at", at)
+    texts = extracted(files, extractor, info).where("error is null").withColumn("processed_at", at)
     rows = chunk_ids(chunks(texts.drop("page_texts"), "full_text", settings.chunk_size, settings.chunk_overlap, settings.separators))
     name = F.col("file_name")
     pairs: dict[str, Any] = {
@@ -31,14 +31,22 @@ def vectors(files: DataFrame, embedder: Embedder, extractor: Extractor = pdf_pag
     return embedded(rows.select("id", F.col("chunk").alias("document"), F.map_concat(info, own).alias("metadata")), embedder)
 
 
-def ingest(files: DataFrame, collection: Collection, embedder: Embedder, extractor: Extractor = pdf_pages, session_id: Any = None, user_id: Any = None, settings: Settings = DEFAULTS) -> dict[str, Any]:
+def ingest(files: DataFrame, collection: Collection, embedder: Embedder, extractor: Extractor = pdf_pages, session_id: Any = None, user_id: Any = None, settings: Settings = DEFAULTS, info=None) -> dict[str, Any]:
     """Check, read, cut, embed and store files; refused and unreadable ones are counted."""
     checked = files.withColumn("error", upload_error(F.col("file_name"), F.col("file_size"), settings.max_upload_bytes, settings.max_name_length))
     good = checked.where("error is null").drop("error")
-    added = collection.add(vectors(good, embedder, extractor, session_id, user_id, settings=settings))
+    added = collection.add(vectors(good, embedder, extractor, session_id, user_id, settings=settings, info=info))
     return added | {"refused": checked.where("error is not null").count()}
 
 
+def counters(rows: DataFrame) -> DataFrame:
+    """One row over stored chunks: chunks, vectors, files and their pages."""
+    key = lambda k: F.try_element_at("metadata", F.lit(k))
+    files = rows.groupBy(key("file_hash").alias("file_hash")).agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"), F.max(key("num_pages").try_cast("long")).alias("pages"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return files.agg(zero("chunks").alias("chunks_created"), zero("vectors").alias("embeddings_stored"), F.count("*").alias("files"), zero("pages").alias("pages_processed"))
+
+
 def unique_files(files: DataFrame) -> DataFrame:
     """One file of each content (an extension: a plain ingest keeps copies)."""
     return files.dropDuplicates(["file_hash"])

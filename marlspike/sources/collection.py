@@ -7,6 +7,7 @@ predicates are pushed to the scan.
 
 from __future__ import annotations
 
+import os
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,18 @@ def without_ids(stored: DataFrame, ids: DataFrame) -> DataFrame:
     return stored.join(ids.select("id").distinct(), "id", "left_anti")
 
 
+def usable_path(preferred: str, fallback: str) -> str:
+    """The preferred local folder, or the fallback if it cannot be made or written."""
+    try:
+        os.makedirs(preferred, exist_ok=True)
+        if os.access(preferred, os.W_OK):
+            return preferred
+    except PermissionError:
+        pass
+    os.makedirs(fallback, exist_ok=True)
+    return fallback
+
+
 class Collection:
     """Vectors with text and metadata under one path."""
 

@@ -3,12 +3,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from marlspike.operators import context, embedding, ranking, sessions
+from marlspike.operators import accounts, context, embedding, ranking, sessions
 from marlspike.plans import ingest, retrieve
-from marlspike.plans.requests import ChatRequest
+from marlspike.plans.requests import ChatRequest, Registration
 from marlspike.settings import Settings
 from marlspike.sources import files, tables
-from marlspike.sources.collection import Collection, stamped
+from marlspike.sources.collection import Collection, stamped, usable_path
 from marlspike.streaming.ingest import ingest_new
 
 
@@ -150,6 +150,8 @@ def test_ingest_and_streaming(spark, tmp_path):
     assert got["added_count"] == 1 and got["refused"] == 0
     row = c.open().first()
     assert row.session_id == "s9" and row.user_id == "3" and row.metadata["num_pages"] == "3" and "--- Page 3 ---" in row.document and row.metadata["chunk_id"] == "0"
+    done = ingest.counters(c.open()).first()
+    assert (done.chunks_created, done.embeddings_stored, done.files, done.pages_processed) == (1, 1, 1, 3)
     (folder / "c.pdf").write_text("A file that arrives later, with words of its own")
     query = lambda: ingest_new(spark, str(folder), "*.pdf", c, model, str(tmp_path / "cp2"), files.text_pages).awaitTermination()
     query()
@@ -206,3 +208,19 @@ def test_changes(spark, chats):
     assert sessions.files_of_chat(up, 1).first().fileName == "a.pdf"
     results = spark.createDataFrame([("a.pdf", 2, "later"), ("a.pdf", 1, "first")], "file_name string, seq int, result string")
     assert sessions.files_with_results(up, results).first().result == "first"
+
+
+def test_accounts(spark, tmp_path):
+    users = spark.createDataFrame([], tables.USERS)
+    users = accounts.registered(users, Registration("Ann", "ann@b.co", "secret1"), 1, "salt", F.lit(T0)).cache()
+    assert users.first().password.startswith("salt:") and accounts.logged_in(users, "ann@b.co", "secret1").first().full_name == "Ann"
+    assert accounts.logged_in(users, "ann@b.co", "wrong").count() == 0 and accounts.logged_in(users, "x@b.co", "secret1").count() == 0
+    assert "password" not in accounts.profile(users, 1).columns
+    with pytest.raises(ValueError):
+        accounts.registered(users, Registration("Bob", "ann@b.co", "secret1"), 2)
+    assert accounts.profile_updated(users, 1, phone_number="5").first().phone_number == "5"
+    for bad in ((1, {}), (2, {"full_name": "x"})):
+        with pytest.raises(ValueError):
+            accounts.profile_updated(users, bad[0], **bad[1])
+    assert accounts.removed(users, 1).count() == 0
+    assert usable_path(str(tmp_path / "a"), str(tmp_path / "b")) == str(tmp_path / "a")
