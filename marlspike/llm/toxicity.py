@@ -48,11 +48,12 @@ from .shared import output
 DECAY = 0.6
 ORDERS = (3, 4)
 LONGEST = 16
-MAX_LABELLED = 8000
+MAX_LABELLED = 5000
+MAX_LEARNED_CHARS = 200_000
 LANDMARKS = 32
 NEAR_CLEAN = 8
 HELD_OUT = (5, 0)
-CACHE = 600_000
+CACHE = 300_000
 _ENDS = ".,;:!?()[]{}<>\"'`*#$%&|=+-_/\\~^"
 
 
@@ -264,17 +265,22 @@ def _strings(segment: str) -> list[str]:
     return [segment, *(segment[:k] for k in range(4, min(9, len(segment))))]
 
 
-def pick(bags: list[set[str]], toxic: list[bool], most: int) -> list[str]:
-    """Significant strings that cover the toxic bags, greedily."""
-    bad = [b for b, y in zip(bags, toxic) if y]
-    clean = len(bags) - len(bad)
+def pick(bad: list[set[str]], clean_words: Counter[str], clean: int, most: int) -> list[str]:
+    """Significant strings that cover the toxic bags, greedily.
+
+    ``clean_words`` counts the clean texts of each word; a string's count in clean texts
+    is the sum over the words that hold it, so it is never too low.
+    """
     inside = Counter(x for b in bad for x in {x for s in b for x in _strings(s)})
     inside = Counter({x: n for x, n in inside.items() if n > 2})
     outside: Counter[str] = Counter()
-    for b, y in zip(bags, toxic):
-        if not y:
-            outside.update({x for s in b for x in _strings(s) if x in inside})
-    base = len(bad) / len(bags)
+    for s, n in clean_words.items():
+        for x in _strings(s):
+            if x in inside:
+                outside[x] += n
+    for x in outside:
+        outside[x] = min(outside[x], clean)
+    base = len(bad) / (len(bad) + clean)
     limit = math.log(max(2, len(inside))) + 3
 
     def surprise(x: str) -> float:
@@ -366,15 +372,15 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed:
     if not any(toxic) or all(toxic):
         return flat
     rng = random.Random(seed)
-    bags = [set(segments(t)) for t in texts]
-    picked = pick(bags, toxic, landmarks - NEAR_CLEAN)
-    if not picked:
-        return flat
-    positive = Counter(s for b, y in zip(bags, toxic) if y for s in b if any(s.startswith(x) for x in picked))
+    bad = [set(segments(t)) for t, y in zip(texts, toxic) if y]
     clean_words: Counter[str] = Counter()
-    for b, y in zip(bags, toxic):
+    for t, y in zip(texts, toxic):  # one text at a time: only the counts are kept
         if not y:
-            clean_words.update(b)
+            clean_words.update(set(segments(t)))
+    picked = pick(bad, clean_words, len(texts) - len(bad), landmarks - NEAR_CLEAN)
+    if not picked:
+        return flat
+    positive = Counter(s for b in bad for s in b if any(s.startswith(x) for x in picked))
     positive = Counter({s: n for s, n in positive.items() if clean_words[s] * sum(toxic) < n * (len(toxic) - sum(toxic)) / 4})
     heads = sorted(positive, key=lambda s: (-positive[s], s))[:1500]
     if not heads:
@@ -396,7 +402,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed:
     weight = np.where(y > 0, often / often[y > 0].sum(), often / often[y < 0].sum())
     w, bias = svm(features, y, weight)
     model = Model(marks, (root @ w).astype(np.float32), bias, 1.0, 0.0)
-    d = np.array(model.decisions(texts))
+    d = np.array([x for part in _parts(texts, 1 << 20) for x in model.decisions(part)])
+    model.known.clear()
     model.slope, model.offset = logistic(d, np.array(toxic, float))
     return model
 
@@ -406,11 +413,14 @@ def held_out(id_col: str, fold: tuple[int, int] = HELD_OUT):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % fold[0] == fold[1], F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: at most ``most`` rows, those with the least hash of their id."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most: int, id_col: str = "doc_id", text_col: str = "text", chars: int = MAX_LEARNED_CHARS) -> tuple[list[str], list[int]]:
+    """Texts and labels to learn from: at most ``most`` rows, those with the least hash of their id.
+
+    Texts of more than ``chars`` characters are scored like any other but not learned from.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, fold)).groupBy(id_col).agg(F.max(label).alias("_y"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    found = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), id_col).select(id_col, "_text", "_y").orderBy(id_col, "_text").limit(2 * most).toArrow()
+    found = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).where(F.coalesce(F.length("_text"), F.lit(0)) <= chars).join(F.broadcast(known), id_col).select(id_col, "_text", "_y").orderBy(id_col, "_text").limit(2 * most).toArrow()
     return [t or "" for t in found.column("_text").to_pylist()], [int(y) for y in found.column("_y").to_pylist()]
 
 
