@@ -9,6 +9,7 @@ and only on the boosted path are those few rows numbered.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -99,20 +100,31 @@ def similar(candidates: DataFrame, id_value, top_k: int = 5, id_col: str = "id",
     return nearest(candidates.where(F.col(id_col) != F.lit(id_value)), own[0], top_k, order, digits)
 
 
-def batch_top_k(queries: DataFrame, candidates: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, max_queries: int = 1000) -> DataFrame:
-    """Top-k for each of a checked number of queries (columns ``query_id``, ``query``) over all candidates.
+def batch_top_k(queries: DataFrame, candidates: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, max_queries: int | None = None, block: int = 1000) -> DataFrame:
+    """Top-k for each query (columns ``query_id``, ``query``) over all candidates.
 
     Queries are broadcast, so candidates are scanned once and never shuffled as pairs
-    of all with all; each task keeps its own best before the final ranking.
+    of all with all; each task keeps its own best before the final ranking.  More than
+    ``block`` queries are dealt to blocks by a hash of their id, with one scan for each.
+    ``max_queries`` refuses more queries than that.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries; rank them in blocks")
+    n = queries.count()
+    if max_queries is not None and n > max_queries:
+        raise ValueError(f"more than {max_queries} queries")
     score = cosine(F.col("embedding"), F.col("query"))
     score = score if digits is None else F.round(score, digits)
-    pairs = candidates.withColumn("low_information", low_information(F.col("document"))).join(F.broadcast(queries), how="cross").withColumn("similarity_score", score)
     by = Window.partitionBy(query_id).orderBy(F.col("low_information").asc(), F.col("similarity_score").desc(), *[F.col(c).asc() for c in order])
-    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)  # Spark limits each group before the shuffle
+    rows = candidates.withColumn("low_information", low_information(F.col("document")))
+
+    def best(some: DataFrame) -> DataFrame:
+        pairs = rows.join(F.broadcast(some), how="cross").withColumn("similarity_score", score)
+        return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)  # Spark limits each group before the shuffle
+
+    blocks = -(-n // block)
+    if blocks < 2:
+        return best(queries)
+    at = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return functools.reduce(DataFrame.unionAll, [best(queries.where(at == k)) for k in range(blocks)])
 
 
 def random_projection_index(vectors: DataFrame, bucket_length: float = 0.5, tables: int = 8, seed: int = 11):

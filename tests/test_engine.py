@@ -90,6 +90,14 @@ def test_batch_is_bounded(spark):
         ranking.batch_top_k(queries, one_hot(spark, 3), 1, "q", ["ingest_seq"], max_queries=2)
 
 
+def test_any_number_of_batch_queries_goes_in_blocks(spark):
+    queries = spark.createDataFrame([(i, [float(i % 3 == k) for k in range(3)]) for i in range(1200)], "q long, query array<double>")
+    got = {(r.q, r.id) for r in ranking.batch_top_k(queries, one_hot(spark, 3), 1, "q", ["ingest_seq"]).collect()}
+    assert got == {(i, str(i % 3)) for i in range(1200)}
+    small = ranking.batch_top_k(queries.where("q < 10"), one_hot(spark, 3), 2, "q", ["ingest_seq"], block=3)
+    assert sorted((r.q, r.rank) for r in small.collect()) == [(i, k) for i in range(10) for k in (1, 2)]
+
+
 def test_retrieve_scopes_and_errors(spark):
     rows = one_hot(spark, 4).union(one_hot(spark, 4, "session-2", "2").withColumn("id", F.concat(F.lit("b"), "id")))
     e = retrieve.retrieve(rows, axis(0, 4), 1, 0.1, session_id="session-1", user_id=1)
