@@ -13,11 +13,11 @@ their id):
 
 1. words and word beginnings that are significantly more frequent in toxic texts
    (binomial tail, corrected for their number) are picked greedily until they cover
-   the toxic texts that any of them covers; they and the clean segments closest to
-   them are the landmarks;
-2. segments of toxic texts that hold a picked string, and copies of them with
-   characters inserted, are positive; segments of clean texts (random, and the closest
-   to the landmarks) are negative;
+   every toxic text that any of them covers; they and the clean segments closest to
+   them are the landmarks, so the number of landmarks follows the vocabulary;
+2. segments of toxic texts that start with a picked string, and copies of them with
+   characters inserted, are positive; segments of clean texts (random, and
+   the closest to the landmarks) are negative;
 3. Nyström features k(x, landmarks) K^-1/2 go into a linear SVM (squared hinge loss),
    which folds back into one weight for each landmark;
 4. a logistic curve over the texts' decisions gives the score.
@@ -27,7 +27,8 @@ equal texts have equal scores; without toxic or clean labels, or without any
 significant word, every text gets the share of toxic labels (smoothed); rows without
 an id or label are not learned from; extra columns are ignored.
 
-Scale: only the model (a few kB) is sent out; texts are scored where they are read.
+Scale: only the model (a few kB for each landmark) is sent out; texts are scored where
+they are read.
 Segments are scored once in each Python worker while they stay in its cache.
 """
 
@@ -50,10 +51,10 @@ ORDERS = (3, 4)
 LONGEST = 16
 MAX_LABELLED = 5000
 MAX_LEARNED_CHARS = 200_000
-LANDMARKS = 32
 NEAR_CLEAN = 8
 HELD_OUT = (5, 0)
 CACHE = 300_000
+CELLS = 1 << 24
 _ENDS = ".,;:!?()[]{}<>\"'`*#$%&|=+-_/\\~^"
 
 
@@ -151,16 +152,17 @@ class Landmarks:
         for (x, y), k in pairs.items():
             self.pairs[x * self.base + y] = k
         own = self_kernel(words)
-        self.tables, self.matrix = [], []
+        self.tables, self.matrix = [], []  # a matrix is (features, landmarks, weights, number of features), by landmark
         for p, (order, features) in enumerate(zip(ORDERS, found)):
             table = np.full((self.none + 1) * (self.base if order == 3 else self.none + 1), len(features), np.int32)
-            matrix = np.zeros((len(features) + 1, len(words)), np.float32)
+            cells = []
             for k, (key, weights) in enumerate(features.items()):
                 table[self._place(pairs[key[:2]], key[2] if order == 3 else pairs[key[2:]], order)] = k
-                for j, w in weights.items():
-                    matrix[k, j] = w / math.sqrt(own[p, j])
+                cells += [(j, k, w / math.sqrt(own[p, j])) for j, w in weights.items()]
+            cells.sort()
+            at, mark, weight = np.array([c[1] for c in cells], np.int64), np.array([c[0] for c in cells], np.int64), np.array([c[2] for c in cells], np.float32)
             self.tables.append(table)
-            self.matrix.append(matrix)
+            self.matrix.append((at, mark, weight, len(features)))
 
     def _place(self, first, then, order: int):
         return first * (self.base if order == 3 else self.none + 1) + then
@@ -188,14 +190,18 @@ class Landmarks:
     def kernel(self, words: list[str]) -> np.ndarray:
         """k(word, landmark) as an array (words, landmarks)."""
         out = np.zeros((len(words), len(self.words)), np.float32)
-        for at, code, points in self._grouped(words, 2048):
-            seen = [np.zeros((len(at), len(m)), np.float32) for m in self.matrix]
+        most = max(16, min(2048, CELLS // max(1, *(len(m[0]) for m in self.matrix))))
+        for at, code, points in self._grouped(words, most):
+            seen = [np.zeros((len(at), m[3] + 1), np.float32) for m in self.matrix]
             row = np.arange(len(at))
             for p, decay, place in self.each(code):
                 seen[p][row, self.tables[p][place]] += np.float32(decay)
             own = subsequences(points, points)
-            for p, m in enumerate(self.matrix):
-                out[at] += (seen[p][:, :-1] @ m[:-1]) / np.sqrt(np.maximum(own[p], 1e-30))[:, None] / len(ORDERS)
+            for p, (feature, mark, weight, _) in enumerate(self.matrix):
+                if len(mark):
+                    first = np.flatnonzero(np.diff(mark, prepend=-1))
+                    sums = np.add.reduceat(seen[p][:, feature] * weight, first, axis=1)
+                    out[np.ix_(at, mark[first])] += sums / np.sqrt(np.maximum(own[p], 1e-30))[:, None] / len(ORDERS)
         return out
 
     def _grouped(self, words: list[str], most: int):
@@ -209,7 +215,8 @@ class Landmarks:
 
     def folded(self, weights: np.ndarray) -> list[np.ndarray]:
         """For each order, what a subsequence at a place of its table adds, over all landmarks."""
-        return [np.append((m[:-1] @ weights).astype(np.float32), np.float32(0))[t] / np.float32(len(ORDERS)) for m, t in zip(self.matrix, self.tables)]
+        sums = [np.bincount(feature, weight * weights[mark], n + 1).astype(np.float32) for feature, mark, weight, n in self.matrix]
+        return [s[t] / np.float32(len(ORDERS)) for s, t in zip(sums, self.tables)]
 
     def gains(self, words: list[str], folded: list[np.ndarray]) -> np.ndarray:
         """The weighted kernel sum of each word where it can be positive, else 0."""
@@ -265,8 +272,8 @@ def _strings(segment: str) -> list[str]:
     return [segment, *(segment[:k] for k in range(4, min(9, len(segment))))]
 
 
-def pick(bad: list[set[str]], clean_words: Counter[str], clean: int, most: int) -> list[str]:
-    """Significant strings that cover the toxic bags, greedily.
+def pick(bad: list[set[str]], clean_words: Counter[str], clean: int) -> list[str]:
+    """Significant strings picked greedily until they cover every toxic bag that any covers.
 
     ``clean_words`` counts the clean texts of each word; a string's count in clean texts
     is the sum over the words that hold it, so it is never too low.
@@ -290,25 +297,25 @@ def pick(bad: list[set[str]], clean_words: Counter[str], clean: int, most: int)
 
     chosen = {x for x in inside if surprise(x) > limit and outside[x] * len(bad) * 10 <= inside[x] * clean}
     where: dict[str, set[int]] = {x: set() for x in chosen}
+    held: list[set[str]] = []
     for k, b in enumerate(bad):
-        for s in b:
-            for x in _strings(s):
-                if x in where:
-                    where[x].add(k)
+        held.append({x for s in b for x in _strings(s) if x in where})
+        for x in held[-1]:
+            where[x].add(k)
     out: list[str] = []
-    left = set(range(len(bad)))
-    while where and len(out) < most:
-        worth = {x: len(v & left) * (1 - min(0.9, outside[x] / (inside[x] + 1))) for x, v in where.items()}
+    fresh = {x: len(v) for x, v in where.items()}  # bags that no picked string covers yet
+    while fresh:
+        worth = {x: n * (1 - min(0.9, outside[x] / (inside[x] + 1))) for x, n in fresh.items()}
         top = max(worth.values())
-        if top < 2:
-            break
         x = max((x for x, v in worth.items() if v >= 0.95 * top), key=lambda x: (len(x), x))  # of equals, the longest
         out.append(x)
-        left -= where.pop(x)
+        for k in where.pop(x):
+            for o in held[k]:
+                fresh[o] -= 1
+            held[k] = set()
+        fresh = {o: n for o, n in fresh.items() if n}
     # words of their own that cover well although other strings cover the same texts
     for x in sorted(where, key=lambda x: (-len(where[x]), -len(x), x)):
-        if len(out) >= most:
-            break
         if len(where[x]) >= 0.1 * max(1, len(bad)) and not any(x.startswith(o) or o.startswith(x) for o in out):
             out.append(x)
     return out
@@ -364,7 +371,7 @@ def logistic(d: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, fl
     return slope, float(a[1]) - slope * mid
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: int = 5) -> Model:
+def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     """A model from labelled texts."""
     toxic = [bool(y) for y in labels]
     share = (sum(toxic) + 0.5) / (len(toxic) + 1)
@@ -377,12 +384,12 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed:
     for t, y in zip(texts, toxic):  # one text at a time: only the counts are kept
         if not y:
             clean_words.update(set(segments(t)))
-    picked = pick(bad, clean_words, len(texts) - len(bad), landmarks - NEAR_CLEAN)
+    picked = pick(bad, clean_words, len(texts) - len(bad))
     if not picked:
         return flat
-    positive = Counter(s for b in bad for s in b if any(s.startswith(x) for x in picked))
+    positive = Counter(s for b in bad for s in b if s.startswith(tuple(picked)))
     positive = Counter({s: n for s, n in positive.items() if clean_words[s] * sum(toxic) < n * (len(toxic) - sum(toxic)) / 4})
-    heads = sorted(positive, key=lambda s: (-positive[s], s))[:1500]
+    heads = sorted(positive, key=lambda s: (-positive[s], s))
     if not heads:
         return flat
     clean = sorted(clean_words)

@@ -45,6 +45,15 @@ def test_toxicity_on_held_out_rows(spark, frame):
     assert min(hidden[:3]) > 0.5 > hidden[3]
 
 
+def test_every_insult_of_a_large_vocabulary_is_learned():
+    rng = random.Random(7)
+    bad_words = ["".join(rng.choice("bcdfghjklmpquvwxyz") for _ in range(rng.randint(7, 10))) for _ in range(40)]
+    rows, labels = talk(4, 4000, bad_words)
+    model = toxicity.train([t for _, t in rows], [y for _, _, y in labels])
+    texts = [f"tea on sort {w} tea" for w in bad_words]
+    assert min(model.scores(texts)) > 0.5 > max(model.scores(["tea on sort tea"]))
+
+
 def test_toxicity_edge_cases(spark, frame, edge_rows):
     model = toxicity.train([], [])
     got = toxicity.score(frame(edge_rows), model).collect()
