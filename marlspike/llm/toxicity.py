@@ -5,8 +5,9 @@ each normalised, averaged.  Subsequences may have gaps, so a word with separator
 other characters inserted stays close to the word it hides.
 
 A text is a bag of segments: its words in lower case (stripped of punctuation at
-their ends), runs of single characters joined to one, and overlapping windows of
-words longer than ``LONGEST``.  Its decision is the highest of its segments'.
+their ends), runs of single characters and of pieces of one or two characters joined
+to one (tokens of punctuation between them do not count), and overlapping windows of
+segments longer than ``LONGEST``.  Its decision is the highest of its segments'.
 
 Training, on at most ``MAX_LABELLED`` labelled texts (those with the least hash of
 their id):
@@ -66,21 +67,36 @@ def _cut(word: str) -> list[str]:
 
 
 def segments(text: str) -> list[str]:
-    """The text's segments: words, words without the separators in them, joined single characters."""
+    """The text's segments: words, words without the separators in them, joined single characters, joined short pieces.
+
+    Tokens without letters or digits leave a run of characters or pieces open.
+    """
     out: list[str] = []
     single: list[str] = []
-    for word in [*text.lower().split(), ""]:
-        bare = word.strip(_ENDS)
-        if len(bare) == 1:
-            single.append(bare)
+    short: list[str] = []  # pieces of one or two characters
+    for word in [*text.lower().split(), None]:
+        piece = bare = word and word.strip(_ENDS)
+        if bare and not bare.isalnum():
+            piece = "".join(filter(str.isalnum, bare))
+        if bare and len(bare) > 2:
+            out += _cut(bare)
+            if piece != bare:
+                out += _cut(piece)
+        if piece == "":
+            continue
+        if piece and len(piece) == 1:
+            single.append(piece)
+            short.append(piece)
             continue
         if len(single) > 2:
             out += _cut("".join(single))
-        single = []
-        if len(bare) > 2:
-            out += _cut(bare)
-            if not bare.isalnum():
-                out += _cut("".join(filter(str.isalnum, bare)))
+        if piece and len(piece) == 2:
+            single = []
+            short.append(piece)
+            continue
+        if len(short) > max(1, len(single)):
+            out += _cut("".join(short))
+        single, short = [], []
     return out
 
 

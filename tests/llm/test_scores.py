@@ -54,6 +54,16 @@ def test_every_insult_of_a_large_vocabulary_is_learned():
     assert min(model.scores(texts)) > 0.5 > max(model.scores(["tea on sort tea"]))
 
 
+def test_gapped_insults_are_one_segment():
+    assert "idiot" in toxicity.segments("an i - d - i - o - t indeed")
+    assert "stupid" in toxicity.segments("very s . t . u . p . i . d thing")
+    assert "stupid" in toxicity.segments("very st up id thing") and "stupid" in toxicity.segments("very st - u.p * id. thing")
+    rows, labels = talk(1, 800, ["grumblewit", "zakkepuk", "mufflehead"])
+    model = toxicity.train([t for _, t in rows], [y for _, _, y in labels])
+    hidden = model.scores(["tea g - r - u - m - b - l - e - w - i - t sort", "tea z . a . k . k . e . p . u . k sort", "tea mu ff le he ad sort", "tea so rt"])
+    assert min(hidden[:3]) > 0.5 > hidden[3]
+
+
 def test_toxicity_edge_cases(spark, frame, edge_rows):
     model = toxicity.train([], [])
     got = toxicity.score(frame(edge_rows), model).collect()
