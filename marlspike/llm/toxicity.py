@@ -410,8 +410,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         return flat
     clean = sorted(clean_words)
     rng.shuffle(clean)
-    clean = clean[:20_000]
-    near = Landmarks(picked).kernel(clean).max(axis=1)
+    marks = Landmarks(picked)
+    near = np.concatenate([marks.kernel(clean[k : k + 20_000]).max(axis=1) for k in range(0, len(clean), 20_000)])
     order = np.argsort(-near, kind="stable")
     hard, rest = [clean[i] for i in order[:1500]], [clean[i] for i in order[1500:4500]]
     marks = Landmarks(list(dict.fromkeys([*picked, *hard[:NEAR_CLEAN]])))

@@ -64,6 +64,16 @@ def test_gapped_insults_are_one_segment():
     assert min(hidden[:3]) > 0.5 > hidden[3]
 
 
+def test_closest_clean_words_are_landmarks_however_many_there_are():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aeionrst") for _ in range(9)) for _ in range(400)) for _ in range(150)]
+    near = ["grumblewig", "grumblewif", "grumblewib", "grumblewix", "grumblewiz"]
+    texts[7] += " " + " ".join(near)
+    bad = [f"{' '.join(t.split()[:9])} grumblewit" for t in texts[:40]]
+    model = toxicity.train([*texts, *bad], [0] * len(texts) + [1] * len(bad))
+    assert len({w for t in texts for w in toxicity.segments(t)}) > 50_000 and set(near) <= set(model.landmarks.words)
+
+
 def test_toxicity_edge_cases(spark, frame, edge_rows):
     model = toxicity.train([], [])
     got = toxicity.score(frame(edge_rows), model).collect()
