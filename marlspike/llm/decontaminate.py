@@ -9,7 +9,7 @@ not none, is one window.  All windows go into one automaton as patterns bounded
 spaces, and each text is read once.  Words inside any occurrence are hit.
 
 Defined results: null and empty texts have no words and are never contaminated;
-items without words match nothing; repeated rows are judged each on its own; an
+items without words match nothing; items without an id hit words but add no id; repeated rows are judged each on its own; an
 empty item table leaves every text clean; extra columns are ignored.
 
 Scale: texts never move.  The items are broadcast in blocks of at most
@@ -50,14 +50,16 @@ def windows(text: bytes, window: int = WINDOW) -> list[tuple[bytes, int]]:
     return [(b" ".join(found[i : i + n]), n) for i in range(len(found) - n + 1)]
 
 
-def automaton(items: list[tuple[str, bytes]], window: int = WINDOW):
+def automaton(items: list[tuple[str | None, bytes]], window: int = WINDOW):
     """Patterns of all items; a pattern's value is (words, item ids). None without patterns."""
     import ahocorasick
 
     owners: dict[bytes, tuple[int, set[str]]] = {}
     for item, text in items:
         for pattern, n in windows(text, window):
-            owners.setdefault(pattern, (n, set()))[1].add(item)
+            ids = owners.setdefault(pattern, (n, set()))[1]
+            if item is not None:
+                ids.add(item)
     if not owners:
         return None
     machine = ahocorasick.Automaton()
@@ -110,11 +112,11 @@ def spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(points[starts[a]]), int(points[ends[b - 1]])) for a, b in runs]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items, at most ``block_bytes`` of text at a time (one item at least)."""
-    held: list[tuple[str, bytes]] = []
+    held: list[tuple[str | None, bytes]] = []
     size = 0
-    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     for row in rows.toLocalIterator():
         text = row["text"].encode()
         if held and size + len(text) > block_bytes:

@@ -67,6 +67,24 @@ def test_contamination_without_items_or_rows(spark, frame, edge_rows):
     assert decontaminate.contamination(frame([]), none).collect() == []
 
 
+def test_item_without_id_hits_words_as_in_sql(spark, frame, tmp_path):
+    import duckdb
+
+    rows, items = exam(6)
+    passage = " ".join(f"only{k}" for k in range(20))
+    items += [(None, passage)]
+    rows += [(900, f"before {passage} after")]
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = decontaminate.op8(spark, str(tmp_path))
+    want = con.execute(decontaminate.ORACLE)
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_decontamination_stage(spark, frame, tmp_path):
     rows, items = exam(5)
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
