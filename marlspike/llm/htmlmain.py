@@ -34,10 +34,12 @@ their measured size is at most ``BROADCAST_BYTES``; beyond it they are joined by
 from __future__ import annotations
 
 import json
+import math
 import re
 from html import unescape
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,7 +53,6 @@ TEMPLATE_PAGES = 4
 TEMPLATE_SHARE = 0.8
 WRAPPER_NODES = 2000
 DEPTH = 150
-SIBLINGS = 200
 CELLS = 100_000
 
 # HTML element names by their role, and words in class, id and role that mark what is not the article.
@@ -182,7 +183,7 @@ def shape(root: Node) -> Shape:
     """The tree of shapes of a page.
 
     Signs are made from the leaves up, once for each node.  Neighbours of one sign are
-    a group; among very many siblings all of one sign are.
+    a group.
     """
 
     def sign(node: Node) -> None:
@@ -194,11 +195,6 @@ def shape(root: Node) -> Shape:
                 groups[-1].append(k)
             else:
                 groups.append([k])
-        if len(groups) > SIBLINGS:
-            by: dict[int, list[Node]] = {}
-            for k in kids:
-                by.setdefault(k.sign, []).append(k)
-            groups = list(by.values())
         node.groups = groups
         node.sign = hash((node.key, tuple(g[0].sign for g in groups)))
 
@@ -237,7 +233,7 @@ def match(a, b, memo: dict) -> tuple[int, list[tuple[int, int]]]:
         return found
     x, y = a.kids, b.kids
     if len(x) * len(y) > CELLS:
-        memo[id(a), id(b)] = out = _in_order(x, y, memo)
+        memo[id(a), id(b)] = out = _long(x, y, memo)
         return out
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     pair = [[0] * len(y) for _ in x]
@@ -258,22 +254,53 @@ def match(a, b, memo: dict) -> tuple[int, list[tuple[int, int]]]:
     return out
 
 
-def _in_order(x: list, y: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """A match of very long child lists: each child with the next one of its key."""
-    places: dict[str, list[int]] = {}
-    for j in range(len(y) - 1, -1, -1):
-        places.setdefault(y[j].key, []).append(j)
-    total, at, pairs = 1, 0, []
-    for i, p in enumerate(x):
-        free = places.get(p.key, [])
-        while free and free[-1] < at:
-            free.pop()
-        if free:
-            at = free.pop()
-            total += match(p, y[at], memo)[0]
-            pairs.append((i, at))
-            at += 1
-    return total, pairs
+def _form(node, forms: dict) -> int:
+    """A number for the node's keys and order, which are all that matching sees."""
+    return forms.setdefault((node.key, tuple(_form(k, forms) for k in node.kids)), len(forms))
+
+
+def _long(x: list, y: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """The same match of very long child lists, a row at a time; only some rows are kept, the others made again."""
+    forms: dict = {}
+    fx, fy = [_form(p, forms) for p in x], np.array([_form(q, forms) for q in y])
+    kinds, first, kind = np.unique(fy, return_index=True, return_inverse=True)
+    by_key: dict[str, list[int]] = {}
+    for c, j in enumerate(first):
+        by_key.setdefault(y[j].key, []).append(c)
+    pair: dict[int, np.ndarray] = {}
+    for p, f in zip(x, fx):
+        if f not in pair:
+            pair[f] = np.zeros(len(kinds), np.int64)
+            for c in by_key.get(p.key, ()):
+                pair[f][c] = match(p, y[first[c]], memo)[0]
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        new = row.copy()
+        np.maximum(row[1:], row[:-1] + pair[fx[i]][kind], out=new[1:])
+        return np.maximum.accumulate(new)
+
+    step = math.isqrt(len(x)) + 1
+    row, kept = np.zeros(len(y) + 1, np.int64), []
+    for i in range(len(x)):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, i)
+    total, j, pairs = int(row[-1]), len(y), []
+    for block in range(len(kept) - 1, -1, -1):
+        start = block * step
+        rows = [kept[block]]
+        for i in range(start, min(start + step, len(x))):
+            rows.append(after(rows[-1], i))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((start + i, j))
+    return 1 + total, pairs[::-1]
 
 
 def merge(a: Wrapper, b: Wrapper, memo: dict | None = None) -> Wrapper:

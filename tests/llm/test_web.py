@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 
@@ -48,6 +49,24 @@ def test_tree_matching_is_the_largest_match():
     assert htmlmain.match(a, b, {})[0] == 5  # root, div, p, ul, li
 
 
+def test_long_child_lists_have_the_largest_match(monkeypatch):
+    def tree(classes):
+        return htmlmain.shape(htmlmain.parse("<body>" + "".join(f"<div class='{c}'>x</div>" for c in classes) + "</body>"))
+
+    common = [f"k{i}" for i in range(400)]
+    a, b = tree(["far", *common]), tree([*common, "far"])
+    assert htmlmain.match(a, b, {})[0] == 402  # root, body and all but one child
+    rng = random.Random(2)
+    for _ in range(20):
+        a, b = (tree(rng.choices("abcd", k=rng.randint(1, 30))) for _ in range(2))
+        want = htmlmain.match(a, b, {})[0], htmlmain.match(a.kids[0], b.kids[0], {})[1]
+        monkeypatch.setattr(htmlmain, "CELLS", -1)
+        assert (htmlmain.match(a, b, {})[0], htmlmain.match(a.kids[0], b.kids[0], {})[1]) == want
+        monkeypatch.undo()
+    wide = htmlmain.shape(htmlmain.parse("".join(f"<p>{i}</p><div>{i}</div>" for i in range(300))))
+    assert len(wide.kids) == 600  # a constant block among varying ones of its sign stays by itself
+
+
 def test_very_long_and_broken_pages():
     assert htmlmain.main_text("<div>" * 300 + "deep" + "</p>" * 50) == "deep"
     assert htmlmain.main_text("<p>a < b and 'quote <b>x</b>") == "a < b and 'quote x"
