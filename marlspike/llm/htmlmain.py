@@ -27,7 +27,9 @@ nested deeper than ``DEPTH`` belong to their ancestor at that depth (each keeps
 extra columns are ignored.
 
 Scale: each task merges its own pages of a host first, so a host with a third of all
-pages is a few trees for each task in the second merge.  Wrappers are broadcast when
+pages is a few trees for each task in the second merge.  All nodes are kept until a
+host's pages are merged, so a host whose pages have classes or ids of their own costs
+time and memory in proportion to their number.  Wrappers are broadcast when
 their measured size is at most ``BROADCAST_BYTES``; beyond it they are joined by host.
 """
 
@@ -49,6 +51,7 @@ from .shared import output, written
 
 BROADCAST_BYTES = 32 << 20
 HOSTS_HELD = 5000
+NODES_HELD = 500_000
 TEMPLATE_PAGES = 4
 TEMPLATE_SHARE = 0.8
 WRAPPER_NODES = 2000
@@ -326,12 +329,13 @@ def pruned(w: Wrapper, least: int) -> Wrapper:
 
 
 def added(w: Wrapper | None, more: Wrapper) -> Wrapper:
-    """The merged wrapper; a wrapper that has grown very large loses its rarest nodes (pages keep theirs)."""
-    w = more if w is None else merge(w, more)
-    least = 2
-    while w.size() > WRAPPER_NODES and least <= w.pages:
-        w, least = pruned(w, least), least * 2
-    return w
+    """The merged wrapper; no node is dropped before all pages of the host are in it."""
+    return more if w is None else merge(w, more)
+
+
+def whole(w: Wrapper) -> Wrapper:
+    """A host's finished wrapper; a very large one loses the nodes of too few pages to be template."""
+    return pruned(w, TEMPLATE_PAGES) if w.size() > WRAPPER_NODES else w
 
 
 def tell(w: Wrapper, s: Shape, memo: dict) -> None:
@@ -436,6 +440,7 @@ def wrappers(pages: DataFrame, host_col: str = "_host", html_col: str = "_html",
 
     def induce(batches):
         held: dict[str, Wrapper] = {}
+        read = 0
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w.dump(), separators=(",", ":")) for w in held.values()], pa.string())], names=["host", "wrapper"])
@@ -443,16 +448,17 @@ def wrappers(pages: DataFrame, host_col: str = "_host", html_col: str = "_html",
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[host] = added(held.get(host), Wrapper.of(shape(parse(html or ""))))
-            if len(held) > HOSTS_HELD:
-                yield out()
-                held.clear()
+                read += 1
+                if read % 100 == 0 and (len(held) > HOSTS_HELD or sum(w.size() for w in held.values()) > NODES_HELD):
+                    yield out()
+                    held.clear()
         yield out()
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = None
+        w = None
         for text in sorted(pdf["wrapper"], key=lambda t: (-len(t), t)):
-            whole = added(whole, Wrapper.load(json.loads(text)))
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(whole.dump(), separators=(",", ":"))]})
+            w = added(w, Wrapper.load(json.loads(text)))
+        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(whole(w).dump(), separators=(",", ":"))]})
 
     parts = pages.select(host_col, html_col).mapInArrow(induce, "host string, wrapper string")
     return parts.groupBy("host").applyInPandas(join, "host string, wrapper string")

@@ -49,6 +49,17 @@ def test_tree_matching_is_the_largest_match():
     assert htmlmain.match(a, b, {})[0] == 5  # root, div, p, ul, li
 
 
+def test_template_of_a_late_layout_is_found(spark):
+    def page(layout, n):
+        own = "".join(f"<div id='{layout}x{k}'>Varying text {n} {k}</div>" for k in range(900))
+        return f"<body><div id='{layout}'><p>Constant line of layout {layout}</p><h3>{n}</h3><p>{'More text ' * 500}{n}</p></div>{own}</body>"
+
+    rows = [(10 * k + n, f"http://a.example/{k}/{n}", page(f"lay{k}", f"no{k}n{n}")) for k in range(4) for n in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    texts = {r.page_id: r.text for r in htmlmain.extract(pages).collect()}
+    assert len(texts) == len(rows) and not any("Constant line" in t for t in texts.values())
+
+
 def test_long_child_lists_have_the_largest_match(monkeypatch):
     def tree(classes):
         return htmlmain.shape(htmlmain.parse("<body>" + "".join(f"<div class='{c}'>x</div>" for c in classes) + "</body>"))
