@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .htmlmain import Node, parse
+from .htmlmain import blocks, parse
 from .shared import output
 
 VERSION = "WARC/1.1"
@@ -60,14 +60,7 @@ def one_line(text: str) -> str:
 def plain_text(html: str) -> str:
     """All visible text, one block a line."""
 
-    def walk(node: Node) -> Iterator[str]:
-        for part in node.parts:
-            if not isinstance(part, Node):
-                yield part[0]
-            elif part.tag != "head":
-                yield from walk(part)
-
-    return "\n".join(walk(parse(html)))
+    return "\n".join(text for _, text in blocks(parse(html)[0], lambda k: k.tag == "head"))
 
 
 def metadata_block(http_headers: str, html: str, block_digest: str | None, payload_digest: str | None) -> bytes:

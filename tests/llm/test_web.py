@@ -32,50 +32,133 @@ def test_article_of_every_page(spark):
     assert htmlmain.extract(pages.limit(0)).collect() == []
 
 
-def test_template_is_left_out_without_article_tag():
+def extracted(spark, pages, parts=3):
+    """Texts by page id of (id, url, html) rows."""
+    return {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)).collect()}
+
+
+def test_template_is_left_out_without_article_tag(spark):
     def page(n):
         return f"<body><div><p>Welcome to our site, the same line on every page of it</p></div><div><p>{'Varying text ' * 10}{n}</p><p>{'More text ' * 12}{n}</p></div></body>"
 
-    whole = None
-    for n in range(6):
-        whole = htmlmain.added(whole, htmlmain.Wrapper.of(htmlmain.shape(htmlmain.parse(page(n)))))
-    text = htmlmain.main_text(page(3), whole)
+    text = extracted(spark, [(n, "http://a.example/", page(n)) for n in range(6)])[3]
     assert "Welcome" not in text and text.count("\n") == 1 and text.endswith("3")
 
 
-def test_tree_matching_is_the_largest_match():
-    a = htmlmain.shape(htmlmain.parse("<div><h1>x</h1><p>y</p><ul><li>z</li></ul></div>"))
-    b = htmlmain.shape(htmlmain.parse("<div><p>y</p><form>q</form><ul><li>z</li><li>w</li></ul></div>"))
-    assert htmlmain.match(a, b, {})[0] == 5  # root, div, p, ul, li
+def test_constant_block_among_varying_siblings_is_template(spark):
+    def page(n):
+        more = "".join(f"<p>Paragraph {n} {k} of a text that varies.</p>" for k in range(n % 5 + 1))
+        return f"<body><div><p>Start {n} of a text that varies.</p><p>Sign up for the letter.</p>{more}</div></body>"
+
+    texts = extracted(spark, [(n, "http://a.example/", page(n)) for n in range(20)])
+    assert all("Sign up" not in t and t.count("\n") == n % 5 + 1 for n, t in texts.items())
+
+
+@pytest.mark.parametrize("odd", ["Other heading", "zzz", "News of 1999", "b", "x y z", "0"])
+def test_one_deviating_page_does_not_save_the_template(spark, odd):
+    def page(n):
+        return f"<body><div><h3>{odd if n == 0 else 'Latest news'}</h3><p>{'Varying text ' * 10}{n}</p></div></body>"
+
+    rows = [(n, "http://a.example/", page(n)) for n in range(20)]
+    texts = extracted(spark, rows)
+    assert odd in texts[0] and not any("Latest news" in t for t in texts.values())
+    assert extracted(spark, rows[::-1], 1) == extracted(spark, rows, 7) == texts
+
+
+def test_slots_decide_where_no_tag_names_the_article(spark):
+    """The wrapper finds the article by what varies on the host; a page alone may have more text elsewhere."""
+
+    def page(n):
+        return f"<body><div><a href='/'>home</a></div><div>Teaser {n} with more text than this article has</div><div><h1>Title {n}</h1><p>{'Long text ' * (40 if n else 1)}{n}.</p></div><div>(c) site</div></body>"
+
+    rows = [(n, "http://a.example/", page(n)) for n in range(6)]
+    texts = extracted(spark, rows)
+    assert texts[0] == "Title 0\nLong text 0." and "Teaser" in htmlmain.main_text(rows[0][2])
+    assert all(t.startswith("Title") and "(c)" not in t for t in texts.values())
+
+
+def test_nothing_else_is_dropped(spark):
+    deep = "<div>" * 400
+    links = "".join(f"<li><a href='/{k}'>link {k}</a></li>" for k in range(9))
+    html = f"<body><nav><p>menu</p></nav><article><div class='article-header'><h1>Title</h1></div><p class='legal-history'>Law.</p><ul>{links}</ul><p>Sum <math><mi>x</mi></math> is.</p>{deep}<p>deep</p><nav>leak</nav>{'</div>' * 400}<div class='content no-sidebar'>kept</div><div class='site-header'>Site</div><div role='alert'>Now!</div><div class='sidebar-left'>Side</div></article></body>"
+    want = "Title\nLaw.\n" + "\n".join(f"link {k}" for k in range(9)) + "\nSum x is.\ndeep\nkept"
+    assert htmlmain.main_text(html) == want
+    assert extracted(spark, [(1, "http://a.example/", html)]) == {1: want}
+
+
+def brute(a, b):
+    """The size of the largest order-preserving top-down match, tried over all choices of child pairs."""
+    if a.key != b.key:
+        return 0
+
+    def best(i, j):
+        if i == len(a.kids) or j == len(b.kids):
+            return 0
+        return max(best(i + 1, j), best(i, j + 1), brute(a.kids[i], b.kids[j]) + best(i + 1, j + 1) if a.kids[i].key == b.kids[j].key else 0)
+
+    return 1 + best(0, 0)
+
+
+def grown(rng, depth=0):
+    t = htmlmain.Tree("r" if not depth else rng.choice("abc"))
+    t.kids = [grown(rng, depth + 1) for _ in range(rng.randint(0, 4 - depth))]
+    return t
+
+
+def test_tree_matching_is_the_largest_match(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = grown(rng), grown(rng)
+        want = htmlmain.match(a, b, {})
+        assert want[0] == brute(a, b)
+        both = htmlmain.merged(a, b)
+        for t in (a, b):  # each tree is a part of the merged one
+            assert htmlmain.match(both, t, {})[0] == len(htmlmain.preorder(t)) and -1 not in htmlmain.aligned(both, t)
+        monkeypatch.setattr(htmlmain, "CELLS", -1)
+        assert htmlmain.match(a, b, {}) == want
+        monkeypatch.undo()
+
+
+def test_whole_pages_match_by_brute_force():
+    def tree(html):
+        return htmlmain.groups(htmlmain.parse(html))
+
+    a = tree("<div><h1>x</h1><p>y</p><p>y2</p><ul><li>z</li></ul></div>")
+    b = tree("<div><p>y</p><form>q</form><ul><li>z</li><li>w</li></ul></div>")
+    assert htmlmain.match(a, b, {})[0] == brute(a, b) == 5  # root, div, p, ul, li
+    assert htmlmain.dumped(htmlmain.loaded(htmlmain.dumped(a))) == htmlmain.dumped(a)
+    x, y = tree(PAGE), tree(PAGE.replace("<h1>", "<h2>old</h2><h1>").replace("<aside>", "<div><p>new</p></div><aside>"))
+    assert htmlmain.match(x, y, {})[0] == brute(x, y) == len(htmlmain.preorder(x))
+
+
+def test_trees_merge_the_same_in_any_fan_and_partitioning(spark):
+    rng = random.Random(4)
+    rows = [("h", "".join(f"<{t}>x</{t}>" for t in rng.choices(["p", "div", "h2", "ul"], k=rng.randint(1, 6)))) for _ in range(120)]
+    pages = spark.createDataFrame(rows, "host string, html string")
+    for fan in (htmlmain.FAN, 7):
+        one, two = (htmlmain.trees(pages.repartition(n), fan).collect() for n in (1, 5))
+        assert one == two and len(one) == 1
+        whole = htmlmain.loaded(one[0].wrapper)
+        for _, html in rows:
+            assert -1 not in htmlmain.aligned(whole, htmlmain.groups(htmlmain.parse(html)))
 
 
 def test_template_of_a_late_layout_is_found(spark):
     def page(layout, n):
-        own = "".join(f"<div id='{layout}x{k}'>Varying text {n} {k}</div>" for k in range(900))
-        return f"<body><div id='{layout}'><p>Constant line of layout {layout}</p><h3>{n}</h3><p>{'More text ' * 500}{n}</p></div>{own}</body>"
+        own = "".join(f"<div class='{layout}x{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}'>Varying text {n} {k}</div>" for k in range(900))
+        return f"<body><div class='{layout}'><p>Constant line of layout {layout}</p><h3>{n}</h3><p>{'More text ' * 500}{n}</p></div>{own}</body>"
 
-    rows = [(10 * k + n, f"http://a.example/{k}/{n}", page(f"lay{k}", f"no{k}n{n}")) for k in range(4) for n in range(5)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
-    texts = {r.page_id: r.text for r in htmlmain.extract(pages).collect()}
+    rows = [(10 * k + n, f"http://a.example/{k}/{n}", page(f"lay{'abcd'[k]}", f"no{k}n{n}")) for k in range(4) for n in range(5)]
+    texts = extracted(spark, rows, 1)
     assert len(texts) == len(rows) and not any("Constant line" in t for t in texts.values())
 
 
-def test_long_child_lists_have_the_largest_match(monkeypatch):
+def test_long_child_lists_have_the_largest_match():
     def tree(classes):
-        return htmlmain.shape(htmlmain.parse("<body>" + "".join(f"<div class='{c}'>x</div>" for c in classes) + "</body>"))
-
-    common = [f"k{i}" for i in range(400)]
-    a, b = tree(["far", *common]), tree([*common, "far"])
-    assert htmlmain.match(a, b, {})[0] == 402  # root, body and all but one child
-    rng = random.Random(2)
-    for _ in range(20):
-        a, b = (tree(rng.choices("abcd", k=rng.randint(1, 30))) for _ in range(2))
-        want = htmlmain.match(a, b, {})[0], htmlmain.match(a.kids[0], b.kids[0], {})[1]
-        monkeypatch.setattr(htmlmain, "CELLS", -1)
-        assert (htmlmain.match(a, b, {})[0], htmlmain.match(a.kids[0], b.kids[0], {})[1]) == want
-        monkeypatch.undo()
-    wide = htmlmain.shape(htmlmain.parse("".join(f"<p>{i}</p><div>{i}</div>" for i in range(300))))
-    assert len(wide.kids) == 600  # a constant block among varying ones of its sign stays by itself
+        return htmlmain.groups(htmlmain.parse("<body>" + "".join(f"<div class='{c}'>x</div>" for c in classes) + "</body>"))
+
+    common = [f"k{'abcdefghij'[i // 100]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}" for i in range(400)]
+    assert htmlmain.match(tree(["far", *common]), tree([*common, "far"]), {})[0] == 402  # root, body and all but one child
 
 
 def test_very_long_and_broken_pages():
@@ -84,8 +167,7 @@ def test_very_long_and_broken_pages():
     deep = "<div><ul><li>a</li><li>b</li></ul>" * 3000 + "end" + "</div>" * 3000
     assert htmlmain.main_text(deep).count("end") == 1
     wide = "<body>" + "".join(f"<p>w{i}</p><div class='k{i}'>y{i}</div>" for i in range(3000)) + "</body>"
-    whole = htmlmain.added(htmlmain.Wrapper.of(htmlmain.shape(htmlmain.parse(wide))), htmlmain.Wrapper.of(htmlmain.shape(htmlmain.parse(wide))))
-    assert "w2999" in htmlmain.main_text(wide, whole)
+    assert "w2999" in htmlmain.main_text(wide)
     nested = "<ul><li>a</li><li>" * 60 + "z"
     assert htmlmain.main_text(nested).endswith("z")
     assert len(htmlmain.main_text("<article>" + "<p>word</p>" * 20_000)) == 5 * 20_000 - 1
