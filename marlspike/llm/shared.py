@@ -10,45 +10,108 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables.  Off one machine it must be set; a local folder would be another one on each."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             where = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             where = tempfile.mkdtemp(prefix="marlspike-")
             spark.sparkContext.setCheckpointDir(where)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return where.rstrip("/") + "/tables"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``drop_written`` knows of."""
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
 def written(df: DataFrame, label: str = "t") -> DataFrame:
     """``df`` written to the shared folder and read back, so its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    _MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
 
 
 _MADE: list[str] = []
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this process, once no result reads them any more."""
-    n = 0
-    while _MADE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
-    return n
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and that nothing reads any more."""
+    if path := getattr(df, "_written", None):
+        _delete(df.sparkSession, path)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+def made() -> int:
+    """How many tables there are by now, for ``drop_written``."""
+    return len(_MADE)
+
+
+def drop_written(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> int:
+    """Delete the intermediate tables made since then, except one, once no result reads them any more."""
+    keep = [getattr(but, "_written", None)]
+    gone = [p for p in _MADE[since:] if p not in keep]
+    _MADE[since:] = [p for p in _MADE[since:] if p in keep]
+    return sum(_delete(spark, p) for p in gone)
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [column(c) for c in df.columns]
+
+
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def unpacked(df: DataFrame, struct: str, columns: list[str]) -> DataFrame:
+    """The fields of a struct column as columns, in order."""
+    return df.select(*[F.col(struct).getField(c).alias(c) for c in columns])
+
+
+def filtered(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows whose text (UTF-8; null: empty) is to be kept; each row goes to Python once."""
+    packed = docs.select(F.struct(*quoted(docs)).alias("row"))
+    at = docs.columns.index(text_col)
+
+    def read(batches):
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(0).field(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    return unpacked(packed.mapInArrow(read, packed.schema), "row", docs.columns)
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_bounds, least_runs, mix64, output, range_bucket, ranges_for, text_bytes
+from .shared import column, id_bounds, least_runs, mix64, output, range_bucket, ranges_for, text_bytes
 
 LENGTH = 100
 GRAM = 36
@@ -219,7 +219,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     batches = ranges_for(size, batch_bytes, LEAST_BATCHES)
     parts = max(LEAST_BATCHES, -(-size // (PART_KEYS * 25)))
     bounds = id_bounds(docs, id_col, batches)
-    row = [F.struct(*carry).alias("_row")] if carry else []
+    row = [F.struct(*[column(c) for c in carry]).alias("_row")] if carry else []
     dealt = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *row, range_bucket(F.col(id_col), bounds).alias("_batch"))
     blocks = "part int, batch int, step int, data binary"
 
@@ -296,7 +296,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]  # the text travels once
     found = repeats(docs, carry=rest, keep_text=True)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return found.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import output
+from .shared import filtered, output
 
 DECAY = 0.6
 ORDERS = (3, 4)
@@ -481,7 +481,15 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted toxic go."""
+    """Pipeline stage: documents predicted toxic go.
+
+    Null and empty texts have the score of kernel 0; equal texts fare alike; columns of
+    any name come back as they are.
+    """
     model = train(*labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", HELD_OUT, MAX_LABELLED))
-    keyed = docs.select(F.struct(*docs.columns).alias("_id"), "text")
-    return score(keyed, model, id_col="_id").where("score < 0.5").select("_id.*")
+    shared = spark.sparkContext.broadcast(model)
+
+    def clean(texts: list[bytes]) -> list[bool]:
+        return [x < 0.5 for part in _parts([t.decode("utf-8", "replace") for t in texts]) for x in shared.value.scores(part)]
+
+    return filtered(docs, clean)

@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, size string, score string, batch string, part string, row string, `odd name` string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, size string, score string, batch string, part string, row string, `odd name` string, `dotted.name` string, _nth string, `tick``ed` string"
 
 
 @pytest.fixture(scope="session")
@@ -8,7 +8,7 @@ def frame(spark):
     """Documents from (doc_id, text[, source]) with extra columns whose names clash with the operators' own."""
 
     def make(rows):
-        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1]), "x", "x", "x", "x", "x", "x", "x") for r in rows]
+        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1]), *["x"] * 10) for r in rows]
         return spark.createDataFrame(full, SCHEMA).repartition(3)
 
     return make

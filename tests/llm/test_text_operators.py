@@ -48,12 +48,14 @@ def exam(seed):
     return rows, items
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_contamination_equals_brute_force(spark, frame, edge_rows, block):
-    rows, items = exam(4)
+@pytest.mark.parametrize("size", [1 << 20, 60])
+@pytest.mark.parametrize("seed", [4, 7])
+def test_contamination_equals_brute_force(spark, frame, edge_rows, size, seed):
+    """With the automaton, and with the join for items beyond the limit."""
+    rows, items = exam(seed)
     rows += [(100 + k, t) for k, (_, t) in enumerate(edge_rows)]
     table = spark.createDataFrame([*items, (98, None), (99, " -- ")], "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.contamination(frame(rows), table, block_bytes=block).collect()}
+    got = {r.doc_id: r for r in decontaminate.contamination(frame(rows), table, item_bytes=size).collect()}
     for (i, t), want in zip(rows, brute_hits([t for _, t in rows], items)):
         r = got[i]
         assert (r.n_words, r.n_hit, r.items, r.contaminated) == want, i
@@ -85,7 +87,41 @@ def test_item_without_id_hits_words_as_in_sql(spark, frame, tmp_path):
     assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.fetchall())
 
 
-def test_decontamination_stage(spark, frame, tmp_path):
+def test_scan_equals_brute_force_for_many_lengths():
+    rng = random.Random(8)
+    for window in (13, 4, 1):
+        word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 2)))
+        items = [(str(i), " ".join(word() for _ in range(n)).encode()) for i, n in enumerate([0, 1, 3, 5, 6, 7, 8, 12, 13, 14, 30, 45])]
+        known = decontaminate.Items(items[2:], window)
+        texts = [" ".join(word() for _ in range(60)) + " " + rng.choice(items)[1].decode() + " " + word() for _ in range(60)]
+        for t, want in zip(texts, brute_hits(texts, [(i, x.decode()) for i, x in items[2:]], window)):
+            n, runs, ids = known.scan(t.encode())
+            assert (n, sum(b - a for a, b in runs), sorted(ids)) == want[:3]
+
+
+def test_memory_of_the_automaton_is_bounded():
+    """Two megabytes of items of distinct passages take less than 60 bytes of memory for each byte."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from marlspike.llm import decontaminate
+rng = random.Random(1)
+items = [(str(i), " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + str(rng.randrange(30000)) for _ in range(60)).encode()) for i in range(4500)]
+size = sum(len(t) for _, t in items)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+known = decontaminate.Items(items)
+assert known.scan(items[7][1])[1] == [(0, 60)]
+print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024)
+"""
+    size, used = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert size > 1_500_000 and used < 60 * size
+
+
+@pytest.mark.parametrize("size", [1 << 20, 60])
+def test_decontamination_stage(spark, frame, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", size)
     rows, items = exam(5)
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = frame(rows)
