@@ -140,30 +140,64 @@ def test_groups_edge_cases(frame, edge_rows):
     assert simhash.groups(frame([])).collect() == []
 
 
-@pytest.mark.parametrize("m", [2, 3, 4, 5])
-def test_links_equal_all_pairs(spark, m):
-    rng = random.Random(m)
-    prints = {rng.getrandbits(64) for _ in range(60)}
-    for x in list(prints):
-        for _ in range(4):
-            x ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5)))
-            prints.add(x)
+def check_links(spark, prints, **how):
+    """Components of ``link_edges`` are those of all pairs."""
     prints = sorted(prints)
     nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "fp long")
-    roots = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in simhash.components(simhash.link_edges(nodes, len(prints), m=m)).collect()}
-    items = list(enumerate(prints))
-    want = brute_components(items)
+    roots = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in simhash.components(simhash.link_edges(nodes, len(prints), **how)).collect()}
     groups = {}
-    for (i, p), c in zip(items, want):
+    for (_, p), c in zip(enumerate(prints), brute_components(list(enumerate(prints)))):
         groups.setdefault(c, set()).add(p)
     for members in groups.values():
         assert len({roots.get(p, p) for p in members}) == 1
     assert len({roots.get(p, p) for p in prints}) == len(groups)
 
 
+def some_prints(seed, centres=60, near=4):
+    rng = random.Random(seed)
+    prints = {rng.getrandbits(64) for _ in range(centres)}
+    for x in list(prints):
+        for _ in range(near):
+            x ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5)))
+            prints.add(x)
+    return prints
+
+
+@pytest.mark.parametrize("m", [2, 3, 4, 5])
+def test_links_equal_all_pairs(spark, m):
+    check_links(spark, some_prints(m), m=m)
+
+
+@pytest.mark.parametrize("m", [2, 5])
+def test_heavy_parts_are_shared_out(spark, m):
+    """Many near copies of one text, small parts and shares of a few rows."""
+    check_links(spark, some_prints(m, 3, 80), m=m, part_rows=2, heavy_rows=5)
+
+
+def test_long_ranges_skip_known_groups(monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", 2)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 7)
+    for seed in range(12):
+        rng = random.Random(seed)
+        prints = sorted({x & ~0xFFF | 0x5A5 for x in some_prints(seed, 8, 12)})  # one value in the segment that is looked up
+        rng.shuffle(prints)
+        fp = np.array(prints, np.uint64)
+        label = simhash._part_links(fp, np.zeros(len(fp), np.uint64), np.ones(len(fp), bool), 0, 12, 4, 4, 0)
+        want = brute_components(list(enumerate(prints)))
+        assert len({*zip(label.tolist(), want)}) == len(set(want)) == len(set(label.tolist()))
+
+
+def test_part_counts_follow_the_fingerprints():
+    assert [simhash.prefix_bits(n, 32) for n in (10, 10**6, 2 * 10**10)] == [4, 10, 24]
+    assert simhash.prefix_bits(10**12, 12) == 12
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, rounds=2)
 
 
 def test_table_choice_is_cheapest_of_exact_ones():
