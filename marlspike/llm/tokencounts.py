@@ -20,12 +20,10 @@ rows costs one row for each task; texts are read once, for counting.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import work_dir, written
+from .shared import scratch, written
 
 GROUP = ["source", "lang", "tokenizer"]
 
@@ -76,55 +74,65 @@ class Rollup:
         found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
         return sorted(n for n in found if self._done(f"{self.path}/{kind}/{n}"))
 
+    def _state(self) -> tuple[str | None, set[str], list[str]]:
+        """(last snapshot, batches folded into it, batches that are not), from one listing of each kind.
+
+        A batch that ends after the listing is in neither, wherever it is listed later.
+        """
+        batches, snapshots = self._names("batches"), self._names("snapshots")
+        if not snapshots:
+            return None, set(), batches
+        folded = {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/names/{snapshots[-1]}").collect()}
+        return snapshots[-1], folded, [b for b in batches if b not in folded]
+
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Enter a batch of deltas under its id; False if it is already there."""
         folder = f"{self.path}/batches/{batch}"
-        if batch in self._folded() or self._done(folder):
+        if self._done(folder) or batch in self._state()[1]:
             return False
         deltas.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(folder)
         return True
 
-    def _folded(self) -> set[str]:
-        names = self._names("snapshots")
-        if not names:
-            return set()
-        return {r[0] for r in self.spark.read.parquet(f"{self.path}/names/{names[-1]}").collect()}
-
-    def _deltas(self) -> DataFrame:
+    def _sum(self, snapshot: str | None, batches: list[str]) -> DataFrame:
         schema = "source string, lang string, tokenizer string, docs long, tokens long"
-        folded, snapshots = self._folded(), self._names("snapshots")
-        paths = [f"{self.path}/snapshots/{snapshots[-1]}"] if snapshots else []
-        paths += [f"{self.path}/batches/{b}" for b in self._names("batches") if b not in folded]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/snapshots/{snapshot}"] if snapshot else []
+        paths += [f"{self.path}/batches/{b}" for b in batches]
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        summed = rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return summed.where("docs != 0 or tokens != 0")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) over all committed batches."""
-        summed = self._deltas().groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return summed.where("docs != 0 or tokens != 0")
+        snapshot, _, batches = self._state()
+        return self._sum(snapshot, batches)
 
     def compact(self) -> None:
-        """Fold all committed batches into a new snapshot; the names it holds are written before it."""
-        batches = sorted({*self._names("batches"), *self._folded()})
-        name = f"{len(self._names('snapshots')):08d}"
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/names/{name}")
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")
+        """Fold all committed batches into a new snapshot; the names it holds are written before it.
+
+        Names and sums come from one listing, so a batch that ends meanwhile stays outside of both.
+        One process compacts at a time.
+        """
+        snapshot, folded, batches = self._state()
+        name = "00000000" if snapshot is None else f"{int(snapshot) + 1:08d}"
+        self.spark.createDataFrame([(b,) for b in sorted(folded | set(batches))], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/names/{name}")
+        self._sum(snapshot, batches).write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """``op10_token_rollups`` over all of ``documents``, as a log of four deliveries.
 
     All documents are inserted with version ``space-1``; the batch is delivered again;
-    exact copies (all but the smallest id of each text) are deleted; what is left in
-    English is revised to version ``alnum-1``.
+    exact copies (all but the smallest id of each text; a row without id is a copy) are
+    deleted; what is left in English is revised to version ``alnum-1``.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = written(docs.select("doc_id", "source", "lang", F.sha2(text, 256).alias("mark"), count(text, "space-1").alias("one"), count(text, "alnum-1").alias("two")), "token-counts")
-    first = sized.groupBy("mark").agg(F.min("doc_id").alias("first"))
-    judged = written(sized.join(first, "mark").withColumn("copy", F.col("doc_id") != F.col("first")), "token-log")
+    first = sized.groupBy("mark").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    judged = written(sized.join(first, ["mark", "doc_id"], "left").withColumn("copy", F.col("first").isNull()), "token-log")  # by text and id, so many copies are many keys
     one = judged.withColumns({"tokenizer": F.lit("space-1"), "tokens": F.col("one")})
     two = judged.withColumns({"tokenizer": F.lit("alnum-1"), "tokens": F.col("two")})
-    rollup = Rollup(spark, f"{work_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, scratch(spark, "rollup"))
     rollup.commit("insert", inserts(one))
     rollup.commit("insert", inserts(one))
     rollup.commit("delete", deletes(one.where("copy")))

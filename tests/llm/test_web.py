@@ -211,6 +211,24 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
     assert get() == {("a", "en", "t1"): (2, 10), ("b", "de", "t2"): (2, 16)}
 
 
+def test_commit_while_compacting_is_counted_once(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", "en", "t", 10)], "source string, lang string, tokenizer string, tokens long")
+    r = tokencounts.Rollup(spark, str(tmp_path / "r"))
+    r.commit("one", tokencounts.inserts(rows))
+    summed = tokencounts.Rollup._sum
+
+    def late(self, *state):  # a batch that ends after the names are written and before the snapshot is
+        monkeypatch.undo()
+        self.commit("two", tokencounts.inserts(rows))
+        return summed(self, *state)
+
+    monkeypatch.setattr(tokencounts.Rollup, "_sum", late)
+    r.compact()
+    assert [(x.docs, x.tokens) for x in r.totals().collect()] == [(2, 20)]
+    r.compact()
+    assert [(x.docs, x.tokens) for x in r.totals().collect()] == [(2, 20)]
+
+
 @pytest.mark.parametrize("half_written", [True])
 def test_broken_commit_is_written_again(spark, tmp_path, half_written):
     rows = spark.createDataFrame([("a", "en", "t", 10)], "source string, lang string, tokenizer string, tokens long")
