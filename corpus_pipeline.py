@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlspike.llm import decontaminate, mixing, simhash, suffixes, toxicity
-from marlspike.llm.shared import written
+from marlspike.llm.shared import drop_written, made, written
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -24,8 +24,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all of ``documents``; rows are those of the last stage."""
+    """All stages over all of ``documents``; rows are those of the last stage.
+
+    A stage's intermediate tables, and what the stage before it wrote, go once its own result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = made()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_written(spark, since, docs)
     return docs
