@@ -7,15 +7,17 @@ other characters inserted stays close to the word it hides.
 A text is a bag of segments: its words in lower case (stripped of punctuation at
 their ends), runs of single characters and of pieces of one or two characters joined
 to one (tokens of punctuation between them do not count), and overlapping windows of
-segments longer than ``LONGEST``.  Its decision is the highest of its segments'.
+segments longer than ``LONGEST``, and runs of words that spell a learned phrase, joined
+to one.  Its decision is the highest of its segments'.
 
-Training, on at most ``MAX_LABELLED`` labelled texts (those with the least hash of
-their id):
+Training, on at most ``MAX_LABELLED`` labelled texts of ``MAX_LEARNED_BYTES`` bytes
+together (in order of a hash of their id; a text that no longer fits is left out):
 
 1. words and word beginnings that are significantly more frequent in toxic texts
    (binomial tail, corrected for their number) are picked greedily until they cover
    every toxic text that any of them covers; they and the clean segments closest to
-   them are the landmarks, so the number of landmarks follows the vocabulary;
+   them are the landmarks, so the number of landmarks follows the vocabulary; where
+   no word covers a toxic text, runs of two and three words are picked the same way;
 2. segments of toxic texts that start with a picked string, and copies of them with
    characters inserted, are positive; segments of clean texts (random, and
    the closest to the landmarks) are negative;
@@ -28,8 +30,8 @@ equal texts have equal scores; without toxic or clean labels, or without any
 significant word, every text gets the share of toxic labels (smoothed); rows without
 an id or label are not learned from; extra columns are ignored.
 
-Scale: only the model (a few kB for each landmark) is sent out; texts are scored where
-they are read.
+Scale: only the model is sent out (tables over pairs of the landmarks' letter pairs: 1 MB
+for 30 landmarks, 10 MB at most for 40 letters); texts are scored where they are read.
 Segments are scored once in each Python worker while they stay in its cache.
 """
 
@@ -44,6 +46,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import filtered, output
 
@@ -51,7 +54,10 @@ DECAY = 0.6
 ORDERS = (3, 4)
 LONGEST = 16
 MAX_LABELLED = 5000
-MAX_LEARNED_CHARS = 200_000
+MAX_LEARNED_BYTES = 24 << 20
+PHRASE_CHARS = 24
+PHRASE_WORDS = (2, 3)
+SPELLED = 0.5
 NEAR_CLEAN = 8
 HELD_OUT = (5, 0)
 CACHE = 300_000
@@ -255,8 +261,8 @@ class Landmarks:
 class Model:
     """Weights over landmarks, a bias and a logistic curve."""
 
-    def __init__(self, landmarks: Landmarks | None, weights, bias: float, slope: float, offset: float):
-        self.landmarks, self.weights, self.bias, self.slope, self.offset = landmarks, weights, bias, slope, offset
+    def __init__(self, landmarks: Landmarks | None, weights, bias: float, slope: float, offset: float, phrases: Phrases | None = None):
+        self.landmarks, self.weights, self.bias, self.slope, self.offset, self.phrases = landmarks, weights, bias, slope, offset, phrases
         self.known: dict[str, float] = {}
         self.table: list[np.ndarray] | None = None
 
@@ -267,6 +273,8 @@ class Model:
         if self.table is None:
             self.table = self.landmarks.folded(self.weights)
         bags = [set(segments(t)) for t in texts]
+        if self.phrases is not None:
+            bags = [a | b for a, b in zip(bags, self.phrases.within(texts))]
         new = list(set().union(*bags).difference(self.known)) if bags else []
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
@@ -289,7 +297,7 @@ def _strings(segment: str) -> list[str]:
 
 
 def pick(bad: list[set[str]], clean_words: Counter[str], clean: int) -> list[str]:
-    """Significant strings picked greedily until they cover every toxic bag that any covers.
+    """Significant words and beginnings that cover every toxic bag that any covers.
 
     ``clean_words`` counts the clean texts of each word; a string's count in clean texts
     is the sum over the words that hold it, so it is never too low.
@@ -303,7 +311,18 @@ def pick(bad: list[set[str]], clean_words: Counter[str], clean: int) -> list[str
                 outside[x] += n
     for x in outside:
         outside[x] = min(outside[x], clean)
-    base = len(bad) / (len(bad) + clean)
+    held = [{x for s in b for x in _strings(s) if x in inside} for b in bad]
+    out = covering(held, inside, outside, len(bad), clean)
+    # words of their own that cover well although other strings cover the same texts
+    for x in sorted(significant(inside, outside, len(bad), clean), key=lambda x: (-inside[x], -len(x), x)):
+        if inside[x] >= 0.1 * max(1, len(bad)) and not any(x.startswith(o) or o.startswith(x) for o in out):
+            out.append(x)
+    return out
+
+
+def significant(inside: Counter[str], outside: Counter[str], toxic: int, clean: int) -> set[str]:
+    """Strings far more frequent in toxic texts: binomial tail, corrected for the number of strings."""
+    base = toxic / (toxic + clean)
     limit = math.log(max(2, len(inside))) + 3
 
     def surprise(x: str) -> float:
@@ -311,15 +330,19 @@ def pick(bad: list[set[str]], clean_words: Counter[str], clean: int) -> list[str
         q = min(k / n, 1 - 1e-9)
         return n * (q * math.log(q / base) + (1 - q) * math.log((1 - q) / (1 - base))) if q > base else 0.0
 
-    chosen = {x for x in inside if surprise(x) > limit and outside[x] * len(bad) * 10 <= inside[x] * clean}
-    where: dict[str, set[int]] = {x: set() for x in chosen}
+    return {x for x in inside if surprise(x) > limit and outside[x] * toxic * 10 <= inside[x] * clean}
+
+
+def covering(bags: list[set[str]], inside: Counter[str], outside: Counter[str], toxic: int, clean: int) -> list[str]:
+    """Significant strings picked greedily until they cover every bag that any covers."""
+    where: dict[str, set[int]] = {x: set() for x in significant(inside, outside, toxic, clean)}
     held: list[set[str]] = []
-    for k, b in enumerate(bad):
-        held.append({x for s in b for x in _strings(s) if x in where})
+    for k, b in enumerate(bags):
+        held.append({x for x in b if x in where})
         for x in held[-1]:
             where[x].add(k)
     out: list[str] = []
-    fresh = {x: len(v) for x, v in where.items()}  # bags that no picked string covers yet
+    fresh = {x: len(v) for x, v in where.items() if v}  # bags that no picked string covers yet
     while fresh:
         worth = {x: n * (1 - min(0.9, outside[x] / (inside[x] + 1))) for x, n in fresh.items()}
         top = max(worth.values())
@@ -330,13 +353,87 @@ def pick(bad: list[set[str]], clean_words: Counter[str], clean: int) -> list[str
                 fresh[o] -= 1
             held[k] = set()
         fresh = {o: n for o, n in fresh.items() if n}
-    # words of their own that cover well although other strings cover the same texts
-    for x in sorted(where, key=lambda x: (-len(where[x]), -len(x), x)):
-        if len(where[x]) >= 0.1 * max(1, len(bad)) and not any(x.startswith(o) or o.startswith(x) for o in out):
-            out.append(x)
     return out
 
 
+def pieces(text: str) -> list[str]:
+    """The letters and digits of each word, in lower case and in order."""
+    found = ("".join(filter(str.isalnum, w)) if not w.isalnum() else w for w in text.lower().split())
+    return [w for w in found if w]
+
+
+def _runs(text: str) -> set[str]:
+    """All runs of ``PHRASE_WORDS`` words."""
+    w = pieces(text)
+    return {" ".join(w[k : k + n]) for n in PHRASE_WORDS for k in range(len(w) - n + 1)}
+
+
+def pick_phrases(bad: list[str], clean: list[str], toxic: int) -> list[str]:
+    """Significant runs of words that cover the toxic texts ``bad``, which no single word covers."""
+    if len(bad) < 3:
+        return []
+    bags = [_runs(t) for t in bad]
+    inside = Counter(x for b in bags for x in b)
+    inside = Counter({x: n for x, n in inside.items() if n > 2})
+    outside: Counter[str] = Counter()
+    for t in clean:
+        outside.update(x for x in _runs(t) if x in inside)
+    return covering(bags, inside, outside, toxic, len(clean))
+
+
+class Phrases:
+    """Finds runs of words that spell a phrase, each word exactly or close by the kernel, with one more word between at most."""
+
+    def __init__(self, phrases: list[str]):
+        self.phrases = [p.split() for p in phrases]
+        self.strings = ["".join(p)[:PHRASE_CHARS] for p in self.phrases]
+        self.roles: dict[str, frozenset[tuple[int, int]]] = {}
+        self.of: dict[str, set[tuple[int, int]]] = {}
+        for k, p in enumerate(self.phrases):
+            for j, w in enumerate(p):
+                self.of.setdefault(w, set()).add((k, j))
+        long = sorted(w for w in self.of if 4 <= len(w) <= LONGEST)
+        self.spelled = Landmarks(long) if long else None
+
+    def _learn(self, words: list[str]) -> None:
+        found = {w: set(self.of.get(w, ())) for w in words}
+        if self.spelled is not None:
+            some = [w for w in words if 3 < len(w) <= LONGEST]
+            near = self.spelled.kernel(some) >= SPELLED if some else np.zeros((0, 0), bool)
+            for i, j in zip(*np.nonzero(near)):
+                found[some[i]] |= self.of[self.spelled.words[j]]
+        self.roles.update((w, frozenset(v)) for w, v in found.items())
+
+    def within(self, texts: list[str]) -> list[set[str]]:
+        """For each text, the joined runs that spell a phrase."""
+        cut = [pieces(t) for t in texts]
+        distinct = set().union(*cut) if cut else set()
+        if len(self.roles) + len(distinct) > CACHE:
+            self.roles.clear()
+        self._learn(sorted(distinct.difference(self.roles)))
+        out = []
+        for words in cut:
+            roles = [self.roles[w] for w in words]
+            found = set()
+            for i, mine in enumerate(roles):
+                for k, j in mine:
+                    if j == 0 and (end := self._end(roles, i, k)):
+                        found.add("".join(words[i:end])[:PHRASE_CHARS])
+            out.append(found)
+        return out
+
+    def _end(self, roles: list[frozenset[tuple[int, int]]], at: int, k: int) -> int:
+        """Where the phrase that begins at a word ends; 0 if the words do not go on with it."""
+        for j in range(1, len(self.phrases[k])):
+            at = next((x for x in (at + 1, at + 2) if x < len(roles) and (k, j) in roles[x]), 0)
+            if not at:
+                return 0
+        return at + 1
+
+    def __getstate__(self):
+        return self.__dict__ | {"roles": {}}
+
+
 def gapped(word: str, rng: random.Random) -> str:
     """The word with one to three characters inserted."""
     for _ in range(rng.randint(1, 3)):
@@ -401,21 +498,32 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         if not y:
             clean_words.update(set(segments(t)))
     picked = pick(bad, clean_words, len(texts) - len(bad))
-    if not picked:
+    missed = [t for t, b in zip((t for t, y in zip(texts, toxic) if y), bad) if not any(s.startswith(tuple(picked)) for s in b)]
+    found = pick_phrases(missed, [t for t, y in zip(texts, toxic) if not y], len(bad))
+    phrases = Phrases(found) if found else None
+    if not picked and not phrases:
         return flat
     positive = Counter(s for b in bad for s in b if s.startswith(tuple(picked)))
-    positive = Counter({s: n for s, n in positive.items() if clean_words[s] * sum(toxic) < n * (len(toxic) - sum(toxic)) / 4})
+    spelled: Counter[str] = Counter()  # runs of clean texts that spell a phrase
+    if phrases:
+        for part in _parts(missed, 1 << 20):
+            positive.update(s for b in phrases.within(part) for s in b)
+        for part in _parts([t for t, y in zip(texts, toxic) if not y], 1 << 20):
+            spelled.update(s for b in phrases.within(part) for s in b)
+    positive = Counter({s: n for s, n in positive.items() if max(clean_words[s], spelled[s]) * sum(toxic) < n * (len(toxic) - sum(toxic)) / 4})
     heads = sorted(positive, key=lambda s: (-positive[s], s))
     if not heads:
         return flat
     clean = sorted(clean_words)
     rng.shuffle(clean)
-    marks = Landmarks(picked)
+    strings = [*picked, *(phrases.strings if phrases else ())]
+    marks = Landmarks(strings)
     near = np.concatenate([marks.kernel(clean[k : k + 20_000]).max(axis=1) for k in range(0, len(clean), 20_000)])
     order = np.argsort(-near, kind="stable")
     hard, rest = [clean[i] for i in order[:1500]], [clean[i] for i in order[1500:4500]]
-    marks = Landmarks(list(dict.fromkeys([*picked, *hard[:NEAR_CLEAN]])))
-    hidden = [gapped(s, rng) for s in [*heads[:200], *[x for x in picked if x in positive] * 8]]
+    marks = Landmarks(list(dict.fromkeys([*strings, *hard[:NEAR_CLEAN]])))
+    hard += [s for s in sorted(spelled, key=lambda s: (-spelled[s], s)) if s not in positive and s not in clean_words][:1500]
+    hidden = [gapped(s, rng) for s in [*heads[:200], *[x for x in strings if x in positive] * 8]]
     words = [*heads, *hidden, *hard, *rest]
     y = np.array([1.0] * (len(heads) + len(hidden)) + [-1.0] * (len(hard) + len(rest)))
     values, vectors = np.linalg.eigh(marks.kernel(marks.words).astype(np.float64))
@@ -424,9 +532,11 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     often = np.sqrt([*(positive[s] for s in heads), *[1.0] * (len(words) - len(heads))])
     weight = np.where(y > 0, often / often[y > 0].sum(), often / often[y < 0].sum())
     w, bias = svm(features, y, weight)
-    model = Model(marks, (root @ w).astype(np.float32), bias, 1.0, 0.0)
+    model = Model(marks, (root @ w).astype(np.float32), bias, 1.0, 0.0, phrases)
     d = np.array([x for part in _parts(texts, 1 << 20) for x in model.decisions(part)])
     model.known.clear()
+    if phrases:
+        phrases.roles.clear()
     model.slope, model.offset = logistic(d, np.array(toxic, float))
     return model
 
@@ -436,15 +546,26 @@ def held_out(id_col: str, fold: tuple[int, int] = HELD_OUT):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % fold[0] == fold[1], F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most: int, id_col: str = "doc_id", text_col: str = "text", chars: int = MAX_LEARNED_CHARS) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: at most ``most`` rows, those with the least hash of their id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MAX_LEARNED_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels to learn from: at most ``most`` rows and ``most_bytes`` bytes, in order of a hash of their id.
 
-    Texts of more than ``chars`` characters are scored like any other but not learned from.
+    Sizes are fetched first, so no more text than that comes to the driver; a text that
+    no longer fits is left out, and of equal rows one is learned from.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, fold)).groupBy(id_col).agg(F.max(label).alias("_y"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    found = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).where(F.coalesce(F.length("_text"), F.lit(0)) <= chars).join(F.broadcast(known), id_col).select(id_col, "_text", "_y").orderBy(id_col, "_text").limit(2 * most).toArrow()
-    return [t or "" for t in found.column("_text").to_pylist()], [int(y) for y in found.column("_y").to_pylist()]
+    rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_mark", F.xxhash64("_text"))
+    sized = rows.join(F.broadcast(known), id_col).select(id_col, "_mark", "_y", F.octet_length("_text").alias("_size")).distinct()
+    left, chosen = most_bytes, []
+    for r in sized.orderBy(F.xxhash64(id_col), id_col, "_mark").limit(most).collect():
+        if r["_size"] <= left:
+            left -= r["_size"]
+            chosen.append((r[id_col], r["_mark"], int(r["_y"])))
+    if not chosen:
+        return [], []
+    ids = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema[id_col], T.StructField("_mark", T.LongType()), T.StructField("_y", T.IntegerType())]))
+    found = rows.join(F.broadcast(ids), [id_col, "_mark"]).dropDuplicates([id_col, "_mark"]).select(id_col, "_text", "_y").orderBy(id_col, "_text").toArrow()
+    return found.column("_text").to_pylist(), found.column("_y").to_pylist()
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,6 +74,36 @@ def test_closest_clean_words_are_landmarks_however_many_there_are():
     assert len({w for t in texts for w in toxicity.segments(t)}) > 50_000 and set(near) <= set(model.landmarks.words)
 
 
+def test_insults_of_several_words_are_learned():
+    """A phrase of words that also occur alone in clean texts, seen on held-out texts, with gaps and inserted characters."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("aeionrst") for _ in range(rng.randint(3, 8))) for _ in range(300)] + ["total", "waste", "space"]
+    rows = []
+    for i in range(1000):
+        w = [rng.choice(words) for _ in range(40)]
+        y = int(i % 4 == 0)
+        for x in ["total", "waste", "space"]:  # each alone in clean texts too
+            w.insert(rng.randrange(len(w)), x)
+        if y:
+            at = rng.randrange(len(w))
+            w[at:at] = ["total", "waste", "space"]
+        rows.append((" ".join(w), y))
+    model = toxicity.train([t for t, _ in rows[:700]], [y for _, y in rows[:700]])
+    held = [(s >= 0.5) == y for s, (_, y) in zip(model.scores([t for t, _ in rows[700:]]), rows[700:])]
+    assert np.mean(held) > 0.97
+    hidden = model.scores(["tea total w-a-s-t-e space tea", "tea tot.al waste of space tea", "tea total wasste spa*ce", "space tea total tea tea waste"])
+    assert min(hidden[:3]) > 0.5 > hidden[3]
+
+
+def test_learned_texts_are_bounded_in_bytes(spark, frame):
+    rows = [(i, "word " * (1 + i % 50)) for i in range(200)] + [(7, "word " * 8), (300, None)]
+    marks = spark.createDataFrame([(i, i % 2) for i in [*range(200), 300, 301]], "doc_id long, toxic int")
+    texts, ys = toxicity.labelled(frame(rows), marks, "toxic", toxicity.HELD_OUT, 10_000, most_bytes=2000)
+    assert 1700 < sum(map(len, texts)) <= 2000 and len(texts) == len(ys)
+    assert toxicity.labelled(frame(rows), marks, "toxic", toxicity.HELD_OUT, 30)[1:] and len(toxicity.labelled(frame(rows), marks, "toxic", toxicity.HELD_OUT, 30)[0]) <= 30
+    assert toxicity.labelled(frame([]), marks, "toxic", toxicity.HELD_OUT, 30) == ([], [])
+
+
 def test_toxicity_edge_cases(spark, frame, edge_rows):
     model = toxicity.train([], [])
     got = toxicity.score(frame(edge_rows), model).collect()
