@@ -1,5 +1,11 @@
+import base64
 import gzip
+import hashlib
+import html
+import html.parser
 import random
+import re
+import uuid
 
 import pytest
 
@@ -194,6 +200,110 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(str(r.asDict()) for r in again) == sorted(str(r) for r in made if r["refers_to"] == first.record_id)
 
 
+@pytest.mark.parametrize("headers, payload", [
+    ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1", "<p>café".encode("latin-1")),
+    ("HTTP/1.1 200 OK\r\nContent-Type: text/html", b"<meta charset='windows-1252'><p>caf\xe9"),
+    ("HTTP/1.1 200 OK\r\nContent-Type: text/html", b'<meta http-equiv="Content-Type" content="text/html; charset=latin1"><p>caf\xe9'),
+    ("HTTP/1.1 200 OK\r\nContent-Type: text/html", b"\xff\xfe" + "<p>café".encode("utf-16-le")),
+    ("HTTP/1.1 200 OK\r\nContent-Encoding: gzip", gzip.compress("<p>café".encode())),
+    ("HTTP/1.1 200 OK\r\nContent-Encoding: deflate", __import__("zlib").compress("<p>café".encode())),
+    ("HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked", b"4\r\n<p>c\r\n4;x=y\r\naf\xc3\xa9\r\n0\r\n\r\n"),
+    ("HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: br", "<p>café".encode()),
+    ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=no-such-set", "<p>café".encode()),
+    ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=base64", "<p>café".encode()),
+    (None, "\ufeff<p>café".encode()),
+])
+def test_payloads_are_decoded(headers, payload):
+    assert warc.plain_text(warc.payload_text(headers, payload)) == "café"
+
+
+def test_broken_encodings_give_what_there_is():
+    packed = gzip.compress(b"<p>" + b"word " * 9000)
+    assert warc.payload_text("x\r\nContent-Encoding: gzip", packed[:-20]).startswith("<p>word")
+    assert warc.payload_text("x\r\nContent-Encoding: gzip", b"<p>plain") == "<p>plain"
+    assert warc.payload_text(None, None) == warc.payload_text("", b"") == ""
+
+
+def test_warc_files_are_streamed_and_saved(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://a/{k}", PAGE.format(n=f"no{k}") + "x" * 5000 * k) for k in range(40)], "page_id long, url string, html string").repartition(3)
+    made = warc.derive(warc.responses_from_pages(pages))
+    files = warc.save(made, str(tmp_path / "out")).collect()
+    assert sum(r.records for r in files) == 80 and sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(r.path.rsplit("/", 1)[1] for r in files)
+    monkeypatch.setattr(warc, "PIECE", 1000)
+    back = {h["warc-record-id"]: b for r in files for h, b in warc.stream_records(open(r.path, "rb"))}
+    assert back == {r.record_id: bytes(r.block) for r in made.collect()}
+    # the same file whole, plain and compressed, is read alike
+    plain = b"".join(warc.record_bytes(r.asDict(), False) for r in made.collect())
+    for data in (plain, gzip.compress(plain), plain[:-3]):
+        assert len(list(warc.records(data))) == 80
+    response = [r for r in warc.responses_from_pages(pages).collect()]
+    raw = b"".join(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {r.record_id}\r\nContent-Length: {len(r.http_headers) + 4 + len(r.payload)}\r\n\r\n{r.http_headers}\r\n\r\n".encode() + bytes(r.payload) + b"\r\n\r\n" for r in response)
+    (tmp_path / "in.warc.gz").write_bytes(gzip.compress(raw))
+    got = warc.responses_from_paths(spark.createDataFrame([(str(tmp_path / "in.warc.gz"),), (None,)], "path string")).collect()
+    assert {(r.record_id, bytes(r.payload)) for r in got} == {(r.record_id, bytes(r.payload)) for r in response}
+
+
+class Plain(html.parser.HTMLParser):
+    """Blocks of a well-formed page by Python's own parser, all of them or those of the article."""
+
+    def __init__(self, page, article):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.open, self.words, self.article = [], [], [], article
+        self.feed(page or "")
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if text := " ".join("".join(self.words).split()):
+            self.blocks.append(text)
+        self.words = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in htmlmain.BLOCKS:
+            self.flush()
+        if tag in htmlmain.SPACES:
+            self.words.append(" ")
+        elif tag != "meta":
+            self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag in htmlmain.BLOCKS:
+            self.flush()
+        while self.open and any(t == tag for t, _ in self.open) and self.open.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        if not {"script", "style", "head"} & set(tags) and (not self.article or ("article" in tags and not any(c == "ad" for _, c in self.open))):
+            self.words.append(data)
+
+
+def test_queries_equal_a_plain_parser_on_whole_tables(spark, small_dir):
+    """Every page of the small table: main texts, and every column of the derivatives."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{small_dir}/pages.parquet").collect()}
+    for r in htmlmain.op4(spark, small_dir).collect():
+        want = "\n".join(Plain(pages[r.page_id].html, True).blocks)
+        assert (r.text, r.n_chars, r.url) == (want, len(want), pages[r.page_id].url)
+    got = {(r.page_id, r.record_type): r for r in warc.op6(spark, small_dir).collect()}
+    assert len(got) == 2 * len(pages)
+    for k, p in pages.items():
+        body = (p.html or "").encode()
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}"
+        name = hashlib.sha1(f"{p.page_id}|{p.url}".encode()).hexdigest()
+        rid = f"<urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:32]}>"
+        digests = ["sha256:" + hashlib.sha256(x).hexdigest() for x in (head.encode() + b"\r\n\r\n" + body, body)]
+        title = re.search("<title>(.*?)</title>", p.html)
+        links = re.findall('<a href="([^"]*)"', p.html)
+        fields = [("http-status", "HTTP/1.1 200 OK"), ("http-content-type", "text/html; charset=utf-8"), ("http-content-length", len(body)), ("source-block-digest", digests[0]), ("source-payload-digest", digests[1])]
+        fields += [("title", " ".join(html.unescape(title[1]).split()))] * bool(title) + [("outlink", html.unescape(x)) for x in links]
+        blocks = {"metadata": "".join(f"{a}: {b}\r\n" for a, b in fields), "conversion": "\n".join(Plain(p.html, False).blocks)}
+        for kind, text in blocks.items():
+            r = got[k, kind]
+            sha = "sha1:" + base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+            assert (r.refers_to, r.target_uri, r.content_length, r.block_digest, r.source_block_digest, r.source_payload_digest) == (rid, p.url, len(text.encode()), sha, *digests), (k, kind)
+            assert r.record_id == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{rid}')}>"
+
+
 def test_rollup_is_idempotent_and_additive(spark, tmp_path):
     rows = spark.createDataFrame([("a", "en", "t1", 10), ("a", "en", "t1", None), (None, None, "t1", 3), ("b", "de", "t1", 7), ("b", "de", "t1", 7)], "source string, lang string, tokenizer string, tokens long")
     r = tokencounts.Rollup(spark, str(tmp_path / "r"))
