@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The patterns and lengths of the rules below.
 WHITE = r"[\s\p{Z}\x1c-\x1f\x85\x0b]"
-PAGE_MARK = r"(?iU)^-+\s*page\s*\d+\s*-+$"
+PAGE_MARK = r"(?iU)\A[\s\p{Z}\x1c-\x1f\x85\x0b]*-+\s*page\s*\d+\s*-+[\s\p{Z}\x1c-\x1f\x85\x0b]*\z"
 LEAST_ALPHANUMERICS = 20
 EMAIL = r"\S+@\S+\.\S+"
 
@@ -23,9 +23,12 @@ def alphanumerics(text: Column) -> Column:
 
 
 def low_information(text: Column) -> Column:
-    """Empty, only a page mark, or fewer than 20 letters and digits; null is low."""
-    bare = strip(text)
-    return F.coalesce((bare == "") | bare.rlike(PAGE_MARK) | (alphanumerics(bare) < LEAST_ALPHANUMERICS), F.lit(True))
+    """Empty, only a page mark, or fewer than 20 letters and digits; null is low.
+
+    The test stops at the twentieth letter or digit and writes no text anew.
+    """
+    enough = text.rlike(rf"\A(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]){{{LEAST_ALPHANUMERICS}}}")
+    return F.coalesce(~enough | text.rlike(PAGE_MARK), F.lit(True))
 
 
 def not_blank(text: Column) -> Column:
@@ -73,6 +76,31 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def as_mebibytes(size: Column) -> Column:
+    """Bytes as megabytes with two decimals."""
+    return F.concat(F.format_string("%.2f", size / F.lit(1024.0 * 1024.0)), F.lit(" MB"))
+
+
+def parsed_time(value: Column) -> Column:
+    """A time from ISO text with or without ``T``, fractions and zone; null if it is none."""
+    return F.coalesce(F.try_to_timestamp(value), F.try_to_timestamp(value, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")), F.try_to_timestamp(value, F.lit("yyyy-MM-dd")))
+
+
+def long_date(at: Column) -> Column:
+    """``March 5, 2024``."""
+    return F.date_format(at, "MMMM d, yyyy")
+
+
+def clock(at: Column) -> Column:
+    """``09:05 PM``."""
+    return F.date_format(at, "hh:mm a")
+
+
+def unquoted(text: Column) -> Column:
+    """Without quotes and then spaces at both ends."""
+    return F.trim(F.regexp_replace(F.trim(text), "^[\"']+|[\"']+$", ""))
+
+
 def truthy(text: Column) -> Column:
     """Words for true and false; null for anything else."""
     word = F.lower(strip(text))
@@ -82,7 +110,7 @@ def truthy(text: Column) -> Column:
 def origin_list(text: Column) -> Column:
     """Origins from a JSON array, or else from a comma list; quotes and trailing slashes go."""
     listed = F.coalesce(F.from_json(text, "array<string>"), F.split(text, ","))
-    clean = F.transform(listed, lambda x: F.rtrim(F.trim(F.regexp_replace(F.trim(x), "^[\"']+|[\"']+$", "")), F.lit("/")))
+    clean = F.transform(listed, lambda x: F.rtrim(unquoted(x), F.lit("/")))
     return F.filter(clean, lambda x: x != "")
 
 

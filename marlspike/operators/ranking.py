@@ -11,13 +11,18 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.amplify import Amplification, boosted, target
 from ..functions.text import low_information
-from ..functions.vectors import cosine, cosine_to, squared_distance, literal
+from ..functions.vectors import cosine_to, literal, squared_distance
 from ..settings import DEFAULTS, Settings
 
 # Method and reason labels of a ranked result.
@@ -35,7 +40,14 @@ def scored(candidates: DataFrame, query: Sequence[float], digits: int | None = N
         score = F.lit(0.0)
     if digits is not None:
         score = F.round(score, digits)
-    return candidates.withColumns({"similarity_score": score, "low_information": low_information(F.col("document"))})
+    return candidates.withColumns({"similarity_score": score, "low_information": low(candidates)})
+
+
+def low(candidates: DataFrame) -> Column:
+    """The stored ``low_information`` flag (null: low), or else the rule over ``document``."""
+    if "low_information" in candidates.columns:
+        return F.coalesce("low_information", F.lit(True))
+    return low_information(F.col("document"))
 
 
 def informative_first(ranked: DataFrame, top_k: int, order: Sequence[str], score: str = "similarity_score") -> DataFrame:
@@ -100,31 +112,105 @@ def similar(candidates: DataFrame, id_value, top_k: int = 5, id_col: str = "id",
     return nearest(candidates.where(F.col(id_col) != F.lit(id_value)), own[0], top_k, order, digits)
 
 
-def batch_top_k(queries: DataFrame, candidates: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, max_queries: int | None = None, block: int = 1000) -> DataFrame:
+def _rounded(x: np.ndarray, digits: int | None) -> np.ndarray:
+    """Half up in decimal, as SQL rounds doubles."""
+    if digits is None:
+        return x
+    unit = 10.0**digits
+    scaled = x * unit
+    out = np.floor(scaled + 0.5) / unit
+    for k in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[k] = float(Decimal(repr(float(x[k]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
+def _cosines(vectors: list, queries: list[np.ndarray]) -> np.ndarray:
+    """Cosine of every vector with every query, 0 to 1; 0 where one is zero, not a number, missing or of another length."""
+    out = np.zeros((len(vectors), len(queries)))
+    sizes = np.array([-1 if v is None else len(v) for v in vectors])
+    for n in {len(q) for q in queries} & set(sizes.tolist()):
+        rows, columns = np.flatnonzero(sizes == n), [k for k, q in enumerate(queries) if len(q) == n]
+        a, b = np.array([vectors[i] for i in rows], np.float64).reshape(len(rows), n), np.array([queries[k] for k in columns], np.float64).reshape(len(columns), n)
+        with np.errstate(all="ignore"):
+            found = (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1)))
+        out[np.ix_(rows, columns)] = np.where(np.isfinite(found), np.maximum(found, 0.0), 0.0)
+    return out
+
+
+def batch_top_k(queries: DataFrame, candidates: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, max_queries: int | None = None, block: int = 4096) -> DataFrame:
     """Top-k for each query (columns ``query_id``, ``query``) over all candidates.
 
-    Queries are broadcast, so candidates are scanned once and never shuffled as pairs
-    of all with all; each task keeps its own best before the final ranking.  More than
-    ``block`` queries are dealt to blocks by a hash of their id, with one scan for each.
+    Returns query_id, the candidates' columns without vector and text, low_information,
+    similarity_score and rank.  A block of at most about ``block`` queries is sent to all
+    tasks; a task scores its candidates with one matrix product for each batch of rows and
+    keeps ``top_k`` rows for each query, so candidates are not shuffled and no pairs are
+    built.  More queries are dealt to blocks by a hash of their id, with one scan for each.
     ``max_queries`` refuses more queries than that.
     """
     n = queries.count()
     if max_queries is not None and n > max_queries:
         raise ValueError(f"more than {max_queries} queries")
-    score = cosine(F.col("embedding"), F.col("query"))
-    score = score if digits is None else F.round(score, digits)
-    by = Window.partitionBy(query_id).orderBy(F.col("low_information").asc(), F.col("similarity_score").desc(), *[F.col(c).asc() for c in order])
-    rows = candidates.withColumn("low_information", low_information(F.col("document")))
+    kept = [c for c in candidates.columns if c not in ("embedding", "document", "low_information")]
+    rows = candidates.select(F.struct(*kept).alias("row"), low(candidates).alias("low"), F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = T.StructType([queries.schema[query_id], T.StructField("row", rows.schema["row"].dataType), T.StructField("low", T.BooleanType()), T.StructField("score", T.DoubleType())])
+    id_type = to_arrow_type(schema[0].dataType)
+    margin = 0.0 if digits is None else 10.0**-digits
 
     def best(some: DataFrame) -> DataFrame:
-        pairs = rows.join(F.broadcast(some), how="cross").withColumn("similarity_score", score)
-        return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)  # Spark limits each group before the shuffle
-
-    blocks = -(-n // block)
-    if blocks < 2:
-        return best(queries)
+        held = [(r[0], np.array(r[1] or [], np.float64)) for r in some.select(query_id, F.col("query").cast("array<double>")).collect()]
+        shared = queries.sparkSession.sparkContext.broadcast(held)
+
+        def rank(batches):
+            ids, vectors = [q for q, _ in shared.value], [v for _, v in shared.value]
+            found: list[list[tuple]] = [[] for _ in ids]  # of each query: (low, -score, order columns..., row number)
+            least = np.full(len(ids), -np.inf)  # what a row must reach, with 10 less for low information
+            kept_rows: list[pa.StructArray] = []
+            at = 0
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1024):
+                    part = batch.slice(start, 1024)
+                    row = part.column(0)
+                    low_ = np.array(part.column(1).to_pylist(), bool)
+                    score = _cosines(part.column(2).to_pylist(), vectors)
+                    value = score - 10.0 * low_[:, None]
+                    keys = list(zip(*(row.field(kept.index(c)).to_pylist() for c in order))) if order else [()] * len(low_)
+                    hit, query = np.nonzero(value >= least - margin)
+                    exact = _rounded(score[hit, query], digits)
+                    for i, q, s in zip(hit.tolist(), query.tolist(), exact.tolist()):
+                        found[q].append((bool(low_[i]), -s, tuple((k is not None, k) for k in keys[i]), at + i))
+                    for q in np.unique(query).tolist():
+                        found[q] = sorted(found[q])[:top_k]
+                        if len(found[q]) == top_k:
+                            bottom = found[q][-1]
+                            least[q] = -bottom[1] - 10.0 * bottom[0]
+                    used = sorted({f[3] - at for q in np.unique(query).tolist() for f in found[q] if f[3] >= at})
+                    kept_rows.append(row.take(pa.array(used, pa.int64())))
+                    moved = {at + i: k for k, i in enumerate(used)}
+                    base = sum(map(len, kept_rows[:-1]))
+                    for q in np.unique(query).tolist():
+                        found[q] = [(*f[:3], -1 - base - moved[f[3]]) if f[3] >= at else f for f in found[q]]
+                    at += len(low_)
+                    if sum(map(len, kept_rows)) > 100_000 + 8 * top_k * len(ids):  # rows that fell out again go
+                        whole = pa.concat_arrays(kept_rows)
+                        used = sorted({-1 - f[3] for fs in found for f in fs})
+                        place = {k: j for j, k in enumerate(used)}
+                        kept_rows = [whole.take(pa.array(used, pa.int64()))]
+                        found = [[(*f[:3], -1 - place[-1 - f[3]]) for f in fs] for fs in found]
+            if not kept_rows or not any(found):
+                return
+            whole = pa.concat_arrays(kept_rows)
+            lines = [(q, f) for q, fs in zip(ids, found) for f in fs]
+            taken = whole.take(pa.array([-1 - f[3] for _, f in lines], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in lines], id_type), taken, pa.array([f[0] for _, f in lines]), pa.array([-f[1] for _, f in lines], pa.float64())], names=[query_id, "row", "low", "score"])
+
+        return rows.mapInArrow(rank, schema)
+
+    blocks = max(1, -(-n // block))
     at = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    return functools.reduce(DataFrame.unionAll, [best(queries.where(at == k)) for k in range(blocks)])
+    found = functools.reduce(DataFrame.unionAll, [best(queries.where(at == k)) for k in range(blocks)])
+    found = found.select(query_id, "row.*", F.col("low").alias("low_information"), F.col("score").alias("similarity_score"))
+    by = Window.partitionBy(query_id).orderBy(F.col("low_information").asc(), F.col("similarity_score").desc(), *[F.col(c).asc() for c in order])
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
 
 
 def random_projection_index(vectors: DataFrame, bucket_length: float = 0.5, tables: int = 8, seed: int = 11):

@@ -5,6 +5,7 @@ A change returns the new version of a table; nothing is updated in place.
 
 from __future__ import annotations
 
+import functools
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, not_blank, session_title
 
-WELCOME = "Hello! I'm your document assistant. Upload some files and let's start a conversation!"
+WELCOME = "This chat is empty. Add files, then ask about what they say."
 
 
 def history_messages(history: DataFrame) -> DataFrame:
@@ -62,6 +63,17 @@ def of_user(chats: DataFrame, history: DataFrame, user_id: int) -> DataFrame:
 # changes
 
 
+def broken_keys(chats: DataFrame, history: DataFrame, files: DataFrame, users: DataFrame) -> DataFrame:
+    """Rows whose key names no row: table, id, column and the key; nothing where all keys hold."""
+    owners, talks = users.select(F.col("id").alias("_key")), chats.select(F.col("id").alias("_key"))
+    checks = [("chats", chats, "user_id", owners), ("chat_history", history, "chat_id", talks), ("chat_history", history, "user_id", owners), ("uploaded_files", files, "chat_session_id", talks), ("uploaded_files", files, "user_id", owners)]
+    found = [
+        rows.where(F.col(c).isNotNull()).join(known, F.col(c) == F.col("_key"), "left_anti").select(F.lit(name).alias("table"), F.col("id").cast("long").alias("id"), F.lit(c).alias("column"), F.col(c).cast("long").alias("key"))
+        for name, rows, c, known in checks
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def appended(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows.select(*[F.col(c).cast(t) for c, t in table.dtypes]))
 

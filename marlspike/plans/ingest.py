@@ -31,14 +31,24 @@ def vectors(files: DataFrame, embedder: Embedder, extractor: Extractor = pdf_pag
     return embedded(rows.select("id", F.col("chunk").alias("document"), F.map_concat(info, own).alias("metadata")), embedder)
 
 
-def ingest(files: DataFrame, collection: Collection, embedder: Embedder, extractor: Extractor = pdf_pages, session_id: Any = None, user_id: Any = None, settings: Settings = DEFAULTS, info=None) -> dict[str, Any]:
-    """Check, read, cut, embed and store files; refused and unreadable ones are counted."""
+def ingest(files: DataFrame, collection: Collection, embedder: Embedder, extractor: Extractor = pdf_pages, session_id: Any = None, user_id: Any = None, settings: Settings = DEFAULTS, info=None, processed_at: str | None = None) -> dict[str, Any]:
+    """Check, read, cut, embed and store files; refused ones are counted.
+
+    Ids hold the time, so a plain second ingest keeps a copy; with a ``processed_at`` that
+    comes back the same, rows that are there already are not entered again.
+    """
     checked = files.withColumn("error", upload_error(F.col("file_name"), F.col("file_size"), settings.max_upload_bytes, settings.max_name_length))
     good = checked.where("error is null").drop("error")
-    added = collection.add(vectors(good, embedder, extractor, session_id, user_id, settings=settings, info=info))
+    added = collection.add(vectors(good, embedder, extractor, session_id, user_id, processed_at, settings, info))
     return added | {"refused": checked.where("error is not null").count()}
 
 
+def split_results(files: DataFrame, extractor: Extractor = pdf_pages) -> tuple[DataFrame, DataFrame]:
+    """(readable, failed) files; failed ones with path and error."""
+    found = extracted(files, extractor)
+    return found.where("error is null"), found.where("error is not null").select("path", "error")
+
+
 def counters(rows: DataFrame) -> DataFrame:
     """One row over stored chunks: chunks, vectors, files and their pages."""
     key = lambda k: F.try_element_at("metadata", F.lit(k))

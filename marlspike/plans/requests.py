@@ -64,19 +64,33 @@ class Registration:
             _within("length of phone_number", len(self.phone_number), 0, 20)
 
 
+@dataclass(frozen=True)
+class SimilarRequest:
+    document_id: str
+    top_k: int = 5
+
+    def __post_init__(self):
+        _within("top_k", self.top_k, 1, 10)
+
+
+# Messages that callers compare.
+NAME_MISSING, EMAIL_MISSING, EMAIL_WRONG = "Full name is required", "Email is required", "Email is invalid"
+PASSWORD_MISSING, PASSWORD_SHORT, PASSWORDS_DIFFER = "Password is required", "Password must be at least 8 characters", "Passwords do not match"
+
+
 def signup_errors(full_name: str, email: str, password: str, again: str) -> dict[str, str]:
     """Messages by field of a sign-up form; empty if it is in order."""
     out = {}
     if not full_name.strip():
-        out["full_name"] = "Full name is required"
+        out["full_name"] = NAME_MISSING
     if not email.strip():
-        out["email"] = "Email is required"
+        out["email"] = EMAIL_MISSING
     elif not re.search(r"\S+@\S+\.\S+", email):
-        out["email"] = "Email is invalid"
+        out["email"] = EMAIL_WRONG
     if not password:
-        out["password"] = "Password is required"
+        out["password"] = PASSWORD_MISSING
     elif len(password) < 8:
-        out["password"] = "Password must be at least 8 characters"
+        out["password"] = PASSWORD_SHORT
     if password != again:
-        out["again"] = "Passwords do not match"
+        out["again"] = PASSWORDS_DIFFER
     return out

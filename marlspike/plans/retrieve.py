@@ -33,7 +33,8 @@ class Envelope:
 def retrieve(rows: DataFrame, query: Sequence[float], top_k: int = 5, threshold: float = DEFAULTS.default_threshold, boosted: bool = True, metadata: dict[str, Any] | None = None, session_id: Any = None, user_id: Any = None, order: Sequence[str] = ("ingest_seq", "id"), settings: Settings = DEFAULTS, digits: int | None = None, strict: bool = False) -> Envelope:
     """Ranked passages within a scope.
 
-    Errors become an empty envelope with reason ``retrieval_error`` unless ``strict``.
+    The ``top_k`` rows are ranked and fetched here, so the time covers the ranking and an
+    error in it becomes an empty envelope with reason ``retrieval_error``, unless ``strict``.
     """
     began = time.perf_counter()
     wanted = ranking.BOOSTED if boosted else ranking.CLASSICAL
@@ -51,6 +52,7 @@ def retrieve(rows: DataFrame, query: Sequence[float], top_k: int = 5, threshold:
             count = held.count()
             method, reason = (ranking.CLASSICAL, None) if count else (ranking.NONE, ranking.NO_CANDIDATES)
             found = ranking.classical(held, query, top_k, order, method, digits)
+        found = rows.sparkSession.createDataFrame(found.collect(), found.schema)  # top_k rows
         return envelope(found, method, reason, count)
     except Exception:
         if strict:

@@ -1,22 +1,31 @@
 """A vector collection in Parquet: append, insert if absent, delete, reset, scan, stats.
 
-A write makes a new version of the folder's content (append) or of the whole table
-(delete, reset); there are no transactions.  Session and user are columns, so their
-predicates are pushed to the scan.
+Rows lie in folders that are written once (``data/``); a version is a small file that
+names the folders it consists of (``versions/``).  A change writes its folder first and
+then puts the next version in place under its number, so a crash leaves the last version
+as it was, readers see whole versions only, and of two writers at once one fails.
+Opening writes nothing.  Session and user are columns, so their predicates are pushed to
+the scan.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import compiled
 from ..functions.text import first_filled
+from ..settings import DEFAULTS
 from .tables import CHUNKS
 
+# Metadata keys that hold a file's name, the first one first.
 NAME_KEYS = ["source_file_name", "original_file_name", "file_name", "filename"]
 
 
@@ -54,36 +63,85 @@ def usable_path(preferred: str, fallback: str) -> str:
     return fallback
 
 
+class Conflict(RuntimeError):
+    """Another writer made a version meanwhile."""
+
+
 class Collection:
     """Vectors with text and metadata under one path."""
 
-    def __init__(self, spark: SparkSession, path: str, name: str = "pdf_documents"):
+    def __init__(self, spark: SparkSession, path: str, name: str = DEFAULTS.collection):
         self.spark, self.path, self.name = spark, path.rstrip("/"), name
 
-    def _exists(self) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        p, fs = self._fs(f"{self.path}/versions")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _version(self) -> dict[str, Any]:
+        """The last version: its number, folders, rows and next sequence number."""
+        numbers = self._numbers()
+        if not numbers:
+            return {"number": -1, "folders": [], "rows": 0, "next": 0}
+        p, fs = self._fs(f"{self.path}/versions/{numbers[-1]:012d}")
+        stream = fs.open(p)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) | {"number": numbers[-1]}
+
+    def _commit(self, after: int, folders: list[str], rows: int, next_: int) -> None:
+        """Put the version after ``after`` in place; the file is whole before it has its name."""
+        target, fs = self._fs(f"{self.path}/versions/{after + 1:012d}")
+        aside, _ = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps({"folders": folders, "rows": rows, "next": next_}).encode()))
+        out.close()
+        if fs.exists(target) or not fs.rename(aside, target):
+            fs.delete(aside, False)
+            raise Conflict(f"version {after + 1} of {self.name} is already there")
+
+    def _write(self, rows: DataFrame) -> str:
+        """Rows in a new folder, which no version names yet."""
+        folder = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{folder}")
+        return folder
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], CHUNKS)
+        return self.spark.read.schema(CHUNKS).parquet(*[f"{self.path}/data/{f}" for f in folders])
+
+    def create(self) -> DataFrame:
+        """All rows; an absent collection gets an empty first version."""
+        if not self._numbers():
+            self._commit(-1, [], 0, 0)
+        return self.open()
 
     def open(self) -> DataFrame:
-        """All rows; an absent collection is made empty."""
-        if not self._exists():
-            self.reset()
-        return self.spark.read.schema(CHUNKS).parquet(self.path)
+        """All rows of the last version; none if there is no collection."""
+        return self._read(self._version()["folders"])
 
     def add(self, rows: DataFrame, added_at: str | None = None) -> dict[str, Any]:
-        """Enter rows (id, document, embedding, metadata) that are not there yet."""
+        """Enter rows (id, document, embedding, metadata) that are not there yet; errors of the data are in the answer."""
+        now = self._version()
         try:
-            stored = self.open()
-            start = stored.agg(F.max("ingest_seq")).first()[0]
-            fresh = insert_absent(stored, stamped(rows, added_at))
-            base = 0 if start is None else start + 1
+            fresh = insert_absent(self._read(now["folders"]), stamped(rows, added_at))
             fields = [f.split()[0] for f in CHUNKS.split(", ")]
-            placed = fresh.withColumn("ingest_seq", F.lit(base) + F.monotonically_increasing_id()).select(*fields)
-            placed.write.mode("append").parquet(self.path)
-            now = self.spark.read.schema(CHUNKS).parquet(self.path)
-            return {"success": True, "added_count": now.where(F.col("ingest_seq") >= base).count(), "total_documents": now.count(), "collection_name": self.name}
-        except Exception as e:
+            folder = self._write(fresh.withColumn("ingest_seq", F.lit(now["next"]) + F.monotonically_increasing_id()).select(*fields))
+        except (PySparkException, Py4JJavaError) as e:
             return {"success": False, "error": str(e), "added_count": 0}
+        count, last = self._read([folder]).agg(F.count("*"), F.max("ingest_seq")).first()  # of the new rows only
+        if count:
+            self._commit(now["number"], [*now["folders"], folder], now["rows"] + count, last + 1)
+        elif now["number"] < 0:
+            self._commit(-1, [], 0, 0)
+        return {"success": True, "added_count": count, "total_documents": now["rows"] + count, "collection_name": self.name}
 
     def scan(self, where: dict[str, Any] | None = None, limit: int | None = None, embeddings: bool = True) -> DataFrame:
         """Rows that match a filter; without embeddings their column is not read."""
@@ -95,18 +153,40 @@ class Collection:
 
     def delete(self, ids: list[str]) -> dict[str, Any]:
         """Delete by id; the count is the number of ids asked for, found or not."""
-        left = without_ids(self.open(), self.spark.createDataFrame([(i,) for i in ids], "id string"))
-        self._replace(left)
+        now = self._version()
+        folder = self._write(without_ids(self._read(now["folders"]), self.spark.createDataFrame([(i,) for i in ids], "id string")))
+        self._commit(now["number"], [folder], self._read([folder]).count(), now["next"])
         return {"success": True, "deleted_count": len(ids)}
 
-    def _replace(self, rows: DataFrame) -> None:
-        aside = f"{self.path}-next"
-        rows.write.mode("overwrite").parquet(aside)
-        self.spark.read.schema(CHUNKS).parquet(aside).write.mode("overwrite").parquet(self.path)
+    def compact(self) -> None:
+        """The same rows in one folder."""
+        now = self._version()
+        if len(now["folders"]) > 1:
+            self._commit(now["number"], [self._write(self._read(now["folders"]))], now["rows"], now["next"])
 
     def reset(self) -> None:
         """An empty collection."""
-        self.spark.createDataFrame([], CHUNKS).write.mode("overwrite").parquet(self.path)
+        now = self._version()
+        self._commit(now["number"], [], 0, 0)
+
+    def clear(self) -> dict[str, int]:
+        """Maintenance: documents before, reset, documents after."""
+        before = self.open().count()
+        self.reset()
+        return {"before": before, "after": self.open().count()}
+
+    def vacuum(self) -> int:
+        """Delete folders and versions that the last version does not need, when no reader of older ones is left."""
+        now = self._version()
+        gone = [f"versions/{n:012d}" for n in self._numbers() if n != now["number"]]
+        p, fs = self._fs(f"{self.path}/data")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        gone += [f"data/{n}" for n in names if n not in now["folders"]]
+        return sum(bool(fs.delete(self._fs(f"{self.path}/{g}")[0], True)) for g in gone)
+
+    def peek(self) -> DataFrame:
+        """Any one row."""
+        return self.open().limit(1)
 
     def stats(self) -> DataFrame:
         return collection_stats(self.open(), self.name, self.path)

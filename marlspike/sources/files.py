@@ -1,12 +1,13 @@
 """File sources: binary files to pages of text.
 
-The extractor is pluggable: a function from bytes to a list of page texts.  PDF needs
-``pypdf``, which is used where it is installed; plain text (form feeds part the pages)
-always works.
+The extractor is pluggable: a function from bytes to a list of page texts.  PDF is read
+by ``pypdf`` where it is installed, else by this package's own reader; in plain text,
+form feeds part the pages.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name
+from . import pdf
+
+try:
+    from pypdf import PdfReader
+except ImportError:
+    PdfReader = None
+
+# Messages that callers compare.
+NOT_PDF = "File must be a PDF (.pdf extension required)"
+TOO_LARGE = "File size exceeds maximum limit of {}MB"
+LONG_NAME = "Filename too long (maximum {} characters)"
+NO_TEXT = "No text content found in PDF"
 
 Extractor = Callable[[bytes], list[str | None]]
 
@@ -25,10 +38,8 @@ def text_pages(data: bytes) -> list[str | None]:
 
 def pdf_pages(data: bytes) -> list[str | None]:
     """Pages of a PDF; a page that cannot be read is None."""
-    import io
-
-    from pypdf import PdfReader
-
+    if PdfReader is None:
+        return pdf.page_texts(data)
     out: list[str | None] = []
     for page in PdfReader(io.BytesIO(data)).pages:
         try:
@@ -39,11 +50,9 @@ def pdf_pages(data: bytes) -> list[str | None]:
 
 
 def pdf_info(data: bytes) -> dict[str, str]:
-    """Title, author, subject and creator of a PDF that has an info dictionary."""
-    import io
-
-    from pypdf import PdfReader
-
+    """Title, author, subject and creator of a PDF that has an info dictionary, else nothing."""
+    if PdfReader is None:
+        return pdf.info(data)
     info = PdfReader(io.BytesIO(data)).metadata
     return {k: str(info.get(f"/{k.capitalize()}") or "") for k in ("title", "author", "subject", "creator")} if info else {}
 
@@ -76,7 +85,7 @@ def extracted(files: DataFrame, extractor: Extractor = pdf_pages, info: Callable
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"
                 whole = "".join(f"\n\n--- Page {p['page_number']} ---\n\n{p['text']}" for p in pages).strip()
-                rows.append((r.path, r.file_name, r.file_size, r.file_hash, count, pages, whole, found, error if error or whole else "No text content found in PDF"))
+                rows.append((r.path, r.file_name, r.file_size, r.file_hash, count, pages, whole, found, error if error or whole else NO_TEXT))
             yield pd.DataFrame(rows, columns=["path", "file_name", "file_size", "file_hash", "num_pages", "page_texts", "full_text", "info", "error"])
 
     return files.mapInPandas(read, schema)
@@ -85,8 +94,8 @@ def extracted(files: DataFrame, extractor: Extractor = pdf_pages, info: Callable
 def upload_error(name, size, max_bytes: int, max_name: int):
     """Why an upload is refused, or null; a size of null or 0 is unknown and passes."""
     return (
-        F.when(F.coalesce(name, F.lit("")) == "", F.lit("File must be a PDF (.pdf extension required)"))
-        .when(~F.lower(name).endswith(".pdf"), F.lit("File must be a PDF (.pdf extension required)"))
-        .when(F.coalesce(size, F.lit(0)) > max_bytes, F.lit(f"File size exceeds maximum limit of {max_bytes // (1024 * 1024)}MB"))
-        .when(F.length(name) > max_name, F.lit(f"Filename too long (maximum {max_name} characters)"))
+        F.when(F.coalesce(name, F.lit("")) == "", F.lit(NOT_PDF))
+        .when(~F.lower(name).endswith(".pdf"), F.lit(NOT_PDF))
+        .when(F.coalesce(size, F.lit(0)) > max_bytes, F.lit(TOO_LARGE.format(max_bytes // (1024 * 1024))))
+        .when(F.length(name) > max_name, F.lit(LONG_NAME.format(max_name)))
     )

@@ -23,7 +23,8 @@ def ingest_new(spark: SparkSession, folder: str, glob: str, collection: Collecti
     """Start a run over the files that are new; wait for it with ``awaitTermination``."""
     files = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", glob).load(folder)
 
-    def enter(batch, _: int) -> None:
-        ingest(with_hash(batch), collection, embedder, extractor, session_id, user_id)
+    def enter(batch, number: int) -> None:
+        # a batch that is delivered again has its number again, so its rows have their ids again
+        ingest(with_hash(batch), collection, embedder, extractor, session_id, user_id, processed_at=f"batch {number}")
 
     return files.writeStream.foreachBatch(enter).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
