@@ -10,10 +10,11 @@ and only on the boosted path are those few rows numbered.
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,34 +125,17 @@ def _rounded(x: np.ndarray, digits: int | None) -> np.ndarray:
     return out
 
 
-def _cosines(vectors: list, queries: list[np.ndarray]) -> np.ndarray:
-    """Cosine of every vector with every query, 0 to 1; 0 where one is zero, not a number, missing or of another length."""
-    out = np.zeros((len(vectors), len(queries)))
-    sizes = np.array([-1 if v is None else len(v) for v in vectors])
-    for n in {len(q) for q in queries} & set(sizes.tolist()):
-        rows, columns = np.flatnonzero(sizes == n), [k for k, q in enumerate(queries) if len(q) == n]
-        a, b = np.array([vectors[i] for i in rows], np.float64).reshape(len(rows), n), np.array([queries[k] for k in columns], np.float64).reshape(len(columns), n)
-        with np.errstate(all="ignore"):
-            found = (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1)))
-        out[np.ix_(rows, columns)] = np.where(np.isfinite(found), np.maximum(found, 0.0), 0.0)
-    return out
-
-
-def batch_top_k(queries: DataFrame, candidates: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, max_queries: int | None = None, block: int = 4096) -> DataFrame:
-    """Top-k for each query (columns ``query_id``, ``query``) over all candidates.
+def _best_rows(queries: DataFrame, n: int, candidates: DataFrame, low_: Column, more: list[str], top_k: int, query_id: str, order: Sequence[str], digits: int | None, block: int, scores: Callable[[pa.RecordBatch, list[np.ndarray]], np.ndarray], sign: int = 1) -> DataFrame:
+    """(query_id, the candidates' columns, low, score): what each task has of the ``top_k`` best rows of each of ``n`` queries.
 
-    Returns query_id, the candidates' columns without vector and text, low_information,
-    similarity_score and rank.  A block of at most about ``block`` queries is sent to all
-    tasks; a task scores its candidates with one matrix product for each batch of rows and
-    keeps ``top_k`` rows for each query, so candidates are not shuffled and no pairs are
-    built.  More queries are dealt to blocks by a hash of their id, with one scan for each.
-    ``max_queries`` refuses more queries than that.
+    A block of at most about ``block`` queries is sent to all tasks; a task scores its
+    candidates with one matrix product for each batch of rows (columns row, low, embedding
+    and ``more``) and keeps ``top_k`` rows for each query, so candidates are not shuffled and no
+    pairs are built.  More queries are dealt to blocks by a hash of their id, with one
+    scan for each.
     """
-    n = queries.count()
-    if max_queries is not None and n > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
     kept = [c for c in candidates.columns if c not in ("embedding", "document", "low_information")]
-    rows = candidates.select(F.struct(*kept).alias("row"), low(candidates).alias("low"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = candidates.select(F.struct(*kept).alias("row"), low_.alias("low"), F.col("embedding").cast("array<double>").alias("embedding"), *more)
     schema = T.StructType([queries.schema[query_id], T.StructField("row", rows.schema["row"].dataType), T.StructField("low", T.BooleanType()), T.StructField("score", T.DoubleType())])
     id_type = to_arrow_type(schema[0].dataType)
     margin = 0.0 if digits is None else 10.0**-digits
@@ -171,13 +155,17 @@ def batch_top_k(queries: DataFrame, candidates: DataFrame, top_k: int, query_id:
                     part = batch.slice(start, 1024)
                     row = part.column(0)
                     low_ = np.array(part.column(1).to_pylist(), bool)
-                    score = _cosines(part.column(2).to_pylist(), vectors)
+                    score = scores(part, vectors)
                     value = score - 10.0 * low_[:, None]
-                    keys = list(zip(*(row.field(kept.index(c)).to_pylist() for c in order))) if order else [()] * len(low_)
-                    hit, query = np.nonzero(value >= least - margin)
-                    exact = _rounded(score[hit, query], digits)
+                    columns = [row.field(kept.index(c)).to_pylist() for c in order]
+                    keys = [tuple((k is not None, k) for k in x) for x in zip(*columns)] if order else [()] * len(low_)
+                    flags = low_.tolist()
+                    if len(value) > top_k:  # in a batch, what is below its own top_k cannot stay either
+                        least = np.maximum(least, np.partition(value, -top_k, axis=0)[-top_k] - margin)
+                    hit, query = np.nonzero((value >= least - margin) & (value > -np.inf))
+                    exact = np.sign(sign) * _rounded(sign * score[hit, query], digits)
                     for i, q, s in zip(hit.tolist(), query.tolist(), exact.tolist()):
-                        found[q].append((bool(low_[i]), -s, tuple((k is not None, k) for k in keys[i]), at + i))
+                        found[q].append((flags[i], -s, keys[i], at + i))
                     for q in np.unique(query).tolist():
                         found[q] = sorted(found[q])[:top_k]
                         if len(found[q]) == top_k:
@@ -208,11 +196,132 @@ def batch_top_k(queries: DataFrame, candidates: DataFrame, top_k: int, query_id:
     blocks = max(1, -(-n // block))
     at = F.pmod(F.xxhash64(query_id), F.lit(blocks))
     found = functools.reduce(DataFrame.unionAll, [best(queries.where(at == k)) for k in range(blocks)])
-    found = found.select(query_id, "row.*", F.col("low").alias("low_information"), F.col("score").alias("similarity_score"))
+    return found.select(query_id, "row.*", "low", "score")
+
+
+def _by_size(vectors: pa.ListArray, queries: list[np.ndarray]):
+    """(rows, queries, their matrices) for each length that both have."""
+    sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    for n in {len(q) for q in queries} & set(sizes.tolist()):
+        rows, columns = np.flatnonzero(sizes == n), [k for k, q in enumerate(queries) if len(q) == n]
+        a = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), n)
+        yield np.ix_(rows, columns), a, np.array([queries[k] for k in columns], np.float64).reshape(len(columns), n)
+
+
+def _cosines(vectors: pa.ListArray, queries: list[np.ndarray]) -> np.ndarray:
+    """Cosine of every vector with every query, 0 to 1; 0 where one is zero, not a number, missing or of another length."""
+    out = np.zeros((len(vectors), len(queries)))
+    for place, a, b in _by_size(vectors, queries):
+        with np.errstate(all="ignore"):
+            found = (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1)))
+        out[place] = np.where(np.isfinite(found), np.maximum(found, 0.0), 0.0)
+    return out
+
+
+def _nearness(vectors: pa.ListArray, queries: list[np.ndarray]) -> np.ndarray:
+    """Minus the squared L2 distance of every vector and every query; below everything where one is missing or of another length."""
+    out = np.full((len(vectors), len(queries)), -np.inf)
+    for place, a, b in _by_size(vectors, queries):
+        found = -np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T))
+        out[place] = np.where(np.isfinite(found), found, -np.inf)
+    return out
+
+
+def batch_top_k(queries: DataFrame, candidates: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, max_queries: int | None = None, block: int = 4096) -> DataFrame:
+    """Top-k by cosine for each query (columns ``query_id``, ``query``) over all candidates.
+
+    Returns query_id, the candidates' columns without vector and text, low_information,
+    similarity_score and rank.  ``max_queries`` refuses more queries than that.
+    """
+    n = queries.count()
+    if max_queries is not None and n > max_queries:
+        raise ValueError(f"more than {max_queries} queries")
+    found = _best_rows(queries, n, candidates, low(candidates), [], top_k, query_id, order, digits, block, lambda part, vectors: _cosines(part.column(2), vectors))
+    found = found.withColumnsRenamed({"low": "low_information", "score": "similarity_score"})
     by = Window.partitionBy(query_id).orderBy(F.col("low_information").asc(), F.col("similarity_score").desc(), *[F.col(c).asc() for c in order])
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
 
 
+def _nearest_rows(found: DataFrame, top_k: int, query_id: str, order: Sequence[str]) -> DataFrame:
+    found = found.drop("low").withColumn("distance", F.abs("score")).drop("score").withColumn("similarity_score", F.lit(1.0) - F.col("distance"))
+    by = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), *[F.col(c).asc() for c in order])
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
+
+
+def batch_nearest(queries: DataFrame, candidates: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, block: int = 4096) -> DataFrame:
+    """The ``top_k`` nearest by squared L2 distance for each query, exactly; candidates without a vector of that length are left out."""
+    found = _best_rows(queries, queries.count(), candidates, F.lit(False), [], top_k, query_id, order, digits, block, lambda part, vectors: _nearness(part.column(2), vectors), -1)
+    return _nearest_rows(found, top_k, query_id, order)
+
+
+class CellIndex:
+    """Approximate nearest neighbours: vectors belong to the cell of their nearest centre, and a query looks into the nearest cells.
+
+    Centres are fitted to at most ``sample`` vectors (those with the least hash), and the
+    number of cells a query looks into is the least that finds ``recall`` of the exact
+    neighbours within that sample.  Every row is indexed; ``assigned`` adds its cell.
+    """
+
+    def __init__(self, centres: np.ndarray, probes: int):
+        self.centres, self.probes = centres, probes
+
+    @classmethod
+    def fit(cls, rows: DataFrame, cells: int | None = None, sample: int = 20_000, recall: float = 0.96, rounds: int = 8, seed: int = 11) -> CellIndex:
+        held = rows.where("embedding is not null").select(F.col("embedding").cast("array<double>").alias("e")).orderBy(F.xxhash64("e"), "e").limit(sample).collect()
+        size = max((len(r[0]) for r in held), default=0)
+        x = np.array([r[0] for r in held if len(r[0]) == size], np.float64).reshape(-1, size)
+        if not len(x):
+            return cls(np.zeros((1, size)), 1)
+        cells = min(len(x), cells or max(1, int(len(x) ** 0.5) // 2))
+        centres = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
+        for _ in range(rounds):
+            near = cls(centres, 1).cells(x)[:, 0]
+            centres = np.array([x[near == k].mean(axis=0) if (near == k).any() else c for k, c in enumerate(centres)])
+        index = cls(centres, cells)
+        asked = x[:200]
+        order, own = index.cells(asked), cls(centres, 1).cells(x)[:, 0]
+        gap = (asked * asked).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * asked @ x.T
+        exact = np.argsort(gap, axis=1, kind="stable")[:, :10]
+        depth = (order[:, None, :] == own[exact][:, :, None]).argmax(axis=2)  # how far down a query's cells each neighbour's cell is
+        index.probes = int(np.quantile(depth, recall, method="higher")) + 1
+        return index
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The cells to look into, nearest first."""
+        gap = (self.centres * self.centres).sum(axis=1)[None, :] - 2 * x @ self.centres.T
+        return np.argsort(gap, axis=1, kind="stable")[:, : self.probes]
+
+    def assigned(self, rows: DataFrame) -> DataFrame:
+        """The rows with ``cell`` (null for vectors of another length)."""
+        nearest = CellIndex(self.centres, 1)
+
+        @F.pandas_udf("int")
+        def cell(vectors: pd.Series) -> pd.Series:
+            size = nearest.centres.shape[1]
+            fit = vectors.map(lambda v: v is not None and len(v) == size).to_numpy(bool)
+            out = pd.array([None] * len(vectors), "Int32")
+            if fit.any():
+                out[fit] = nearest.cells(np.stack(vectors[fit].to_list()).astype(np.float64))[:, 0]
+            return pd.Series(out)
+
+        return rows.withColumn("cell", cell(F.col("embedding").cast("array<double>")))
+
+    def search(self, queries: DataFrame, indexed: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, block: int = 4096) -> DataFrame:
+        """Like ``batch_nearest``, among the rows of the cells a query looks into."""
+
+        def scores(part: pa.RecordBatch, vectors: list[np.ndarray]) -> np.ndarray:
+            found = _nearness(part.column(2), vectors)
+            cell = part.column(3).fill_null(-1).to_numpy(zero_copy_only=False)
+            size = self.centres.shape[1]
+            for k, q in enumerate(vectors):
+                if len(q) == size:
+                    found[~np.isin(cell, self.cells(q[None, :])[0]), k] = -np.inf
+            return found
+
+        found = _best_rows(queries, queries.count(), indexed, F.lit(False), ["cell"], top_k, query_id, order, digits, block, scores, -1)
+        return _nearest_rows(found, top_k, query_id, order)
+
+
 def random_projection_index(vectors: DataFrame, bucket_length: float = 0.5, tables: int = 8, seed: int = 11):
     """Approximate variant of ``nearest``: a fitted random-projection LSH model and its indexed rows.
 

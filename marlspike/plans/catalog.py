@@ -6,8 +6,7 @@ is (label, lang, source), with source as the session and label as the user.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,83 +15,12 @@ from ..functions.filters import compiled, same_metadata, where_clause
 from ..operators import chunking, context, ranking, sessions
 from ..settings import DEFAULTS
 from ..sources.collection import collection_stats, insert_absent, stamped, without_ids
-from ..sources.files import upload_error
+from ..sources.files import extracted, pdf_info, pdf_pages, upload_error, with_hash
+from ..sources.pdf import write
+from . import lifecycle as lifecycle
+from .registry import _BOOST, _COSINE, _LOW, _MESSAGES, _STRIP, DIGITS, ORACLES, ORDER, QUERIES, QUERY_ID, base, chat_tables, chunk_sql, corpus, query_vector, register, table, vectors_only, with_text
 from .retrieve import envelope_row, file_stats, retrieve, search_stats
 
-QUERY_ID = 7
-DIGITS = 6
-ORDER = ("vec_id",)
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates: vectors with their text and metadata."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), "lang", "source")
-    rows = table(spark, d, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"), "left")
-    metadata = F.map_filter(F.create_map(F.lit("label"), F.col("label").cast("string"), F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")), lambda _, v: v.isNotNull())
-    return rows.select("vec_id", F.col("vec_id").cast("string").alias("id"), "embedding", "document", metadata.alias("metadata"), F.col("source").alias("session_id"), F.col("label").cast("string").alias("user_id"), "label")
-
-
-def vectors_only(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("id"), "embedding", F.lit(None).cast("string").alias("document"), "label")
-
-
-def query_vector(spark: SparkSession, d: str, vec_id: int = QUERY_ID) -> list[float]:
-    row = table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
-    return [float(x) for x in row[0]] if row else []
-
-
-def register(name: str, sql: str | None = None):
-    def keep(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
-# SQL parts of the oracles
-
-_WHITE = r"[\s\x0b\p{Z}\x1c-\x1f\x85]"
-_STRIP = rf"regexp_replace(%s, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
-_LOW = rf"coalesce({_STRIP % 'document'} = '' or regexp_matches({_STRIP % 'document'}, '(?i)^-+\s*page\s*\d+\s*-+$') or length(regexp_replace({_STRIP % 'document'}, '[^\p{{L}}\p{{N}}]', '', 'g')) < 20, true)"
-_COSINE = "greatest(coalesce(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})), 0), 0), 0)"
-_BASE = f"""
-with q as (select embedding::double[] as qv from embeddings where vec_id = {QUERY_ID}),
-c as (
-  select e.vec_id, e.label, d.text as document, d.lang, d.source, e.embedding::double[] as v
-  from embeddings e left join documents d on e.vec_id = d.doc_id),
-s as (select c.*, round({_COSINE.format(a='v', b='qv')}, 6) as score, {_LOW} as low from c, q where true {{where}})
-"""
-_BOOST = """
-, n as (
-  select count(*) as cnt, count(*) filter (where score >= {t}) as m, greatest(ceil(log2(greatest(count(*), 2))), 1)::int as nq from s),
-g as (
-  select *, pow(2, nq) as states, greatest(1, least(10, floor(pi() / 4 * sqrt(cnt / nullif(m, 0)))))::int as k,
-    asin(sqrt(m / pow(2, nq))) as theta from n),
-w as (
-  select *, pow(sin((2 * k + 1) * theta), 2) / nullif(m, 0) as pm, coalesce(pow(cos((2 * k + 1) * theta), 2) / nullif(states - m, 0), 0) as po from g),
-p as (select s.*, score >= {t} as marked, row_number() over (order by vec_id) - 1 as pos from s),
-r as (
-  select list_sum(list_transform(range(0, nq), lambda j: ((pos >> j) & 1) << (nq - 1 - j)))::bigint as hit from p, w where marked),
-b as (
-  select p.*, case when r.hit is not null then pm else po end as prob from p cross join w left join r on p.pos = r.hit),
-e as (select *, round(score * (1 + prob * 2.0), 6) as enhanced from b)
-"""
-
-
-def base(where: str = "") -> str:
-    return _BASE.replace("{where}", where)
-
-
 # scoring and ranking
 
 
@@ -133,13 +61,13 @@ def informative_first_topk(spark, d):
 
 
 @register("batch_topk", f"""
-with q as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id < 50),
+with q as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id % 100 = 0),
 c as (select e.vec_id, e.embedding::double[] as v, d.text as document from embeddings e left join documents d on e.vec_id = d.doc_id),
 s as (select query_id, vec_id, round({_COSINE.format(a='v', b='qv')}, 6) as similarity_score, {_LOW} as low from c, q)
 select query_id, vec_id, similarity_score, row_number() over (partition by query_id order by low, similarity_score desc, vec_id)::bigint as rank from s
 qualify rank <= 5""")
 def batch_topk(spark, d):
-    queries = table(spark, d, "embeddings").where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return ranking.batch_top_k(queries, corpus(spark, d), 5, "query_id", ORDER, DIGITS).select("query_id", "vec_id", "similarity_score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -257,7 +185,7 @@ def retrieve_no_candidates(spark, d):
 def context_query(spark, d):
     top = ranking.classical(corpus(spark, d), query_vector(spark, d), 3, ORDER, digits=DIGITS)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("low_information", F.col("similarity_score").desc(), "vec_id")))
-    return context.context_text(ranked, 3)
+    return context.context_text(with_text(spark, d, ranked), 3)
 
 
 # text
@@ -279,11 +207,11 @@ def sha256_text(spark, d):
 
 
 @register("password_strength", """
-with p as (select item_id, left(text, 7 + (item_id % 4)::int) as password from benchmark),
+with p as (select item_id, text as password from benchmark),
 s as (select *, (length(password) >= 8)::int + regexp_matches(password, '[a-z]')::int + regexp_matches(password, '[A-Z]')::int + regexp_matches(password, '[0-9]')::int + regexp_matches(password, '[^A-Za-z0-9]')::int as points from p)
 select item_id, points::bigint as points, case when points <= 2 then 'Weak' when points = 3 then 'Medium' else 'Strong' end as strength from s""")
 def password_strength(spark, d):
-    rows = table(spark, d, "benchmark").select("item_id", F.expr("left(text, 7 + cast(item_id % 4 as int))").alias("password"))
+    rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("password"))
     return rows.select("item_id", text.password_points(F.col("password")).cast("long").alias("points"), text.password_strength(F.col("password")).alias("strength"))
 
 
@@ -295,7 +223,8 @@ def salted_hash_verify(spark, d):
 
 @register("origins_union", "select list_sort(list_distinct(list_concat(list(distinct rtrim(regexp_extract(url, '^[a-z]+://[^/]+'), '/')), ['http://localhost:5173', 'http://localhost:8080']))) as origins from pages")
 def origins_union(spark, d):
-    found = table(spark, d, "pages").agg(F.collect_set(F.rtrim(F.regexp_extract("url", "^[a-z]+://[^/]+", 0), F.lit("/"))).alias("o"))
+    hosts = table(spark, d, "pages").select(F.rtrim(F.regexp_extract("url", "^[a-z]+://[^/]+", 0), F.lit("/")).alias("o")).distinct()
+    found = hosts.agg(F.collect_list("o").alias("o"))  # one entry for each origin
     return found.select(text.origins(F.col("o"), F.array(F.lit("http://localhost:5173"), F.lit("http://localhost:8080"))).alias("origins"))
 
 
@@ -316,25 +245,67 @@ def chunk_fixed(spark, d):
     return chunking.fixed_windows(table(spark, d, "documents").select("doc_id", "text"))
 
 
-@register("chunk_recursive")
+_CHUNKED = "select doc_id, chunk_id, length(chunk)::int as chunk_size, total_chunks, chunk from chunked"
+
+
+@register("chunk_recursive", chunk_sql("select doc_id, text from documents") + _CHUNKED)
 def chunk_recursive(spark, d):
     return chunking.chunks(table(spark, d, "documents").select("doc_id", "text"))
 
 
+@register("chunk_paragraphs", chunk_sql("select doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) || repeat('x', (doc_id % 7 * 400)::int) as text from documents") + _CHUNKED)
+def chunk_paragraphs(spark, d):
+    """Every separator: paragraphs in place of sentences, lines, words, and words longer than a chunk."""
+    made = F.expr("concat(replace(text, '. ', concat('.', char(10), char(10))), repeat('x', cast(doc_id % 7 * 400 as int)))")
+    return chunking.chunks(table(spark, d, "documents").select("doc_id", made.alias("text")))
+
+
 @register("chunk_ids", "select doc_id, k::int as chunk_id, replace(replace(sha256(text) || '_' || source || '_2024-01-01 00:00:00_' || k, ' ', '_'), ':', '-') as id from (select doc_id, text, source, unnest(range(0, greatest(1, ceil((length(text) - 200) / 800.0))::bigint)) as k from documents where length(text) > 0)")
 def chunk_ids(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("file_name"), F.sha2("text", 256).alias("file_hash"), F.lit("2024-01-01 00:00:00").alias("processed_at"))
     return chunking.chunk_ids(chunking.fixed_windows(docs)).select("doc_id", "chunk_id", "id")
 
 
-@register("page_assembly", r"""
-with p as (select conv_id, row_number() over (partition by conv_id order by turn) as page, text from conversations)
-select conv_id, count(*)::bigint as pages, sha256(string_agg('--- Page ' || page || ' ---' || chr(10) || chr(10) || text, chr(10) || chr(10) order by page)) as text_hash from p group by conv_id""")
+def pdf_files(rows: DataFrame, key: str, pages, fields=None) -> DataFrame:
+    """Files (as the binaryFile source gives them) with a PDF for each row."""
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series, info: pd.Series) -> pd.Series:
+        return pd.Series([write([t or "" for t in ts], f) for ts, f in zip(texts, info)])
+
+    fields = F.create_map().cast("map<string,string>") if fields is None else fields
+    found = rows.select(F.concat(F.lit("/"), F.col(key).cast("string"), F.lit(".pdf")).alias("path"), made(pages, fields).alias("content"))
+    return found.withColumn("length", F.octet_length("content").cast("long"))
+
+
+def of_name() -> F.Column:
+    return F.regexp_extract("file_name", r"(\d+)", 1).cast("long")
+
+
+@register("page_assembly", rf"""
+with p as (select conv_id, row_number() over (partition by conv_id order by turn) as page, {_STRIP % "coalesce(text, '')"} as text from conversations),
+j as (select conv_id, count(*)::bigint as pages, count(*) filter (where text <> '')::bigint as kept, coalesce(string_agg('--- Page ' || page || ' ---' || chr(10) || chr(10) || text, chr(10) || chr(10) order by page) filter (where text <> ''), '') as whole from p group by conv_id)
+select conv_id, pages, kept, sha256({_STRIP % 'whole'}) as text_hash, case when whole = '' then 'No text content found in PDF' end as error from j""")
 def page_assembly(spark, d):
-    numbered = table(spark, d, "conversations").withColumn("page", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    one = F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n\n"), F.col("text"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", one.alias("t")))), lambda x: x["t"]), "\n\n")
-    return numbered.groupBy("conv_id").agg(F.count("*").alias("pages"), F.sha2(joined, 256).alias("text_hash"))
+    """A PDF of each conversation, a turn a page, read back."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pages"))
+    found = extracted(with_hash(pdf_files(turns, "conv_id", F.col("pages"))), pdf_pages)
+    return found.select(of_name().alias("conv_id"), F.col("num_pages").cast("long").alias("pages"), F.size("page_texts").cast("long").alias("kept"), F.sha2("full_text", 256).alias("text_hash"), "error")
+
+
+@register("pdf_info", "select item_id, text as title, 'author ' || item_id as author, '' as subject, '' as creator from benchmark")
+def pdf_info_query(spark, d):
+    items = table(spark, d, "benchmark")
+    fields = F.create_map(F.lit("title"), F.col("text"), F.lit("author"), F.concat(F.lit("author "), F.col("item_id").cast("string")))
+    found = extracted(with_hash(pdf_files(items, "item_id", F.array("text"), fields)), pdf_pages, pdf_info)
+    return found.select(of_name().alias("item_id"), *[F.element_at("info", k).alias(k) for k in ("title", "author", "subject", "creator")])
+
+
+@register("file_hashes", "select item_id, item_id || '.pdf' as file_name, sha256(text) as file_hash, strlen(text)::bigint as file_size from benchmark")
+def file_hashes(spark, d):
+    """Name, size and hash of files by their bytes."""
+    items = table(spark, d, "benchmark").select(F.concat(F.lit("file:/x/y/"), F.col("item_id").cast("string"), F.lit(".pdf")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return with_hash(items.withColumn("length", F.octet_length("content").cast("long"))).select(of_name().alias("item_id"), "file_name", "file_hash", "file_size")
 
 
 # collection
@@ -394,22 +365,6 @@ def session_rollup(spark, d):
     return sessions.message_rollup(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
 
 
-def chat_tables(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Chats and history rows made of conversations: each turn is one history row."""
-    talk = table(spark, d, "conversations")
-    at = F.timestamp_seconds(F.col("turn") * 60)
-    chats = talk.groupBy(F.col("conv_id").alias("id")).agg((F.col("id") % 10).alias("user_id"), F.timestamp_seconds(F.col("id") * 3600).alias("created_at")).select("id", "user_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("chat "), F.col("id").cast("string"))).alias("chat_name"), "created_at")
-    side = lambda who: F.when(F.col("role") == who, F.col("text")).otherwise("")
-    history = talk.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("chat_id"), (F.col("conv_id") % 10).alias("user_id"), side("user").alias("input_data"), side("assistant").alias("output_data"), at.alias("created_at"))
-    return chats, history
-
-
-_MESSAGES = rf"""
-with h as (select conv_id * 1000 + turn as id, conv_id as chat_id, case when role = 'user' then text else '' end as i, case when role = 'assistant' then text else '' end as o, turn from conversations),
-m as (select chat_id, turn, id, 0 as side, 'user_' || id as mid, i as content from h where {_STRIP % 'i'} <> '' union all select chat_id, turn, id, 1, 'bot_' || id, o from h where {_STRIP % 'o'} <> '')
-"""
-
-
 @register("session_nested_messages", _MESSAGES + """, c as (select distinct conv_id as id from conversations)
 select c.id::varchar as id, case when c.id % 2 = 0 then 'chat ' || c.id else 'New Chat' end as title, greatest(count(m.mid), 1)::bigint as messages, coalesce(string_agg(m.mid, ',' order by m.turn, m.id, m.side), '1') as message_ids
 from c left join m on m.chat_id = c.id group by c.id""")
@@ -460,10 +415,10 @@ def users_without_password(spark, d):
     return sessions.public_users(users)
 
 
-@register("first_result_by_name", "with r as (select source as file_name, min(doc_id) as result from documents group by source) select d.doc_id as id, r.file_name, r.result from documents d join r on d.source = r.file_name where d.doc_id < 100")
+@register("first_result_by_name", "with r as (select source as file_name, min(doc_id) as result from documents group by source) select d.doc_id as id, r.file_name, r.result from documents d join r on d.source = r.file_name")
 def first_result_by_name(spark, d):
     docs = table(spark, d, "documents")
-    files = docs.where("doc_id < 100").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"))
+    files = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"))
     results = docs.select(F.col("source").alias("file_name"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("result"))
     return sessions.files_with_results(files, results).select("id", "file_name", "result")
 

@@ -78,12 +78,12 @@ def file_stats(rows: DataFrame, path: str, settings: Settings = DEFAULTS) -> Dat
     return base.select("*", F.lit(settings.chunk_size).alias("chunk_size"), F.lit(settings.chunk_overlap).alias("chunk_overlap"), F.lit(settings.max_upload_bytes // (1024 * 1024)).alias("max_file_size_mb"))
 
 
-def chat(rows: DataFrame, request: ChatRequest, embed: Callable[[str], Sequence[float]], generate: Callable[[str], str], settings: Settings = DEFAULTS) -> dict[str, Any]:
+def chat(rows: DataFrame, request: ChatRequest, embed: Callable[[str], Sequence[float]], generate: Callable[[str], str], settings: Settings = DEFAULTS, digits: int | None = None) -> dict[str, Any]:
     """An answer with the passages of the request's session; retrieval errors leave it without context."""
     scope = request.scope
     context, envelope = "", None
     if scope is not None:
-        envelope = retrieve(rows, embed(request.message), request.max_context_results, settings.chat_threshold, True, None, scope, request.user_id, settings=settings)
+        envelope = retrieve(rows, embed(request.message), request.max_context_results, settings.chat_threshold, True, None, scope, request.user_id, settings=settings, digits=digits)
         if envelope.results is not None:
             ranked = _numbered(envelope.results, request.max_context_results)
             context = context_text(ranked, request.max_context_results).first()[0] or ""

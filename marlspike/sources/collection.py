@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import uuid
 from typing import Any
 
@@ -63,6 +64,20 @@ def usable_path(preferred: str, fallback: str) -> str:
     return fallback
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that all machines share: under ``spark.checkpoint.dir``; on one machine without it, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        where = _LOCAL[0] if _LOCAL else tempfile.mkdtemp(prefix="marlspike-")
+        _LOCAL[:] = [where]
+    return where.rstrip("/") + "/scratch"
+
+
+_LOCAL: list[str] = []
+
+
 class Conflict(RuntimeError):
     """Another writer made a version meanwhile."""
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +8,8 @@ from marlspike.operators import accounts, context, embedding, ranking, sessions
 from marlspike.plans import ingest, retrieve
 from marlspike.plans.requests import ChatRequest, Registration
 from marlspike.settings import Settings
-from marlspike.sources import files, tables
-from marlspike.sources.collection import Collection, stamped, usable_path
+from marlspike.sources import files, pdf, tables
+from marlspike.sources.collection import Collection, Conflict, stamped, usable_path
 from marlspike.streaming.ingest import ingest_new
 
 
@@ -138,6 +139,100 @@ def test_collection(spark, tmp_path):
     assert c.open().count() == 0
 
 
+VECTORS = "id string, document string, embedding array<float>, metadata map<string,string>"
+
+
+def test_a_crash_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    c = Collection(spark, str(tmp_path / "c"))
+    assert c.open().count() == 0 and not (tmp_path / "c").exists()  # opening writes nothing
+    c.add(spark.createDataFrame([("a", "one", [1.0], {})], VECTORS))
+    write = Collection._write
+
+    def broken(self, rows):
+        write(self, rows)
+        raise OSError("the machine is gone")
+
+    monkeypatch.setattr(Collection, "_write", broken)
+    for change in (lambda: c.delete(["a"]), lambda: c.add(spark.createDataFrame([("b", "two", [1.0], {})], VECTORS))):
+        with pytest.raises(OSError):
+            change()
+    monkeypatch.undo()
+    monkeypatch.setattr(Collection, "_commit", lambda *_: (_ for _ in ()).throw(OSError("the machine is gone")))
+    with pytest.raises(OSError):
+        c.reset()
+    monkeypatch.undo()
+    (tmp_path / "c/versions/.half").write_text("{")  # a version that never got its name
+    assert [r.id for r in Collection(spark, str(tmp_path / "c")).open().collect()] == ["a"]
+    assert c.vacuum() == 2 and [r.id for r in c.open().collect()] == ["a"]
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "c"))
+    c.create()
+    now = c._version()
+    c.add(spark.createDataFrame([("a", "one", [1.0], {})], VECTORS))
+    with pytest.raises(Conflict):
+        c._commit(now["number"], [], 0, 0)
+    assert [r.id for r in c.open().collect()] == ["a"]
+
+
+def test_a_stream_batch_that_comes_again_enters_nothing(spark, tmp_path):
+    (tmp_path / "a.pdf").write_text("Words of a file that comes twice")
+    found = files.read_files(spark, str(tmp_path))
+    c, model = Collection(spark, str(tmp_path / "c")), embedding.HashEmbedder(16)
+    counts = [ingest.ingest(found, c, model, files.text_pages, processed_at="batch 0")["added_count"] for _ in range(2)]
+    assert counts == [1, 0]
+
+
+def test_pdf_files(spark):
+    texts = ["Hello (w) é 漢 😀\nline two\n\nfour", "", "  x\\y )( "]
+    data = pdf.write(texts, {"title": "T é", "author": "A"})
+    assert pdf.page_texts(data) == texts and pdf.info(data) == {"title": "T é", "author": "A", "subject": "", "creator": ""}
+    plain = b"""%PDF-1.4
+1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj
+2 0 obj << /Type /Pages /Kids [3 0 R 6 0 R] /Count 2 /Resources << /Font << /F1 << /Type /Font /Subtype /Type1 >> >> >> >> endobj
+3 0 obj << /Type /Page /Contents [4 0 R] >> endobj
+4 0 obj << /Length 5 0 R >> stream
+BT /F1 12 Tf 72 700 Td (Hello \\(World\\) \\351) Tj 0 -14 Td [(Ne) -50 (xt) -300 <6C696E65>] TJ ET
+endstream endobj
+5 0 obj 93 endobj
+6 0 obj << /Type /Page /Contents 7 0 R >> endobj
+7 0 obj << /Length 3 /Filter /FlateDecode >> stream
+bad
+endstream endobj
+trailer << /Root 1 0 R >>
+"""
+    assert pdf.page_texts(plain) == ["Hello (World) é\nNext line", None] and pdf.info(plain) == {}
+    rows = spark.createDataFrame([("/a.pdf", len(plain), plain), ("/b.pdf", 3, b"no!"), ("/c.pdf", 9, plain.replace(b"trailer <<", b"trailer << /Encrypt 9 0 R"))], "path string, length long, content binary")
+    got = {r.file_name: r for r in files.extracted(files.with_hash(rows), files.pdf_pages, files.pdf_info).collect()}
+    assert got["a.pdf"].num_pages == 2 and len(got["a.pdf"].page_texts) == 1 and got["a.pdf"].error is None
+    assert "not a PDF" in got["b.pdf"].error and "encrypted" in got["c.pdf"].error
+
+
+def test_cells_find_nine_tenths_of_the_nearest(spark, small_dir):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [1.0])], "vec_id long, embedding array<float>").repartition(5)
+    queries = rows.where("vec_id < 60").select(F.col("vec_id").alias("q"), F.col("embedding").alias("query"))
+    exact = {(r.q, r.vec_id) for r in ranking.batch_nearest(queries, rows, 5, "q", ["vec_id"]).collect()}
+    gap = ((x[:60, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    assert exact == {(q, int(i)) for q in range(60) for i in np.argsort(gap[q], kind="stable")[:5]}
+    index = ranking.CellIndex.fit(rows, cells=30)
+    indexed = index.assigned(rows)
+    assert indexed.where("cell is null").count() == 2 and 1 < index.probes < 30
+    found = {(r.q, r.vec_id) for r in index.search(queries, indexed, 5, "q", ["vec_id"]).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_batches_of_many_ties_and_rows(spark):
+    rows = spark.createDataFrame([(i, [1.0, float(i % 3)], "low" if i % 2 else "a text with letters enough to count") for i in range(5000)] + [(7000, None, None), (7001, [1.0], "x")], "vec_id long, embedding array<double>, document string").repartition(3)
+    queries = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(3)], "q long, query array<double>")
+    got = [(r.q, r.rank, r.vec_id) for r in ranking.batch_top_k(queries, rows, 4, "q", ["vec_id"], 6).collect()]
+    assert sorted(got) == [(q, k + 1, v) for q in range(3) for k, v in enumerate([i for i in range(60) if i % 3 == q and i % 2 == 0][:4])]
+    assert ranking.batch_top_k(queries.limit(0), rows, 4, "q", ["vec_id"]).collect() == []
+    assert ranking.batch_top_k(queries, rows.limit(0), 4, "q", ["vec_id"]).collect() == []
+
+
 def test_stamp_of_empty_metadata(spark):
     rows = spark.createDataFrame([("a", None), ("b", {"file_name": ""})], "id string, metadata map<string,string>")
     assert [r.metadata["source"] for r in stamped(rows, "t").orderBy("id").collect()] == ["Unknown", "Unknown"]
