@@ -17,8 +17,8 @@
 
 Defined results: null texts are empty; an empty text has the digest without filters,
 like another empty text (1) and unlike all others (0); a row without an id is
-followed by itself; rows that share an id are ordered by text; ids are numbers; extra
-columns are ignored.
+followed by itself; ids are of any type that has an order, rows that share one are
+ordered by a hash of their text; extra columns are ignored.
 
 Scale: texts are dealt once, by ranges of ids, and the first row of each range also
 goes to the range before, so each row meets its successor without a global window.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import bounds_column, id_bounds, least_runs, mix64, output, range_bucket, ranges_for, text_bytes
+from .shared import Ranges, least_runs, mix64, output, ranges_for, text_bytes
 
 WINDOW = 32
 SPAN = 64
@@ -214,28 +214,28 @@ def edited(text: str, following: str) -> str:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: np.ndarray | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row for each row: id, n_chars, digests of the text and its edited text, and their likeness."""
     rank = rarity(docs, text_col) if rank is None else rank
-    batches = ranges_for(text_bytes(docs, text_col), batch_bytes, LEAST_BATCHES)
-    bounds = id_bounds(docs, id_col, batches)
+    size = text_bytes(docs, text_col)
+    batches = ranges_for(size, batch_bytes, LEAST_BATCHES)
     id_ = F.col(id_col)
-    home = range_bucket(id_, bounds)
-    before = F.when(F.col("_home") == 1, F.lit(len(bounds))).otherwise(F.col("_home") - 1)
+    ranges = Ranges(docs.where(id_.isNotNull()), id_col, text_col, batches, size)
+    before = F.when(F.col("_home") == 1, F.lit(ranges.count)).otherwise(F.col("_home") - 1)
     lone = -1 - F.pmod(F.xxhash64("_text"), F.lit(batches)).cast("int")
-    placed = docs.select(id_, F.col(text_col).cast("string").alias("_text"), home.alias("_home"))
-    begins = F.coalesce(F.get(bounds_column(bounds or [0]), F.col("_home") - 1) == F.col(id_col), F.lit(False))
+    placed = docs.select(id_, F.col(text_col).cast("string").alias("_text"), ranges.key.alias("_key"), ranges.number().alias("_home"))
+    begins = ranges.begins(F.col("_home"), F.col("_key"))
     to = F.when(F.col(id_col).isNull(), F.array(F.struct(lone.alias("batch"), F.lit(False).alias("guest")))).when(
         begins, F.array(F.struct(F.col("_home").alias("batch"), F.lit(False).alias("guest")), F.struct(before.alias("batch"), F.lit(True).alias("guest")))
     ).otherwise(F.array(F.struct(F.col("_home").alias("batch"), F.lit(False).alias("guest"))))
-    dealt = placed.select(id_col, "_text", F.explode(to).alias("_to")).select(id_col, "_text", "_to.batch", "_to.guest")
+    dealt = placed.select(id_col, "_text", F.col("_key.b").alias("_mark"), F.explode(to).alias("_to")).select(id_col, "_text", "_mark", "_to.batch", "_to.guest")
     out = output(docs, {id_col: id_col}, "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
     def digest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = list(zip(table.column("guest").to_pylist(), table.column(id_col).to_pylist(), (t or "" for t in table.column("_text").to_pylist())))
+        rows = list(zip(table.column("guest").to_pylist(), table.column(id_col).to_pylist(), table.column("_mark").to_pylist(), (t or "" for t in table.column("_text").to_pylist())))
         own = sorted(r for r in rows if not r[0]) if key[0].as_py() > 0 else [r for r in rows if not r[0]]
         guest = min((r for r in rows if r[0]), default=None)
-        texts = [r[2] for r in own]
+        texts = [r[3] for r in own]
         if not texts:
             return out_schema.empty_table()
-        follow = texts if key[0].as_py() <= 0 else [*texts[1:], guest[2] if guest else texts[0]]
+        follow = texts if key[0].as_py() <= 0 else [*texts[1:], guest[3] if guest else texts[0]]
         changed = [edited(a, b) for a, b in zip(texts, follow)]
         raw = [t.encode() for t in changed]
         whole = Digests([t.encode() for t in [*texts, follow[-1]]], rank)

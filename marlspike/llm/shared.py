@@ -7,7 +7,6 @@ only where the session has none, as in tests on one machine).
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -150,31 +149,53 @@ def ranges_for(size: int, batch_bytes: int, least: int) -> int:
     return min(MAX_RANGES, max(least, -(-size // batch_bytes)))
 
 
-def id_bounds(docs: DataFrame, id_col: str, parts: int) -> list:
-    """At most ``parts`` ids present in ``docs``, the smallest first, that cut it into ranges of similar row counts."""
-    cuts = [k / parts for k in range(parts)]
-    row = docs.agg(F.percentile_approx(id_col, cuts, 20 * parts).alias("b"), F.min(id_col).alias("a")).first()
-    return sorted({row["a"], *(row["b"] or [])} - {None})
-
-
-def bounds_column(bounds: list):
-    """The bounds as one constant array."""
-    kind = "bigint" if all(isinstance(b, int) for b in bounds) else "double"
-    return F.from_json(F.lit(json.dumps([b if isinstance(b, int) else float(b) for b in bounds])), f"array<{kind}>")
-
-
-def range_bucket(col, bounds: list):
-    """How many of the sorted ``bounds`` are at or below ``col`` (0 for null), by binary search."""
-    if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    table = bounds_column(bounds)
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, F.least(at + step, F.lit(len(bounds))) - 1) <= col), at + step).otherwise(at),
-    )
-    return F.coalesce(found, F.lit(0))
+#: Keys fetched for each range; a range then has its bytes up to a third or so.
+KEYS_PER_RANGE = 8
+
+
+def order_key(id_col: str, text_col: str):
+    """The place of a row in the corpus: its id of any type that has an order (null first), then a hash of its text."""
+    return F.struct(column(id_col).alias("a"), F.xxhash64(F.coalesce(column(text_col).cast("string"), F.lit(""))).alias("b"))
+
+
+class Ranges:
+    """Ranges of a corpus in order, of similar numbers of bytes; their bounds are keys of rows, the least key first."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, parts: int, size: int):
+        kind = docs.schema[id_col].dataType.simpleString()
+        self.key = order_key(id_col, text_col)
+        found = docs.select(self.key.alias("k"), F.coalesce(F.octet_length(column(text_col).cast("string")), F.lit(0)).alias("n"))
+        # a row is drawn in proportion to its bytes, by a hash of its key, so drawn keys stand for equal shares (long rows for more)
+        rate = KEYS_PER_RANGE * parts / max(1, size)
+        chance = F.pmod(F.xxhash64(F.lit(7), "k.a", "k.b"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        drawn = found.where(chance < F.col("n") * F.lit(rate)).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").select(F.to_json("k"), "n")
+        cuts, held = [], 0.0
+        for key, n in drawn.collect():
+            if held >= KEYS_PER_RANGE:
+                cuts.append(key)
+                held = 0.0
+            held += max(1.0, n * rate)
+        least = found.agg(F.to_json(F.min("k"))).first()[0]
+        bounds = list(dict.fromkeys([*([least] if least is not None else []), *cuts]))
+        self.count = len(bounds)
+        self.bounds = F.from_json(F.lit("[" + ",".join(bounds) + "]"), f"array<struct<a:{kind},b:bigint>>")
+
+    def number(self, key=None):
+        """1 to ``count``: how many bounds are at or below the key, by binary search."""
+        key = self.key if key is None else key
+        if not self.count:
+            return F.lit(1)
+        steps = [1 << k for k in reversed(range(self.count.bit_length()))]
+        found = F.aggregate(
+            F.array(*[F.lit(s) for s in steps]),
+            F.lit(0),
+            lambda at, step: F.when((at + step <= self.count) & (F.get(self.bounds, F.least(at + step, F.lit(self.count)) - 1) <= key), at + step).otherwise(at),
+        )
+        return F.greatest(F.lit(1), found)
+
+    def begins(self, number, key=None):
+        """Whether the key is the first of its range."""
+        return F.coalesce(F.get(self.bounds, number - 1) == (self.key if key is None else key), F.lit(False)) if self.count else F.lit(False)
 
 
 _TILE_BITS = 17

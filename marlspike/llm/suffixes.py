@@ -22,12 +22,12 @@ comes first, so buckets of suffixes are refined up to that depth and no further:
    depth (128 bits), and every one but the first in its final bucket occurs earlier.
 
 Defined results: null and empty texts have no bytes; a text shorter than ``length``
-loses nothing; null ids come before all others; rows that share an id are ordered by
-text, equal rows by position, so of equal rows one stays; ids are numbers; extra
-columns are ignored.
+loses nothing; ids are of any type that has an order, null ids come before all others;
+rows that share an id are ordered by a hash of their text, equal rows by position, so of
+equal rows one stays; extra columns are ignored.
 
-Scale: texts are dealt once into batches by ranges of ids (``batch_bytes`` each), and
-all later steps reuse that exchange.  Between steps only sorted pointers travel, as
+Scale: texts are dealt once into batches by ranges of ids and text hashes
+(``batch_bytes`` each, so an id that many rows share is many batches), and all later steps reuse that exchange.  Between steps only sorted pointers travel, as
 one block for each batch and part, and a flag comes back for each.  A batch sends each
 pointer once and at most ``PER_GRAM`` runs for a q-gram (the others are refined to
 full depth), so a passage in a third of all documents costs a part one entry for each
@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, id_bounds, least_runs, mix64, output, range_bucket, ranges_for, text_bytes
+from .shared import Ranges, column, least_runs, mix64, output, ranges_for, text_bytes
 
 LENGTH = 100
 GRAM = 36
@@ -61,7 +61,8 @@ class Batch:
     def __init__(self, table: pa.Table, id_col: str):
         ids = table.column(id_col).to_pylist()
         texts = table.column("_text").cast(pa.binary()).to_pylist()
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, texts[i] or b""))
+        marks = table.column("_mark").to_pylist()
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, marks[i], texts[i] or b""))
         self.missing = [texts[i] is None for i in self.order]
         self.texts = [texts[i] or b"" for i in self.order]
         self.sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
@@ -153,11 +154,12 @@ class Strings:
 
 def _blocks(batch_no: int, step: int, parts: int, *keys: np.ndarray) -> pa.Table:
     """Sorted keys, cut by ranges of the first key into one block for each part."""
-    cuts = np.searchsorted(keys[0], [np.uint64((k << 64) // parts) for k in range(1, parts)], "left")
-    edges = [0, *cuts.tolist(), len(keys[0])]
+    part = ((keys[0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))  # of the parts that have keys
+    edges = [*first.tolist(), len(part)]
     data = [np.concatenate([k[a:b] for k in keys]).tobytes() for a, b in zip(edges, edges[1:])]
-    some = [k for k in range(parts) if data[k]]
-    return pa.table({"part": pa.array(some, pa.int32()), "batch": pa.array([batch_no] * len(some), pa.int32()), "step": pa.array([step] * len(some), pa.int32()), "data": pa.array([data[k] for k in some], pa.binary())}, schema=_BLOCK)
+    n = len(first)
+    return pa.table({"part": pa.array(part[first].astype(np.int32)), "batch": pa.array([batch_no] * n, pa.int32()), "step": pa.array([step] * n, pa.int32()), "data": pa.array(data, pa.binary())}, schema=_BLOCK)
 
 
 _BLOCK = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("step", pa.int32()), ("data", pa.binary())])
@@ -218,9 +220,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     size = text_bytes(docs, text_col)
     batches = ranges_for(size, batch_bytes, LEAST_BATCHES)
     parts = max(LEAST_BATCHES, -(-size // (PART_KEYS * 25)))
-    bounds = id_bounds(docs, id_col, batches)
+    ranges = Ranges(docs, id_col, text_col, batches, size)
     row = [F.struct(*[column(c) for c in carry]).alias("_row")] if carry else []
-    dealt = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *row, range_bucket(F.col(id_col), bounds).alias("_batch"))
+    dealt = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *row, ranges.key["b"].alias("_mark"), ranges.number().alias("_batch"))
     blocks = "part int, batch int, step int, data binary"
 
     def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

@@ -4,8 +4,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marlspike.llm import simhash, suffixes
+from marlspike.llm import shared, simhash, suffixes
 
 
 def brute_repeats(rows, length=100):
@@ -56,6 +57,32 @@ def test_repeats_edge_cases(frame, edge_rows):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def test_repeats_with_ids_that_are_texts_or_repeat(spark):
+    rows = [(f"{'aé漢😀'[i % 4]}{i:03d}", t) for i, t in passages(6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeats(docs, batch_bytes=500).collect()}
+    rows.sort()
+    assert [got[i] for i, _ in rows] == brute_repeats(rows)
+    # one id, or none, for all rows: many batches all the same, in order of the texts' hashes
+    for kind, value in (("string", "x"), ("bigint", None)):
+        docs = spark.createDataFrame([(value, t) for _, t in rows], f"doc_id {kind}, text string")
+        marked = sorted((r.m, r.text) for r in docs.selectExpr("xxhash64(coalesce(text, '')) m", "text").collect())
+        found = suffixes.repeats(docs, batch_bytes=500).collect()
+        assert sorted(r.n_removed for r in found) == sorted(w[1] for w in brute_repeats(marked))
+        ranges = shared.Ranges(docs, "doc_id", "text", 50, 50 * 500)
+        assert docs.select(ranges.number().alias("n")).distinct().count() > 10
+
+
+def test_ranges_have_similar_bytes(spark):
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "x" * (rng.randint(0, 50) if i % 10 else 4000)) for i in range(3000)], "doc_id long, text string")
+    size = shared.text_bytes(docs)
+    ranges = shared.Ranges(docs, "doc_id", "text", 20, size)
+    rows = docs.selectExpr("*", "octet_length(text) n").withColumn("r", ranges.number()).groupBy("r").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first")).orderBy("r").collect()
+    assert 15 <= len(rows) <= 25 and max(r.n for r in rows) < 3 * size / 20
+    assert [r["first"] for r in rows] == sorted(r["first"] for r in rows)
+
+
 def test_repeats_of_an_empty_table(frame):
     assert suffixes.repeats(frame([])).collect() == []
 

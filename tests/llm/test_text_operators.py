@@ -190,6 +190,87 @@ def test_entropy_bins_equal_direct_entropy():
         assert abs(bins[p] - -(q * np.log2(q)).sum() / 5 * (digest.BINS - 1)) < 2
 
 
+def brute_filters(text, rank):
+    """The digest of a text, byte by byte: number of features, and filters as sets of bits with their numbers of features."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    data = text.encode()
+    features = []
+    if data:
+        windows = max(1, len(data) - 31)
+        span = 1 << min(6, int(math.log2(max(1, windows // 8))))
+        padded = data.ljust(32, b"\0")
+        ranks = rank[digest.entropy_bins(np.frombuffer(padded, np.uint8))].tolist()
+        marked = Counter(min(range(i, i + span), key=lambda p: (ranks[p], p)) for i in range(len(ranks) - span + 1))
+        for p in sorted(p for p, n in marked.items() if n >= span / 4):
+            h = 0
+            for k in range(0, 32, 8):
+                h = mix(h * 0x9E3779B97F4A7C15 + int.from_bytes(padded[p + k : p + k + 8], "little") & m)
+            features.append(h)
+    if 0 < len(data) < 96:
+        short = data.ljust(8, b"\0")
+        features += [mix(int.from_bytes(short[p : p + 8], "little") + 8 & m) for p in range(len(short) - 7)]
+    features = list(dict.fromkeys(features))
+    filters = [features[k : k + 160] for k in range(0, len(features), 160)]
+    return len(features), [({f >> 11 * k & 2047 for f in some for k in range(5)}, len(some)) for some in filters]
+
+
+def brute_text(count, filters):
+    import base64
+
+    data = b"".join(bytes(sum(128 >> k for k in range(8) if 8 * i + k in bits) for i in range(256)) for bits, _ in filters)
+    return f"id1:{count}:" + base64.b64encode(data).decode()
+
+
+def brute_likeness(a, b):
+    if a[0] == b[0] and [x for x, _ in a[1]] == [x for x, _ in b[1]]:
+        return 1.0
+    if (len(a[1]), a[0]) > (len(b[1]), b[0]):
+        a, b = b, a
+    if not a[1]:
+        return 0.0
+    best = [max((len(x & y) - len(x) * len(y) / 2048) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9) for y, _ in b[1]) for x, _ in a[1]]
+    return sum(min(1, max(0, v)) * n for v, (_, n) in zip(best, a[1])) / sum(n for _, n in a[1])
+
+
+def test_digest_query_equals_brute_force(spark, small_dir):
+    """Every column of the query for every document of the small table."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    rank = digest.rarity(docs)
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    counts = np.zeros(digest.BINS, np.int64)
+    for _, t in rows:
+        if len(t.encode()) >= 32:
+            counts += np.bincount(digest.entropy_bins(np.frombuffer(t.encode(), np.uint8)), minlength=digest.BINS)
+    order = sorted(range(digest.BINS), key=lambda b: (b < digest.LOW_ENTROPY * digest.BINS, counts[b], b))
+    assert [int(rank[b]) for b in order] == list(range(digest.BINS))
+    got = {r.doc_id: r for r in digest.op1(spark, small_dir).collect()}
+    assert len(got) == len(rows)
+    made = [brute_filters(t, rank) for _, t in rows]
+    for k, (i, t) in enumerate(rows):
+        after = (k + 1) % len(rows)
+        edit = t[: len(t) - len(t) // 4] + rows[after][1][: len(t) // 4]
+        changed = brute_filters(edit, rank)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edit.encode()).hexdigest(), brute_text(*made[k]), brute_text(*changed)), i
+        assert abs(r.near_edited - brute_likeness(made[k], changed)) < 1e-9 and abs(r.near_next - brute_likeness(made[k], made[after])) < 1e-9
+
+
+def test_digests_of_ids_that_are_texts(spark):
+    rng = random.Random(9)
+    rows = [(f"http://{'aé漢😀'[i % 4]}/{rng.randrange(10**6)}", " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(rng.randint(0, 300)))) for i in range(300)]
+    got = {r.doc_id: r for r in digest.digests(spark.createDataFrame(rows, "doc_id string, text string").repartition(4), batch_bytes=2000).collect()}
+    rows.sort()
+    for k, (i, t) in enumerate(rows):
+        edit = digest.edited(t, rows[(k + 1) % len(rows)][1])
+        assert got[i].edited_sha256 == hashlib.sha256(edit.encode()).hexdigest()
+
+
 def test_digests_of_all_rows(frame, edge_rows):
     rng = random.Random(8)
     text = lambda n: " ".join("".join(rng.choice("aeiounrstl") for _ in range(rng.randint(1, 8))) for _ in range(n))
