@@ -166,3 +166,57 @@ def test_quality_edge_cases(spark, frame, edge_rows):
     got = {r.doc_id: r.score for r in quality.score(frame(edge_rows), model).collect()}
     assert got[1] == got[2] and got[6] == got[7] and all(0 <= s <= 1 for s in got.values())
     assert quality.score(frame([]), model).collect() == []
+
+
+def brute_statistics(text):
+    """The statistics of a text, counted in Python."""
+    import math
+    import re
+    import unicodedata
+
+    text = text or ""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    counts = {"n": len(text), "count": len(words)}
+    share = lambda a, b: a / counts[b] if counts[b] else 0.0
+    out = [math.log1p(len(words)), share(len(text), "count"), share(len(set(words)), "count"), share(sum(unicodedata.category(c) == "Lu" for c in text), "n")]
+    return out + [share(len(re.findall(p, text)), by) for p, by in quality.COUNTED.values()]
+
+
+def test_quality_query_equals_rules_in_python(spark, small_dir):
+    """Every row of the query: statistics counted and rules applied in Python."""
+    docs, labels = (spark.read.parquet(f"{small_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    want = model.predict(np.array([brute_statistics(r.text) for r in rows]))
+    got = {r.doc_id: r for r in quality.op5(spark, small_dir).collect()}
+    assert len(got) == len(rows) and len(model.rules) > 0
+    for r, w in zip(rows, want):
+        g = got[r.doc_id]
+        assert abs(g.score - w) < 1e-9 and g.predicted == int(g.score >= 0.7) and g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        total = model.bias
+        for rule, weight in model.rules:
+            x = brute_statistics(r.text)
+            total += weight * all((x[f] > v) if above else (x[f] <= v) for f, v, above in rule)
+        assert abs(1 / (1 + np.exp(-total)) - w) < 1e-9
+
+
+def test_lasso_weights_meet_their_optimality_conditions():
+    rng = np.random.default_rng(2)
+    r = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (r[:, 0] + r[:, 3] * 2 - r[:, 5] + rng.normal(0, 0.7, 400) > 0.8).astype(float)
+    for strength in (0.05, 0.01):
+        w, bias = quality.lasso(r, y, strength, 20_000)
+        slope = r.T @ (1 / (1 + np.exp(-(r @ w + bias))) - y) / len(y)
+        assert np.allclose(slope[w != 0], -strength * np.sign(w[w != 0]), atol=1e-4) and (np.abs(slope[w == 0]) <= strength + 1e-4).all()
+        assert abs((1 / (1 + np.exp(-(r @ w + bias))) - y).mean()) < 1e-4
+    assert (quality.lasso(r, y, 0.5)[0] == 0).all()
+
+
+def test_rules_are_paths_of_trees():
+    rng = np.random.default_rng(3)
+    x = rng.random((500, 3))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] <= 0.3)).astype(float)
+    rules = quality.grow_rules(x, y)
+    assert all(1 <= len(rule) <= quality.DEPTH for rule in rules) and len({tuple(r) for r in rules}) == len(rules)
+    best = min(np.abs(quality.holds(rules, x) - y[:, None]).mean(axis=0))
+    assert best < 0.03  # the planted conjunction is among them
