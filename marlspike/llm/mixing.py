@@ -140,5 +140,9 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline's last stage: the mix over what the earlier stages kept."""
+    """Pipeline's last stage: the mix over what the earlier stages kept.
+
+    One row for each document, with null and empty texts of size 0, repeated rows as
+    documents of their own, and null as the last source; other columns do not come back.
+    """
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -10,13 +10,13 @@ comes first, so buckets of suffixes are refined up to that depth and no further:
    strings are represented by equal q-grams at equal distances and only about one
    offset in thirty is bucketed.  Offsets that follow each other and share their
    representative form a run.  A q-gram bucket with one run is finished.
-2. *Refinement by the pointers of later offsets.*  A bucket pointer is a content name:
-   the pointer at depth 2d is made from the pointers at depth d of the offset and of
-   the offset d later, from exact 8-byte words up, so the pointers of one depth are
-   reused by the next and are equal on all executors without a global sort.  Within a
-   q-gram bucket, runs are sorted by the pointers of their first and last strings;
-   all of a run's strings occur earlier if an equal run does, and a bucket that has
-   only equal runs is finished.
+2. *Refinement by the identifiers of later offsets.*  A bucket's identifier is a content
+   name, so executors agree on it without a global sort: those of depth 2d are refined
+   from those of depth d, of an offset and of the offset d later, for all offsets of a
+   tile at once and from exact 8-byte words up, so each depth reuses the one before.
+   Within a q-gram bucket, runs are sorted by the identifiers of their first and last
+   strings; all of a run's strings occur earlier if an equal run does, and a bucket that
+   has only equal runs is finished.
 3. *Full depth.*  Where runs of one bucket differ (edges of a shared passage, edits),
    each string of the first run of each kind is sorted by its own pointer at full
    depth (128 bits), and every one but the first in its final bucket occurs earlier.
@@ -51,6 +51,7 @@ BATCH_BYTES = 8 << 20
 LEAST_BATCHES = 64
 PART_KEYS = 400_000
 PER_GRAM = 4
+TILE = 1 << 17
 
 CLEAN, EARLIER, MIXED = 0, 1, 2
 
@@ -73,19 +74,58 @@ class Batch:
         self.words = np.ndarray(shape=(len(joined) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
     def pointer(self, at: np.ndarray, depth: int, lanes: int = 2) -> list[np.ndarray]:
-        """Bucket pointers of the strings of ``depth`` (8 or more) bytes at ``at``, in independent lanes of 64 bits."""
+        """Bucket identifiers of the strings of ``depth`` (8 or more) bytes at sorted ``at``, in independent lanes of 64 bits.
+
+        Tile by tile, the identifiers of all offsets are refined from depth d to 2d by those
+        of the offsets d later, from words of 8 bytes up, until one more step gives
+        ``depth``; where few offsets are asked for, only theirs are.
+        """
+        out = [np.empty(len(at), np.uint64) for _ in range(lanes)]
+        half = 1 << ((depth - 1).bit_length() - 1)
+        begin = 0
+        while begin < len(at):
+            t = int(at[begin])
+            end = int(np.searchsorted(at, t + TILE, "left"))
+            if (end - begin) * (depth // 8) * 2 < int(at[end - 1]) - t:
+                found = self._at(at[begin:end], depth, lanes)
+            else:
+                bucket = _words(self.words[t : int(at[end - 1]) + depth - 7], lanes)
+                d = 8
+                while d < half:
+                    bucket = _refined([x[:-d] for x in bucket], [x[d:] for x in bucket])
+                    d *= 2
+                x = at[begin:end] - t
+                found = [b[x] for b in bucket] if depth == 8 else _refined([b[x] for b in bucket], [b[x + depth - half] for b in bucket])
+            for lane, values in zip(out, found):
+                lane[begin:end] = values
+            begin = end
+        return out
+
+    def _at(self, at: np.ndarray, depth: int, lanes: int) -> list[np.ndarray]:
+        """The same identifiers for single offsets."""
         if depth == 8:
-            word = self.words[at]
-            return [word * np.uint64(0x9E3779B97F4A7C15), (word ^ (word >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)][:lanes]
+            return _words(self.words[at], lanes)
         half = 1 << ((depth - 1).bit_length() - 1)
-        near, later = self.pointer(at, half, lanes), self.pointer(at + (depth - half), half, lanes)
-        return [mix64(x * np.uint64(k) + (y ^ (y >> np.uint64(32)))) for x, y, k in zip(near, later, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))]
+        return _refined(self._at(at, half, lanes), self._at(at + (depth - half), half, lanes))
 
     def runs(self, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Representative, first and last string start of each run, in order."""
         return least_runs(lambda a, b: _gram_keys(self.data[a : b + gram - 1], gram), self.starts, np.maximum(self.sizes - length + 1, 0), length - gram + 1)
 
 
+def _words(word: np.ndarray, lanes: int) -> list[np.ndarray]:
+    """Identifiers of words of 8 bytes, one to one in each lane."""
+    found = [word * np.uint64(0x9E3779B97F4A7C15)]
+    if lanes > 1:
+        found.append((word ^ (word >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93))
+    return found
+
+
+def _refined(near: list[np.ndarray], later: list[np.ndarray]) -> list[np.ndarray]:
+    """Identifiers of the buckets into which those of an offset and of a later one refine each other."""
+    return [mix64(x * np.uint64(k) + (y ^ (y >> np.uint64(32)))) for x, y, k in zip(near, later, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))]
+
+
 def _gram_keys(data: np.ndarray, gram: int) -> np.ndarray:
     """A 32-bit content hash of each q-gram, doubled up from single bytes."""
     h = (data.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
