@@ -23,7 +23,8 @@ together (in order of a hash of their id; a text that no longer fits is left out
    the closest to the landmarks) are negative;
 3. Nyström features k(x, landmarks) K^-1/2 go into a linear SVM (squared hinge loss),
    which folds back into one weight for each landmark;
-4. a logistic curve over the texts' decisions gives the score.
+4. a logistic curve over the texts' decisions gives the score: its middle is the decision
+   that parts the texts with the fewest errors, its slope is fitted near the middle.
 
 Defined results: null and empty texts have no segments and get the score of kernel 0;
 equal texts have equal scores; without toxic or clean labels, or without any
@@ -320,10 +321,10 @@ def pick(bad: list[set[str]], clean_words: Counter[str], clean: int) -> list[str
     return out
 
 
-def significant(inside: Counter[str], outside: Counter[str], toxic: int, clean: int) -> set[str]:
-    """Strings far more frequent in toxic texts: binomial tail, corrected for the number of strings."""
+def significant(inside: Counter[str], outside: Counter[str], toxic: int, clean: int, tried: int = 0, margin: float = 3) -> set[str]:
+    """Strings far more frequent in toxic texts: binomial tail, corrected for the number of strings tried."""
     base = toxic / (toxic + clean)
-    limit = math.log(max(2, len(inside))) + 3
+    limit = math.log(max(2, tried or len(inside))) + margin
 
     def surprise(x: str) -> float:
         n, k = inside[x] + outside[x], inside[x]
@@ -333,9 +334,9 @@ def significant(inside: Counter[str], outside: Counter[str], toxic: int, clean:
     return {x for x in inside if surprise(x) > limit and outside[x] * toxic * 10 <= inside[x] * clean}
 
 
-def covering(bags: list[set[str]], inside: Counter[str], outside: Counter[str], toxic: int, clean: int) -> list[str]:
+def covering(bags: list[set[str]], inside: Counter[str], outside: Counter[str], toxic: int, clean: int, tried: int = 0, margin: float = 3) -> list[str]:
     """Significant strings picked greedily until they cover every bag that any covers."""
-    where: dict[str, set[int]] = {x: set() for x in significant(inside, outside, toxic, clean)}
+    where: dict[str, set[int]] = {x: set() for x in significant(inside, outside, toxic, clean, tried, margin)}
     held: list[set[str]] = []
     for k, b in enumerate(bags):
         held.append({x for x in b if x in where})
@@ -374,11 +375,12 @@ def pick_phrases(bad: list[str], clean: list[str], toxic: int) -> list[str]:
         return []
     bags = [_runs(t) for t in bad]
     inside = Counter(x for b in bags for x in b)
-    inside = Counter({x: n for x, n in inside.items() if n > 2})
+    tried = len(inside)
+    inside = Counter({x: n for x, n in inside.items() if n > 4})
     outside: Counter[str] = Counter()
     for t in clean:
         outside.update(x for x in _runs(t) if x in inside)
-    return covering(bags, inside, outside, toxic, len(clean))
+    return covering(bags, inside, outside, toxic, len(clean), tried, 6)  # runs are many, so chance has more room than among words
 
 
 class Phrases:
@@ -484,6 +486,19 @@ def logistic(d: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, fl
     return slope, float(a[1]) - slope * mid
 
 
+def border(d: np.ndarray, y: np.ndarray) -> float:
+    """The decision that parts the texts with the fewest errors; of equals, in the middle of the widest gap."""
+    order = np.argsort(d, kind="stable")
+    v, t = d[order], y[order] > 0
+    below = np.concatenate(([0], np.cumsum(t)))  # toxic texts among the first i
+    errors = below + (np.count_nonzero(~t) - (np.arange(len(v) + 1) - below))
+    gap = np.concatenate(([2.0], np.diff(v), [2.0]))  # gap[i] is before text i
+    errors = np.where(gap > 0, errors, len(v) + 1)
+    best = np.flatnonzero(errors == errors.min())
+    i = int(best[np.argmax(gap[best])])
+    return float(v[0] - 1 if i == 0 else v[-1] + 1 if i == len(v) else (v[i - 1] + v[i]) / 2)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     """A model from labelled texts."""
     toxic = [bool(y) for y in labels]
@@ -537,7 +552,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     model.known.clear()
     if phrases:
         phrases.roles.clear()
-    model.slope, model.offset = logistic(d, np.array(toxic, float))
+    middle = border(d, np.array(toxic))
+    model.slope = max(0.5, logistic(np.clip(d - middle, -2, 2), np.array(toxic, float))[0])
+    model.offset = -model.slope * middle
     return model
 
 
