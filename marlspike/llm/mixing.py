@@ -13,12 +13,14 @@ document may be taken in part.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; a source of
 size 0 has target 0; repeated rows are documents of their own; reruns agree, because
-the order is a hash of seed and id; extra columns are ignored.
-
-Scale: texts are read once and only sizes go on.  A shard has about ``shard_docs``
-documents, so a source with a third of all rows is spread over as many shards as its
-rows need.  Only the table of sources (``max_sources`` rows at most, counted first)
-reaches the driver.
+the order is a hash of seed, id and text; extra columns are ignored.
+
+Scale: texts are read once and only sizes and hashes go on.  A shard has about
+``shard_docs`` documents, so a source with a third of all rows is spread over as many
+shards as its rows need, and so is an id that many texts share.  A source has
+``max_shards`` shards at most, because one task gives them their quotas; beyond that
+its shards have more documents.  Only the table of sources (``max_sources`` rows at
+most, counted first) reaches the driver.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ SHARE = 1.5
 REPEAT = 2
 BLOCK_WORDS = 64
 SHARD_DOCS = 1000
+MAX_SHARDS = 100_000
 SEED = 17
 MAX_SOURCES = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,10 +103,16 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
+def shards_for(docs: int, shard_docs: int = SHARD_DOCS, max_shards: int = MAX_SHARDS) -> int:
+    """How many shards a source of ``docs`` documents has."""
+    return -(-docs // max(shard_docs, -(-docs // max_shards)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED, max_sources: int = MAX_SOURCES, max_shards: int = MAX_SHARDS) -> DataFrame:
     """One row for each document: id, size, source_size, target of its source, taken words, shard."""
     spark = docs.sparkSession
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size")), "mix-sizes")
+    text = F.col(text_col).cast("string")
+    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("mark")), "mix-sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -111,12 +120,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = [int(r["size"]) for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, repeat)
     seats = sainte_lague(goal, round(sum(goal) / block_words))
-    plan = pd.DataFrame({"source": [r["source"] for r in found], "sid": range(len(found)), "source_size": sizes, "target": goal, "seats": [int(x) for x in seats], "shards": [-(-r["n"] // shard_docs) for r in found]})
+    plan = pd.DataFrame({"source": [r["source"] for r in found], "sid": range(len(found)), "source_size": sizes, "target": goal, "seats": [int(x) for x in seats], "shards": [shards_for(r["n"], shard_docs, max_shards) for r in found]})
     sources = spark.createDataFrame([tuple(x) for x in plan.astype(object).itertuples(index=False)], "source string, sid int, source_size long, target double, seats long, shards long")
     dealt = (
         sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"]))
-        .select("doc_id", "size", "sid", "source_size", "target", "seats", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_h"), "shards")
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")))
+        .select("doc_id", "size", "sid", "source_size", "target", "seats", "mark", F.xxhash64(F.lit(seed), "doc_id", "mark").alias("_h"), "shards")
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "mark"), F.col("shards")))
     )
     shards = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
 
@@ -126,7 +135,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return pd.DataFrame({"sid": pdf["sid"], "shard": pdf["shard"], "shard_size": pdf["shard_size"], "quota": np.minimum(words, repeat * pdf["shard_size"])})
 
     quotas = shards.groupBy("sid").applyInPandas(quota, "sid int, shard long, shard_size long, quota long")
-    order = Window.partitionBy("sid", "shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("sid", "shard").orderBy("_h", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = dealt.join(quotas, ["sid", "shard"]).withColumn("_before", F.sum("size").over(order) - F.col("size"))
     passes = F.when(F.col("shard_size") > 0, F.floor(F.expr("quota div nullif(shard_size, 0)"))).otherwise(F.lit(0))
     rest = F.col("quota") - passes * F.col("shard_size")

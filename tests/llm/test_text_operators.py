@@ -177,6 +177,15 @@ def test_mix_meets_targets(frame, edge_rows):
     assert mixing.mix(frame([])).collect() == []
 
 
+def test_shared_ids_are_spread_over_bounded_shards(frame):
+    rows = [(None, " ".join(f"w{i}" for _ in range(20)), "a") for i in range(600)]
+    got = mixing.mix(frame(rows), shard_docs=10, max_shards=12).collect()
+    held = Counter(r.shard for r in got)
+    assert len(held) == 12 and max(held.values()) < 120
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 2 * mixing.BLOCK_WORDS and got[0].target == 1.5 * 12_000
+    assert [mixing.shards_for(n, 10, 12) for n in (0, 1, 10, 11, 120, 121, 10**9)] == [0, 1, 1, 2, 12, 11, 12]
+
+
 # digests
 
 
