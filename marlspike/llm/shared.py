@@ -140,13 +140,13 @@ def as_bytes(value) -> bytes:
     return value if isinstance(value, bytes) else value.encode("utf-8")
 
 
-#: The most ranges of ids; beyond it batches grow instead, so the list of bounds stays a few MB.
+#: The most ranges of ids, so the list of bounds stays a few MB; beyond it a range holds several batches.
 MAX_RANGES = 200_000
 
 
-def ranges_for(size: int, batch_bytes: int, least: int) -> int:
+def ranges_for(size: int, batch_bytes: int, least: int, most: int = MAX_RANGES) -> int:
     """How many ranges a corpus of ``size`` bytes is dealt into."""
-    return min(MAX_RANGES, max(least, -(-size // batch_bytes)))
+    return min(most, max(least, -(-size // batch_bytes)))
 
 
 #: Keys fetched for each range; a range then has its bytes up to a third or so.

@@ -27,7 +27,10 @@ rows that share an id are ordered by a hash of their text, equal rows by positio
 equal rows one stays; extra columns are ignored.
 
 Scale: texts are dealt once into batches by ranges of ids and text hashes
-(``batch_bytes`` each, so an id that many rows share is many batches), and all later steps reuse that exchange.  Between steps only sorted pointers travel, as
+(``batch_bytes`` each, so an id that many rows share is many batches), and all later steps reuse that exchange.
+The driver holds the bounds of ``max_ranges`` ranges at most; a larger corpus has ranges of
+several batches, which a running sum within each range tells apart (one more exchange of the
+text).  Between steps only sorted pointers travel, as
 one block for each batch and part, and a flag comes back for each.  A batch sends each
 pointer once and at most ``PER_GRAM`` runs for a q-gram (the others are refined to
 full depth), so a passage in a third of all documents costs a part one entry for each
@@ -40,10 +43,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Ranges, column, least_runs, mix64, output, ranges_for, text_bytes
+from .shared import MAX_RANGES, Ranges, column, least_runs, mix64, output, ranges_for, text_bytes
 
 LENGTH = 100
 GRAM = 36
@@ -199,10 +202,10 @@ def _blocks(batch_no: int, step: int, parts: int, *keys: np.ndarray) -> pa.Table
     edges = [*first.tolist(), len(part)]
     data = [np.concatenate([k[a:b] for k in keys]).tobytes() for a, b in zip(edges, edges[1:])]
     n = len(first)
-    return pa.table({"part": pa.array(part[first].astype(np.int32)), "batch": pa.array([batch_no] * n, pa.int32()), "step": pa.array([step] * n, pa.int32()), "data": pa.array(data, pa.binary())}, schema=_BLOCK)
+    return pa.table({"part": pa.array(part[first].astype(np.int32)), "batch": pa.array([batch_no] * n, pa.int64()), "step": pa.array([step] * n, pa.int32()), "data": pa.array(data, pa.binary())}, schema=_BLOCK)
 
 
-_BLOCK = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("step", pa.int32()), ("data", pa.binary())])
+_BLOCK = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("step", pa.int32()), ("data", pa.binary())])
 
 
 def _judge(table: pa.Table, step: int) -> pa.Table:
@@ -224,7 +227,7 @@ def _judge(table: pa.Table, step: int) -> pa.Table:
     else:
         flags[order] = np.where(new, CLEAN, EARLIER)
     ends = np.cumsum([p.shape[1] for p in pairs])
-    return pa.table({"part": table.column("part").combine_chunks(), "batch": pa.array([r[0] for r in rows], pa.int32()), "step": pa.array([step] * len(rows), pa.int32()), "data": pa.array([flags[e - p.shape[1] : e].tobytes() for e, p in zip(ends, pairs)], pa.binary())}, schema=_BLOCK)
+    return pa.table({"part": table.column("part").combine_chunks(), "batch": pa.array([r[0] for r in rows], pa.int64()), "step": pa.array([step] * len(rows), pa.int32()), "data": pa.array([flags[e - p.shape[1] : e].tobytes() for e, p in zip(ends, pairs)], pa.binary())}, schema=_BLOCK)
 
 
 def _flags(answers: pa.Table, step: int) -> np.ndarray:
@@ -251,19 +254,29 @@ def removed_runs(batch: Batch, runs: Runs, verdict: np.ndarray, strings: Strings
     return a, b
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def cut_ranges(dealt: DataFrame, id_col: str, batch_bytes: int) -> DataFrame:
+    """Ranges (``_batch``) cut into batches of about ``batch_bytes`` of text, numbered in the order of the corpus."""
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    order = Window.partitionBy("_batch").orderBy(F.col(id_col).asc_nulls_first(), "_mark", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nth = F.floor((F.sum(size).over(order) - size) / F.lit(batch_bytes))
+    return dealt.withColumn("_batch", F.shiftleft("_batch", 32) + nth)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, max_ranges: int = MAX_RANGES) -> DataFrame:
     """One row for each document: id, n_bytes, n_removed, n_spans, kept_sha256, byte spans.
 
     ``carry`` columns come back as struct ``row``; ``keep_text`` adds ``kept``: the text
     without the characters that lost all of their bytes (null for null).
     """
     size = text_bytes(docs, text_col)
-    batches = ranges_for(size, batch_bytes, LEAST_BATCHES)
+    batches = ranges_for(size, batch_bytes, LEAST_BATCHES, max_ranges)
     parts = max(LEAST_BATCHES, -(-size // (PART_KEYS * 25)))
     ranges = Ranges(docs, id_col, text_col, batches, size)
     row = [F.struct(*[column(c) for c in carry]).alias("_row")] if carry else []
-    dealt = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *row, ranges.key["b"].alias("_mark"), ranges.number().alias("_batch"))
-    blocks = "part int, batch int, step int, data binary"
+    dealt = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *row, ranges.key["b"].alias("_mark"), ranges.number().cast("long").alias("_batch"))
+    if batches * batch_bytes < size:
+        dealt = cut_ranges(dealt, id_col, batch_bytes)
+    blocks = "part int, batch bigint, step int, data binary"
 
     def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         runs = Runs(Batch(table, id_col), length, gram)

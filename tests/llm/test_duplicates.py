@@ -73,6 +73,25 @@ def test_repeats_with_ids_that_are_texts_or_repeat(spark):
         assert docs.select(ranges.number().alias("n")).distinct().count() > 10
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_ranges_of_several_batches(frame, edge_rows, most):
+    rows = passages(8)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeats(frame(rows), batch_bytes=700, max_ranges=most).collect()}
+    assert [got[i] for i, _ in rows] == brute_repeats(rows)
+    order = sorted(edge_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    found = suffixes.repeats(frame(edge_rows), batch_bytes=700, max_ranges=most).collect()
+    want = sorted((str(r[0]), *w) for r, w in zip(order, brute_repeats(order)))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == want
+
+
+def test_cut_ranges_follow_the_order(spark):
+    rows = [(k % 4, i, "y" * (i % 90), i % 3) for k in range(4) for i in range(200)]
+    cut = suffixes.cut_ranges(spark.createDataFrame(rows, "_batch long, doc_id long, _text string, _mark long"), "doc_id", 500)
+    found = cut.groupBy("_batch").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum(F.octet_length("_text")).alias("n")).orderBy("_batch").collect()
+    assert len(found) > 60 and max(r.n for r in found) < 500 + 90
+    assert all(x.b < y.a for x, y in zip(found, found[1:]) if x["_batch"] >> 32 == y["_batch"] >> 32)
+
+
 def test_ranges_have_similar_bytes(spark):
     rng = random.Random(1)
     docs = spark.createDataFrame([(i, "x" * (rng.randint(0, 50) if i % 10 else 4000)) for i in range(3000)], "doc_id long, text string")
