@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, digest, htmlmain, mixing, quality, simhash, suffixes, tokencounts, toxicity, warc
+from . import decontaminate, digest, htmlmain, merkle, mixing, quality, simhash, suffixes, tokencounts, toxicity, warc
 
 QUERIES = {
     "op1_digest": digest.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_simhash_dedup": simhash.op9,
     "op10_token_rollups": tokencounts.op10,
+    "op12_merkle_manifest": merkle.op12,
 }
 
 ORACLES = {
     "op7_suffix_dedup": suffixes.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_token_rollups": tokencounts.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
