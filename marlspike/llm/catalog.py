@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, digest, htmlmain, merkle, mixing, quality, simhash, suffixes, tokencounts, toxicity, warc
+from . import alignment, bpe, decontaminate, digest, htmlmain, merkle, mixing, quality, simhash, suffixes, tokencounts, toxicity, warc
 
 QUERIES = {
     "op1_digest": digest.op1,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_simhash_dedup": simhash.op9,
     "op10_token_rollups": tokencounts.op10,
+    "op11_token_alignment": alignment.op11,
     "op12_merkle_manifest": merkle.op12,
+    "op13_bpe_codec": bpe.op13,
 }
 
 ORACLES = {
