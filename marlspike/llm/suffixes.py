@@ -26,6 +26,10 @@ loses nothing; ids are of any type that has an order, null ids come before all o
 rows that share an id are ordered by a hash of their text, equal rows by position, so of
 equal rows one stays; extra columns are ignored.
 
+Memory follows the batch, not the longest text: where a text is longer than a batch, texts go
+in pieces of ``piece_bytes`` (with the ``length`` - 1 bytes that follow), whose removed runs
+are joined again by document; only that last step holds a whole text.
+
 Scale: texts are dealt once into batches by ranges of ids and text hashes
 (``batch_bytes`` each, so an id that many rows share is many batches), and all later steps reuse that exchange.
 The driver holds the bounds of ``max_ranges`` ranges at most; a larger corpus has ranges of
@@ -46,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import MAX_RANGES, Ranges, column, least_runs, mix64, output, ranges_for, text_bytes
+from .shared import MAX_RANGES, Ranges, column, least_runs, mix64, output, ranges_for
 
 LENGTH = 100
 GRAM = 36
@@ -55,6 +59,8 @@ LEAST_BATCHES = 64
 PART_KEYS = 400_000
 PER_GRAM = 4
 TILE = 1 << 17
+SLICE = 1 << 19
+PIECE_BYTES = 1 << 20
 
 CLEAN, EARLIER, MIXED = 0, 1, 2
 
@@ -66,7 +72,8 @@ class Batch:
         ids = table.column(id_col).to_pylist()
         texts = table.column("_text").cast(pa.binary()).to_pylist()
         marks = table.column("_mark").to_pylist()
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, marks[i], texts[i] or b""))
+        ties = [(k or "", at) for k, at in zip(table.column("_key").to_pylist(), table.column("_at").to_pylist())] if "_key" in table.column_names else texts
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, marks[i], ties[i] or b""))
         self.missing = [texts[i] is None for i in self.order]
         self.texts = [texts[i] or b"" for i in self.order]
         self.sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
@@ -179,20 +186,33 @@ class Runs:
 
 
 class Strings:
-    """Strings of the mixed runs at full depth; the first of each pointer is asked about."""
+    """Strings of the mixed runs at full depth; the first of each pointer is asked about, and all others occur earlier.
+
+    Pointers are made for ``SLICE`` strings at a time, of which only those of first strings are kept.
+    """
 
     def __init__(self, batch: Batch, runs: Runs, verdict: np.ndarray, length: int):
         mixed = np.flatnonzero(verdict == MIXED)
-        n = runs.hi[mixed] - runs.lo[mixed] + 1
-        self.at = np.repeat(runs.lo[mixed] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        self.key = batch.pointer(self.at, length)
-        self.head, self.kind = _firsts(*self.key)
+        lo, n = runs.lo[mixed].astype(np.int32), (runs.hi[mixed] - runs.lo[mixed] + 1).astype(np.int32)
+        before = np.cumsum(n, dtype=np.int32) - n
+        self.at = np.repeat(lo - before, n)
+        self.at += np.arange(len(self.at), dtype=np.int32)
+        heads, keys = [np.zeros(0, np.int32)], [[np.zeros(0, np.uint64)] * 2]
+        for k in range(0, len(self.at), SLICE):
+            found = batch.pointer(self.at[k : k + SLICE], length)
+            first, _ = _firsts(*found)
+            first.sort()
+            heads.append((first + k).astype(np.int32))
+            keys.append([x[first] for x in found])
+        head, key = np.concatenate(heads), [np.concatenate(x) for x in zip(*keys)]
+        first, _ = _firsts(*key)
+        self.head = head[first]
+        self.key = [k[first] for k in key]  # sorted
 
     def verdict(self, flags: np.ndarray) -> np.ndarray:
-        out = flags[self.kind] == EARLIER
-        again = np.ones(len(out), bool)
-        again[self.head] = False
-        return out | again
+        out = np.ones(len(self.at), bool)
+        out[self.head] = flags == EARLIER
+        return out
 
 
 def _blocks(batch_no: int, step: int, parts: int, *keys: np.ndarray) -> pa.Table:
@@ -239,12 +259,14 @@ def _flags(answers: pa.Table, step: int) -> np.ndarray:
 def removed_runs(batch: Batch, runs: Runs, verdict: np.ndarray, strings: Strings, repeated: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed byte runs [a, b) of a batch; they never cross documents."""
     gone = verdict == EARLIER
-    step = np.zeros(len(batch.data) + 1, np.int32)
+    covered = np.zeros(len(batch.data) + 2, bool)  # shifted by one, so both ends are clear
     again = strings.at[repeated]
-    for lo, hi in ((runs.lo[gone], runs.hi[gone]), (again, again)):
-        np.add.at(step, lo, 1)
-        np.add.at(step, hi + length, -1)
-    covered = np.concatenate(([False], np.cumsum(step[:-1]) > 0, [False]))
+    if len(again):  # strings in order: neighbours overlap or touch until a gap
+        cut = np.flatnonzero(np.diff(again) > length)
+        for lo, hi in zip(again[np.append(0, cut + 1)].tolist(), again[np.append(cut, len(again) - 1)].tolist()):
+            covered[lo + 1 : hi + length + 1] = True
+    for lo, hi in zip(runs.lo[gone].tolist(), runs.hi[gone].tolist()):
+        covered[lo + 1 : hi + length + 1] = True
     edge = covered[1:] != covered[:-1]
     edge[batch.starts] |= covered[1:][batch.starts] & covered[:-1][batch.starts]
     cut = np.flatnonzero(edge)
@@ -257,26 +279,44 @@ def removed_runs(batch: Batch, runs: Runs, verdict: np.ndarray, strings: Strings
 def cut_ranges(dealt: DataFrame, id_col: str, batch_bytes: int) -> DataFrame:
     """Ranges (``_batch``) cut into batches of about ``batch_bytes`` of text, numbered in the order of the corpus."""
     size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
-    order = Window.partitionBy("_batch").orderBy(F.col(id_col).asc_nulls_first(), "_mark", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = ["_key", "_at"] if "_key" in dealt.columns else ["_text"]
+    order = Window.partitionBy("_batch").orderBy(F.col(id_col).asc_nulls_first(), "_mark", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nth = F.floor((F.sum(size).over(order) - size) / F.lit(batch_bytes))
     return dealt.withColumn("_batch", F.shiftleft("_batch", 32) + nth)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, max_ranges: int = MAX_RANGES) -> DataFrame:
+def in_pieces(dealt: DataFrame, piece_bytes: int, length: int) -> DataFrame:
+    """Texts cut into pieces (``_text``, of ``_size`` bytes in all) of ``piece_bytes`` string starts from byte ``_at`` on; other columns stay with the first piece.
+
+    A piece also has the ``length`` - 1 bytes that its last strings reach into.  Equal
+    texts of one id have their pieces side by side, so of each the first row's come first.
+    """
+    raw, rest = F.col("_text").cast("binary"), [c for c in dealt.columns if c == "_row"]
+    cut = dealt.withColumn("_key", F.sha2(raw, 256)).withColumn("_size", F.octet_length("_text").cast("long")).withColumn("_at", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.coalesce("_size", F.lit(0)) - 1), F.lit(piece_bytes).cast("long"))))
+    once = {c: F.when(F.col("_at") == 0, F.col(c)).alias(c) for c in rest}
+    kept = [once.get(c, F.substring(raw, F.col("_at") + 1, F.lit(piece_bytes + length - 1)).alias(c) if c == "_text" else column(c)) for c in dealt.columns]
+    return cut.select(*kept, "_key", "_size", "_at")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, max_ranges: int = MAX_RANGES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """One row for each document: id, n_bytes, n_removed, n_spans, kept_sha256, byte spans.
 
     ``carry`` columns come back as struct ``row``; ``keep_text`` adds ``kept``: the text
     without the characters that lost all of their bytes (null for null).
     """
-    size = text_bytes(docs, text_col)
+    size, longest = docs.agg(*[F.coalesce(f(F.octet_length(column(text_col).cast("string")).cast("long")), F.lit(0)) for f in (F.sum, F.max)]).first()
     batches = ranges_for(size, batch_bytes, LEAST_BATCHES, max_ranges)
     parts = max(LEAST_BATCHES, -(-size // (PART_KEYS * 25)))
     ranges = Ranges(docs, id_col, text_col, batches, size)
     row = [F.struct(*[column(c) for c in carry]).alias("_row")] if carry else []
     dealt = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *row, ranges.key["b"].alias("_mark"), ranges.number().cast("long").alias("_batch"))
-    if batches * batch_bytes < size:
+    pieces = longest > max(batch_bytes, piece_bytes)
+    if pieces:
+        dealt = in_pieces(dealt, piece_bytes, length)
+    if pieces or batches * batch_bytes < size:
         dealt = cut_ranges(dealt, id_col, batch_bytes)
     blocks = "part int, batch bigint, step int, data binary"
+    piece_columns = [id_col, "_key", "_at", "_size", "_text", *(["_row"] if carry else []), "batch", "place", "starts", "ends"]
 
     def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         runs = Runs(Batch(table, id_col), length, gram)
@@ -287,7 +327,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         batch = Batch(table, id_col)
         runs = Runs(batch, length, gram)
         strings = Strings(batch, runs, runs.verdict(_flags(answers, 1)), length)
-        return _blocks(key[0].as_py(), 2, parts, *(k[strings.head] for k in strings.key))
+        return _blocks(key[0].as_py(), 2, parts, *strings.key)
 
     def last(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         batch = Batch(table, id_col)
@@ -296,23 +336,30 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         strings = Strings(batch, runs, verdict, length)
         a, b = removed_runs(batch, runs, verdict, strings, strings.verdict(_flags(answers, 2)), length)
         lo, hi = np.searchsorted(a, batch.starts[:-1]), np.searchsorted(a, batch.starts[1:])
-        digest, gone, kept, begin, end = [], [], [], [], []
-        for text, missing, start, i, j in zip(batch.texts, batch.missing, batch.starts[:-1].tolist(), lo.tolist(), hi.tolist()):
-            x, y = (a[i:j] - start).tolist(), (b[i:j] - start).tolist()
-            edges = [0, *(v for pair in zip(x, y) for v in pair), len(text)]
-            left = b"".join(text[p:q] for p, q in zip(edges[::2], edges[1::2])) if x else text
-            digest.append(hashlib.sha256(left).hexdigest())
-            gone.append(len(text) - len(left))
-            begin.append(x)
-            end.append(y)
-            if keep_text:
-                kept.append(None if missing else without_characters(text, x, y) if x else text.decode())
-        data = {id_col: table.column(id_col).take(pa.array(batch.order, pa.int64())), "n_bytes": batch.sizes, "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array([len(x) for x in begin], pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "starts": pa.array(begin, pa.list_(pa.int64())), "ends": pa.array(end, pa.list_(pa.int64()))}
-        if keep_text:
-            data["kept"] = pa.array(kept, pa.string())
-        if carry:
-            data["row"] = table.column("_row").take(pa.array(batch.order, pa.int64()))
-        return pa.table(data)
+        if pieces:
+            begun = [table.column("_at")[i].as_py() for i in batch.order]
+            spans = [((a[i:j] - start + at).tolist(), (b[i:j] - start + at).tolist()) for start, i, j, at in zip(batch.starts[:-1].tolist(), lo.tolist(), hi.tolist(), begun)]
+            held = table.take(pa.array(batch.order, pa.int64()))
+            parts_of = {"batch": pa.array([key[0].as_py()] * len(spans), pa.int64()), "place": pa.array(range(len(spans)), pa.int64()), "starts": pa.array([x for x, _ in spans], pa.list_(pa.int64())), "ends": pa.array([x for _, x in spans], pa.list_(pa.int64()))}
+            return pa.table({name: parts_of[name] if name in parts_of else held.column(name) for name in piece_columns})
+        found = [_left(text, missing, (a[i:j] - start).tolist(), (b[i:j] - start).tolist(), keep_text) for text, missing, start, i, j in zip(batch.texts, batch.missing, batch.starts[:-1].tolist(), lo.tolist(), hi.tolist())]
+        return pa.table({id_col: table.column(id_col).take(pa.array(batch.order, pa.int64())), **_columns(found, keep_text), **({"row": table.column("_row").take(pa.array(batch.order, pa.int64()))} if carry else {})})
+
+    def whole(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """A text from its pieces."""
+        held = sorted(range(len(table)), key=lambda i: table.column("_at")[i].as_py())
+        text = b"".join((table.column("_text")[i].as_py() or b"")[:piece_bytes] for i in held[:-1]) + (table.column("_text")[held[-1]].as_py() or b"")
+        x, y = [], []
+        for i in held:
+            for p, q in zip(table.column("starts")[i].as_py(), table.column("ends")[i].as_py()):
+                if y and p <= y[-1]:
+                    y[-1] = max(q, y[-1])
+                else:
+                    x.append(p)
+                    y.append(q)
+        first = pa.array(held[:1], pa.int64())
+        found = [_left(text, table.column("_size")[held[0]].as_py() is None, x, y, keep_text)]
+        return pa.table({id_col: table.column(id_col).take(first), **_columns(found, keep_text), **({"row": table.column("_row").take(first)} if carry else {})})
 
     def judged(rows: DataFrame, step: int) -> DataFrame:
         def judge(table: pa.Table) -> pa.Table:
@@ -325,7 +372,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     out = output(docs, {id_col: id_col}, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>" + ", kept string" * keep_text)
     if carry:
         out = out.add("row", dealt.schema["_row"].dataType, True)
-    return dealt.groupBy("_batch").cogroup(one.union(two).groupBy("batch")).applyInArrow(last, out)
+    joined = dealt.groupBy("_batch").cogroup(one.union(two).groupBy("batch"))
+    if not pieces:
+        return joined.applyInArrow(last, out)
+    of_piece = output(dealt, {c: c for c in piece_columns if c in dealt.columns}, "batch bigint, place bigint, starts array<bigint>, ends array<bigint>")
+    copy = F.row_number().over(Window.partitionBy(id_col, "_key", "_at").orderBy("batch", "place"))
+    return joined.applyInArrow(last, of_piece).withColumn("_copy", copy).groupBy(id_col, "_key", "_copy").applyInArrow(whole, out)
+
+
+def _left(text: bytes, missing: bool, x: list[int], y: list[int], keep_text: bool) -> tuple:
+    """What is left of a text without its removed runs: digest, bytes, removed bytes, runs, and the text itself."""
+    edges = [0, *(v for pair in zip(x, y) for v in pair), len(text)]
+    left = b"".join(text[p:q] for p, q in zip(edges[::2], edges[1::2])) if x else text
+    kept = None if missing or not keep_text else without_characters(text, x, y) if x else text.decode()
+    return hashlib.sha256(left).hexdigest(), len(text), len(text) - len(left), x, y, kept
+
+
+def _columns(found: list[tuple], keep_text: bool) -> dict[str, pa.Array]:
+    digest, size, gone, begin, end, kept = zip(*found)
+    spans = pa.list_(pa.int64())
+    out = {"n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(map(len, begin), pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "starts": pa.array(begin, spans), "ends": pa.array(end, spans)}
+    return out | ({"kept": pa.array(kept, pa.string())} if keep_text else {})
 
 
 def without_characters(text: bytes, starts: list[int], ends: list[int]) -> str:

@@ -57,6 +57,26 @@ def test_repeats_edge_cases(frame, edge_rows):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+@pytest.mark.parametrize("piece", [150, 1000])
+def test_texts_in_pieces_equal_brute_force(frame, edge_rows, piece):
+    rows = passages(7) + [(200 + i, t) for i, t in edge_rows if i is not None and i != 4 and i != 5] + [(300, ("über " * 90 + "x" * 120) * 3), (300, ("über " * 90 + "x" * 120) * 3)]
+    got = suffixes.repeats(frame(rows), carry=["lang"], keep_text=True, batch_bytes=1100, piece_bytes=piece, max_ranges=3).collect()
+    order = sorted(rows, key=lambda r: r[0])
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((i, *w) for (i, _), w in zip(order, brute_repeats(order)))
+    assert {r.row.lang for r in got} == {"en"} and all((r.kept is None) == (r.doc_id == 201) for r in got)
+    for r in got:
+        edges = [0, *(x for pair in zip(r.starts, r.ends) for x in pair), r.n_bytes]
+        assert edges == sorted(edges) and sum(b - a for a, b in zip(r.starts, r.ends)) == r.n_removed
+
+
+def test_one_text_of_64_mb(spark):
+    half = np.random.default_rng(1).integers(97, 123, 32 << 20, dtype=np.uint8).tobytes()
+    docs = spark.createDataFrame([(1, "short"), (2, (half + half).decode())], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixes.repeats(docs).collect()}
+    assert (got[2].n_bytes, got[2].n_removed, got[2].starts, got[2].ends) == (64 << 20, 32 << 20, [32 << 20], [64 << 20])
+    assert got[2].kept_sha256 == hashlib.sha256(half).hexdigest() and got[1].n_removed == 0
+
+
 def test_repeats_with_ids_that_are_texts_or_repeat(spark):
     rows = [(f"{'aé漢😀'[i % 4]}{i:03d}", t) for i, t in passages(6)]
     docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
