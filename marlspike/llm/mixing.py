@@ -4,10 +4,12 @@ A document's size is its number of words.  Sources in code point order (null las
 have weights 5, 2, 1, repeating, and share ``share`` times all words; a target stops
 at ``repeat`` times its source's size and the excess is shared again by weight.
 
-Targets are then met in equal blocks of ``block_words`` words.  Seats (blocks) go to
-the sources by the highest quotients votes / (2 seats + 1), with the targets as
-votes; a source's seats go to its shards the same way, with the shards' sizes as
-votes.  Each shard's quota of words is laid over its documents in a seeded order: as
+Targets are then met in equal blocks of ``block_words`` words, or fewer, so that the
+smallest target has ``LEAST_BLOCKS`` at least (a block has one word at least).  Seats
+(blocks) go to the sources by the highest quotients votes / (2 seats + 1), with the targets
+as votes; a source's seats go to its shards the same way, with the shards' sizes as
+votes.  Where seats come to more than ``repeat`` times a size, the words above it are
+given out again among the others.  Each shard's quota of words is laid over its documents in a seeded order: as
 many whole passes as fit, then blocks from the front of that order, so the last
 document may be taken in part.
 
@@ -38,6 +40,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEAT = 2
 BLOCK_WORDS = 64
+LEAST_BLOCKS = 64
 SHARD_DOCS = 1000
 MAX_SHARDS = 100_000
 SEED = 17
@@ -79,6 +82,28 @@ def sainte_lague(votes, seats: int) -> np.ndarray:
     return out
 
 
+def quotas(votes, caps, words: int, block: int) -> np.ndarray:
+    """``words`` shared out in blocks by Sainte-Laguë, no party above its cap; what a cap cuts off is shared out again."""
+    votes, caps = np.asarray(votes, dtype=np.float64), np.asarray(caps, dtype=np.int64)
+    out, open_ = np.zeros(len(votes), np.int64), np.flatnonzero(votes > 0)
+    while len(open_):
+        given = sainte_lague(votes[open_], (words + block // 2) // block) * block
+        over = given > caps[open_]
+        if not over.any():
+            out[open_] = given
+            break
+        out[open_[over]] = caps[open_[over]]
+        words = max(0, words - int(caps[open_[over]].sum()))
+        open_ = open_[~over]
+    return out
+
+
+def block_size(goal: list[float], block_words: int) -> int:
+    """Words of a block: few enough that the smallest target that is not 0 has ``LEAST_BLOCKS``, one at least."""
+    least = min((g for g in goal if g > 0), default=0.0)
+    return max(1, min(block_words, int(least // LEAST_BLOCKS)))
+
+
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, repeat: int = REPEAT) -> list[float]:
     """Targets by weight, none above ``repeat`` times its size; the excess is shared again."""
     out = [0.0] * len(sizes)
@@ -119,24 +144,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
     sizes = [int(r["size"]) for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, repeat)
-    seats = sainte_lague(goal, round(sum(goal) / block_words))
-    plan = pd.DataFrame({"source": [r["source"] for r in found], "sid": range(len(found)), "source_size": sizes, "target": goal, "seats": [int(x) for x in seats], "shards": [shards_for(r["n"], shard_docs, max_shards) for r in found]})
-    sources = spark.createDataFrame([tuple(x) for x in plan.astype(object).itertuples(index=False)], "source string, sid int, source_size long, target double, seats long, shards long")
+    block = block_size(goal, block_words)
+    words = quotas(goal, [repeat * n for n in sizes], round(sum(goal)), block)
+    plan = pd.DataFrame({"source": [r["source"] for r in found], "sid": range(len(found)), "source_size": sizes, "target": goal, "words": [int(x) for x in words], "shards": [shards_for(r["n"], shard_docs, max_shards) for r in found]})
+    sources = spark.createDataFrame([tuple(x) for x in plan.astype(object).itertuples(index=False)], "source string, sid int, source_size long, target double, words long, shards long")
     dealt = (
         sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"]))
-        .select("doc_id", "size", "sid", "source_size", "target", "seats", "mark", F.xxhash64(F.lit(seed), "doc_id", "mark").alias("_h"), "shards")
+        .select("doc_id", "size", "sid", "source_size", "target", "words", "mark", F.xxhash64(F.lit(seed), "doc_id", "mark").alias("_h"), "shards")
         .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "mark"), F.col("shards")))
     )
-    shards = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
+    shards = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"), F.first("words").alias("words"))
 
     def quota(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard", ignore_index=True)
-        words = sainte_lague(pdf["shard_size"], int(pdf["seats"].iloc[0])) * block_words
-        return pd.DataFrame({"sid": pdf["sid"], "shard": pdf["shard"], "shard_size": pdf["shard_size"], "quota": np.minimum(words, repeat * pdf["shard_size"])})
+        words = quotas(pdf["shard_size"], repeat * pdf["shard_size"], int(pdf["words"].iloc[0]), block)
+        return pd.DataFrame({"sid": pdf["sid"], "shard": pdf["shard"], "shard_size": pdf["shard_size"], "quota": words})
 
-    quotas = shards.groupBy("sid").applyInPandas(quota, "sid int, shard long, shard_size long, quota long")
+    shares = shards.groupBy("sid").applyInPandas(quota, "sid int, shard long, shard_size long, quota long")
     order = Window.partitionBy("sid", "shard").orderBy("_h", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = dealt.join(quotas, ["sid", "shard"]).withColumn("_before", F.sum("size").over(order) - F.col("size"))
+    laid = dealt.join(shares, ["sid", "shard"]).withColumn("_before", F.sum("size").over(order) - F.col("size"))
     passes = F.when(F.col("shard_size") > 0, F.floor(F.expr("quota div nullif(shard_size, 0)"))).otherwise(F.lit(0))
     rest = F.col("quota") - passes * F.col("shard_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
