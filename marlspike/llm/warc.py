@@ -1,6 +1,6 @@
 """WARC derivatives: metadata and plain-text conversion records of responses.
 
-Each response gives two records, linked to it by ``WARC-Refers-To`` (with target URI
+Each response gives up to two records, linked to it by ``WARC-Refers-To`` (with target URI
 and date): a *metadata* record (``application/warc-fields``) that carries the source's
 HTTP headers and digests, title and links, and a *conversion* record (``text/plain``)
 with the visible text.  Record ids are name-based, so a rerun gives the same records.
@@ -10,7 +10,12 @@ are undone, and the charset is that of the Content-Type header, else of a byte o
 mark, else of a ``meta`` element near the start, else UTF-8.  Digests are of the bytes as
 they came.
 
-Defined results: a null payload is empty and gives an empty conversion; header lines
+The media type decides what a payload is: markup loses its tags, other text (plain, JSON,
+scripts, styles) is its own conversion, and what is neither (images, PDF, archives) has a
+metadata record only.  A type that is missing or says only "bytes" is told from the first
+bytes: a NUL or bytes outside the charset mean data, a tag at the start means markup.
+
+Defined results: a null payload is empty and, unless its type is not text, gives an empty conversion; header lines
 that are not fields are kept as ``http-line``; bytes that are not in the charset become
 replacement characters, an unknown charset counts as UTF-8, and an encoding that is
 unknown or broken leaves the bytes as they are (broken off: as far as they go); a null
@@ -41,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .htmlmain import blocks, parse
-from .shared import output
+from .shared import column, output, quoted
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
@@ -51,6 +56,10 @@ BATCH_BYTES = 8 << 20
 
 # Byte order marks and the names of their charsets.
 _MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
+# Media types of text beside text/*.
+TEXTS = frozenset("application/json application/javascript application/x-javascript application/ecmascript application/x-ndjson application/yaml application/x-yaml application/sql".split())
+SNIFFED = 2048
+_TAG_FIRST = re.compile(rb"(?:\xef\xbb\xbf)?\s*<[!?a-zA-Z]")
 _CHARSET = re.compile(r"""charset\s*=\s*["']?([^\s;"']+)""", re.I)
 _META = re.compile(rb"""<meta\b[^>]*?\bcharset\s*=\s*["']?\s*([^\s;"'/>]+)""", re.I)
 
@@ -76,6 +85,27 @@ def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
+def payload_kind(http_headers: str | None, payload: bytes | None) -> str | None:
+    """``markup``, ``text``, or None for a payload that is neither."""
+    kind = _fields(http_headers).get("content-type", "").split(";")[0].strip().lower()
+    if kind in ("", "application/octet-stream", "binary/octet-stream", "unknown/unknown"):
+        head = decoded(http_headers, payload)[:SNIFFED]
+        if any(head.startswith(mark) for mark, _ in _MARKS[1:]):
+            return "markup" if b"<" in head.lstrip()[:4] else "text"
+        if _TAG_FIRST.match(head):
+            return "markup"
+        if b"\0" in head:
+            return None
+        try:
+            codecs.getincrementaldecoder("utf-8")().decode(head, len(head) < SNIFFED)  # a character that the cut splits is no fault
+        except UnicodeDecodeError:
+            return None
+        return "text"
+    if kind in ("text/html", "application/xhtml+xml", "application/xml", "text/xml") or kind.endswith("+xml") and not kind.startswith("image/"):
+        return "markup"
+    return "text" if kind.startswith("text/") or kind.endswith("+json") or kind in TEXTS else None
+
+
 def plain_text(html: str) -> str:
     """All visible text, one block a line."""
 
@@ -135,13 +165,19 @@ def _inflated(data: bytes, how: str) -> bytes:
     return data
 
 
-def payload_text(http_headers: str | None, payload: bytes | None) -> str:
-    """The payload as text."""
+def decoded(http_headers: str | None, payload: bytes | None) -> bytes:
+    """The payload without chunks and content encodings."""
     fields, data = _fields(http_headers), payload or b""
     if fields.get("transfer-encoding", "").lower().endswith("chunked"):
         data = _unchunked(data)
     for how in reversed([x.strip().lower() for x in fields.get("content-encoding", "").split(",")]):
         data = _inflated(data, how)
+    return data
+
+
+def payload_text(http_headers: str | None, payload: bytes | None) -> str:
+    """The payload as text."""
+    fields, data = _fields(http_headers), decoded(http_headers, payload)
     charset = _CHARSET.search(fields.get("content-type", ""))
     name = charset[1] if charset else next((n for mark, n in _MARKS if data.startswith(mark)), None)
     if name is None:
@@ -156,8 +192,8 @@ def payload_text(http_headers: str | None, payload: bytes | None) -> str:
 
 
 def derive(responses: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Two records for each response; ``carry`` columns come along as struct ``row``."""
-    row = [F.struct(*carry).alias("_row")] if carry else []
+    """Two records for each response (one where it is not text); ``carry`` columns come along as struct ``row``."""
+    row = [F.struct(*[column(c) for c in carry]).alias("_row")] if carry else []
     chosen = responses.select(*[F.col(c) for c in RESPONSE], *row)
     out = output(chosen, {}, RECORD)
     if carry:
@@ -169,8 +205,12 @@ def derive(responses: DataFrame, carry: list[str] | None = None) -> DataFrame:
             made: list[tuple] = []
             source: list[int] = []
             for i, (rid, uri, date, headers, payload, block, body) in enumerate(zip(*columns)):
-                html = payload_text(headers, payload)
-                for kind, content, data in (("metadata", "application/warc-fields", metadata_block(headers, html, block, body)), ("conversion", "text/plain; charset=UTF-8", plain_text(html).encode("utf-8", "replace"))):
+                what = payload_kind(headers, payload)
+                text = payload_text(headers, payload) if what else ""
+                records = [("metadata", "application/warc-fields", metadata_block(headers, text if what == "markup" else "", block, body))]
+                if what:
+                    records.append(("conversion", "text/plain; charset=UTF-8", (plain_text(text) if what == "markup" else text).encode("utf-8", "replace")))
+                for kind, content, data in records:
                     made.append((kind, None if rid is None else name_id(kind, rid), rid, uri, date, content, len(data), digest(data), block, body, data))
                     source.append(i)
             for k in range(0, len(made), 2000):  # texts and links of many pages stay in small batches
@@ -361,7 +401,7 @@ def responses_from_pages(pages: DataFrame, date: str = DATE) -> DataFrame:
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"))
     block = F.concat(headers.cast("binary"), F.lit("\r\n\r\n").cast("binary"), payload)
     return pages.select(
-        F.struct(*pages.columns).alias("source"), rid.alias("record_id"), F.col("url").cast("string").alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), payload.alias("payload"),
+        F.struct(*quoted(pages)).alias("source"), rid.alias("record_id"), F.col("url").cast("string").alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), payload.alias("payload"),
         F.concat(F.lit("sha256:"), F.sha2(block, 256)).alias("block_digest"), F.concat(F.lit("sha256:"), F.sha2(payload, 256)).alias("payload_digest"),
     )
 

@@ -200,6 +200,42 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(str(r.asDict()) for r in again) == sorted(str(r) for r in made if r["refers_to"] == first.record_id)
 
 
+def test_media_type_decides_what_is_converted(spark):
+    png = b"\x89PNG\r\n\x1a\n\0\0" + bytes(range(256)) * 6
+    cases = [
+        ("image/png", png, None), ("application/pdf", b"%PDF-1.4 text", None), ("image/svg+xml", b"<svg><title>t</title></svg>", None), ("application/zip", b"PK\3\4", None),
+        ("application/json; charset=utf-8", '{"a": "<b>é"}'.encode(), '{"a": "<b>é"}'), ("application/ld+json", b"[1]", "[1]"), ("text/plain", b"a <b> c\n\nd", "a <b> c\n\nd"), ("Text/HTML", b"<p>x</p>", "x"), ("application/xhtml+xml", b"<p>y", "y"),
+        (None, b" <!doctype html><p>z", "z"), (None, b"plain words", "plain words"), (None, png, None), ("application/octet-stream", b"\xff\xfe" + "<p>w".encode("utf-16-le"), "w"), (None, "é".encode() * 1025, "é" * 1025), (None, b"caf\xe9", None), ("text/html", None, ""), (None, None, ""),
+    ]
+    rows = [(f"<{k}>", "u", "d", "HTTP/1.1 200 OK" + (f"\r\nContent-Type: {t}" if t else ""), p, "b", "p") for k, (t, p, _) in enumerate(cases)]
+    made = warc.derive(spark.createDataFrame(rows, warc._RESPONSE)).collect()
+    assert sorted(r.refers_to for r in made if r.record_type == "metadata") == sorted(r[0] for r in rows)
+    got = {r.refers_to: bytes(r.block).decode() for r in made if r.record_type == "conversion"}
+    assert [got.get(r[0]) for r in rows] == [w for _, _, w in cases]
+    assert b"title" not in next(bytes(r.block) for r in made if r.refers_to == "<2>")
+
+
+def test_page_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "http://a/1", "<p>x", 5, "k", 7)], "page_id long, url string, html string, `a.b` int, `t``k` string, source int")
+    assert [r.row["a.b"] for r in warc.derive(warc.responses_from_pages(pages).withColumn("a.b", htmlmain.F.col("source").getField("a.b")), ["a.b"]).collect()] == [5, 5]
+
+
+def test_form_around_the_page_is_no_form(spark):
+    words = "A sentence of the article that goes on for a good while, so that it is a passage. "
+
+    def page(n, inner):
+        return f"<html><body><form id='aspnetForm' role='form' action='/'><input type='hidden' name='s' value='{n}'><div class='nav'><a href='/'>Menu {n}</a></div>{inner}<form class='search'><label>Find {n}</label></form><div class='footer'>Foot {n}</div></form></body></html>"
+
+    pages = [(n, "http://a.example/", page(n, f"<h1>Title {n}</h1><p>{words}{n}</p>")) for n in range(6)]
+    pages += [(10 + n, "http://b.example/", page(n, f"<div><p>{words}{n}</p><p>{words}{n + 1}</p></div>")) for n in range(6)]
+    pages += [(20, "http://c.example/", "<body><form><h2>Sign in</h2><label>Name</label><input></form></body>")]
+    pages += [(30 + n, "http://d.example/", f"<body><article><h1>T {n}</h1><p>{words}{n}</p><form><h3>Leave a reply {n}</h3><p>Be kind.</p></form></article></body>") for n in range(3)]
+    texts = extracted(spark, pages)
+    for n in range(6):
+        assert texts[n] == f"Title {n}\n{words}{n}" and texts[10 + n] == f"{words}{n}\n{words}{n + 1}"
+    assert texts[20] == "" and all(texts[30 + n] == f"T {n}\n{words}{n}" for n in range(3))
+
+
 @pytest.mark.parametrize("headers, payload", [
     ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1", "<p>café".encode("latin-1")),
     ("HTTP/1.1 200 OK\r\nContent-Type: text/html", b"<meta charset='windows-1252'><p>caf\xe9"),
