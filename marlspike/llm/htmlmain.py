@@ -21,7 +21,8 @@ that has most of the weight of slots is followed until the weight parts or the a
 element is met; a headline in a slot before that block is kept.  All blocks in there
 are the article, in page order, without template texts (unless they are nearly all of
 it, as on a host that repeats one page) and without what tag, role or class call a
-menu, header, footer, sidebar, notice, advert, form or comment.
+menu, header, footer, sidebar, notice, advert, form or comment.  A form around the page's
+content is a container, not a form.
 
 Blocks are joined by one newline; white space inside a block becomes one space.
 
@@ -64,6 +65,7 @@ TEMPLATE_PAGES = 4
 TEMPLATE_SHARE = 0.8
 COPY_SHARE = 0.8
 MAIN_SHARE = 0.5
+PASSAGE = 80
 CELLS = 100_000
 
 # HTML element names by their role, ARIA roles, and words in class and id that name what is not the article.
@@ -72,7 +74,9 @@ RAW = frozenset("script style textarea noscript template iframe svg select butto
 OUTSIDE = frozenset("head nav footer aside form menu dialog fieldset option legend".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 TITLES = frozenset("h1 h2".split())
-CONTAINERS = frozenset("html body div section article main center table tr".split())
+CONTAINERS = frozenset("html body div section article main center table tr form fieldset".split())
+WRAPS = frozenset("form fieldset".split())
+FRAMED = frozenset("article main h1".split())
 ROWS = frozenset("li dt dd tr".split())
 SPACES = frozenset("br td th wbr img input hr".split())
 CLOSES = {"p": frozenset("p".split()), "li": frozenset("p li".split()), "dt": frozenset("p dt dd".split()), "dd": frozenset("p dt dd".split()), "tr": frozenset("p tr".split()), "option": frozenset("option".split())}
@@ -91,14 +95,15 @@ _DIGITS = re.compile(r"\d+")
 class Node:
     """A block element: its parts are texts (text, characters in links) and nodes, in order."""
 
-    __slots__ = ("tag", "key", "marks", "parts", "kids", "sign", "groups", "weight", "template", "headed", "titled")
+    __slots__ = ("tag", "key", "marks", "parts", "kids", "sign", "groups", "weight", "template", "headed", "titled", "full", "framed", "passage", "holds")
 
     def __init__(self, tag: str, key: str = "", marks: tuple[str, ...] = ()):
         self.tag, self.key, self.marks = tag, key or tag, marks
         self.parts: list = []
         self.kids: list[Node] = []
         self.weight = 0.0
-        self.template = self.headed = self.titled = False
+        self.template = self.headed = self.titled = self.framed = self.passage = self.holds = False
+        self.full = 0
 
     def own(self) -> str:
         return " ".join(x[0] for x in self.parts if not isinstance(x, Node))
@@ -468,7 +473,9 @@ def _role(mark: str) -> bool:
 
 
 def outside(node: Node, in_article: bool) -> bool:
-    """Whether tag, role or class say that it is no part of an article.  A header with a heading in the article belongs to it."""
+    """Whether tag, role or class say that it is no part of an article.  A header with a heading in the article belongs to it, and so does a form around the article."""
+    if node.holds:
+        return False
     if node.tag in OUTSIDE:
         return True
     if node.tag in ("html", "body", "main"):
@@ -478,8 +485,22 @@ def outside(node: Node, in_article: bool) -> bool:
     return any(_role(m) for m in node.marks)
 
 
+def around(nodes: list[Node]) -> None:
+    """Mark forms that are wrapped around a page's content, as some frameworks do, instead of being a control in it.
+
+    Such a form has an article, a main part or a first-rank heading in it, or half of the page's running text with a passage in it.
+    """
+    total = sum(node.running() for node in nodes)
+    for node in reversed(nodes):
+        node.full = node.running() + sum(k.full for k in node.kids)
+        node.framed = node.tag in FRAMED or any(k.framed for k in node.kids)
+        node.passage = (node.tag == "p" and node.running() >= PASSAGE) or any(k.passage for k in node.kids)
+        node.holds = node.tag in WRAPS and (node.framed or (node.passage and node.full >= MAIN_SHARE * total))
+
+
 def main_part(nodes: list[Node]) -> list[Node]:
     """The nodes that hold the article: the heaviest block, and before it a headline of its own."""
+    around(nodes)
     for node in reversed(nodes):  # from the leaves up: headings, and weights without what is outside
         node.headed = node.tag in HEADINGS or any(k.headed for k in node.kids)
         node.titled = (node.tag in TITLES and not node.template) or any(k.titled for k in node.kids)
