@@ -31,11 +31,13 @@ import heapq
 import json
 import os
 import re
+import unicodedata
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,7 @@ from .shared import as_bytes, column, output
 LONG = 256
 CACHED = 300_000
 CACHED_CHARS = 64
+ROUND_CHARS = 8 << 20
 MAX_FILE = 64 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: White space of the Unicode standard, which every splitter of these files leaves out or begins a word with.
@@ -121,7 +124,10 @@ class Merges:
             place = np.cumsum(keep) - 1
             at = place[at]
             sym, word, rank = sym[keep], word[keep], rank[keep]
-            near = np.unique(np.concatenate((at, at[at > 0] - 1)))
+            touched = np.zeros(len(sym), bool)
+            touched[at] = True
+            touched[at[at > 0] - 1] = True
+            near = np.flatnonzero(touched)
             after = np.minimum(near + 1, len(sym) - 1)
             rank[near] = np.where((word[near] == word[after]) & (after > near), self.ranks(sym[near], sym[after]), _NONE)
         return (np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])) if done else (sym, word)
@@ -222,21 +228,23 @@ class Vocabulary:
             raise ValueError("only the byte-level decoder, or none, is supported")
         # the library's own parts: which characters are letters follows its version of Unicode
         self.library = Tokenizer.from_str(data.decode())
-        self.chunked, self.plain = _ascii_rule(held)
+        self.chunked, self.plain = _plain_rule(held)
 
     def words(self, chunk: str) -> list[bytes | int]:
         """The words (bytes) of a text, and ids of added tokens, in order."""
+        if not self.added_at or not self.added_at.search(chunk):
+            return self._split(chunk)
         found: list[bytes | int] = []
-        for part in self.added_at.split(chunk) if self.added_at else [chunk]:
-            if part in self.added:
-                found.append(self.added[part])
-            elif self.plain and part.isascii():
-                found += [w.encode() for w in self.plain(part)]
-            elif part:
-                normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
-                found += [bytes(map(self.byte_of.__getitem__, map(ord, w))) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        for part in self.added_at.split(chunk):
+            found += [self.added[part]] if part in self.added else self._split(part)
         return found
 
+    def _split(self, part: str) -> list[bytes | int]:
+        if self.plain and (part.isascii() or max(part, default="") < SETTLED):
+            return [w.encode() for w in self.plain(part)]
+        normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
+        return [bytes(map(self.byte_of.__getitem__, map(ord, w))) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
         if not words:
@@ -286,17 +294,25 @@ def loaded(data: bytes) -> Vocabulary:
 
 #: Fixed value: the split of the lower-casing word vocabulary, as its file has it, without white space.
 _WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Below this character all versions of Unicode agree on letters, numbers, case and composition.
+SETTLED = "\u0530"
 
 
-def _ascii_rule(held: dict):
-    """Whether texts fall apart at white space, and how a chunk of ASCII is split into words (None: as the library does)."""
+def _plain_rule(held: dict):
+    """Whether texts fall apart at white space, and how a chunk of settled characters is split into words (None: as the library does)."""
     normal = [n.get("type") for n in (held.get("normalizer") or {}).get("normalizers", [])]
     split = (held.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
     drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and split.get("pattern", {}).get("Regex") == _WORDS
-    if drops and normal == ["NFC", "Replace", "Lowercase"]:
-        return True, lambda part: _ASCII_WORDS.findall(part.lower())
-    return False, None
+    if not drops or normal != ["NFC", "Replace", "Lowercase"]:
+        return False, None
+    words = regex.compile(_WORDS)
+
+    def plain(part: str) -> list[str]:
+        # case goes letter by letter, so a last sigma is like any other
+        part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+        return [part] if part.isalpha() else words.findall(part)
+
+    return True, plain
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -307,43 +323,44 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         vocabulary = loaded(data.value)
-        name = {i: str(i) for i in vocabulary.text}
+        name = [str(i) for i in range(max(vocabulary.text) + 1)]
         # without a decoder a text's decoding is its chunks', joined by the same space as their tokens
         apart = vocabulary.chunked and not vocabulary.joins_bytes
-        known: dict[str, tuple[int, str, str]] = {}
-
-        def composed(text: str) -> tuple[int, str, str]:
-            chunks = vocabulary.cut(text)
-            found = list(map(known.get, chunks))
-            if None in found:
-                missing = list(dict.fromkeys(c for c, f in zip(chunks, found) if f is None))
-                if len(known) + len(missing) > CACHED:
-                    known.clear()
-                new = {c: (len(ids), " ".join(map(name.__getitem__, ids)), vocabulary.decode(ids)) for c, ids in zip(missing, vocabulary.encode_chunks(missing))}
-                found = [f or new[c] for c, f in zip(chunks, found)]
-                known.update((c, v) for c, v in new.items() if len(c) <= CACHED_CHARS)
-            full = [f for f in found if f[0]]
-            return sum(f[0] for f in full), " ".join([f[1] for f in full]), (" " if apart else "").join([f[2] for f in full])
-
-        def warm(texts: list[str]) -> None:
-            """Words that several texts of a batch share are merged in the same rounds."""
-            new = {c for t in texts for c in vocabulary.cut(t) if len(c) <= CACHED_CHARS} - known.keys()
-            if len(known) + len(new) > CACHED:
+        known: dict[str, tuple[int, str, str]] = {}  # of a chunk
+
+        def whole(ids: list[int]) -> tuple[int, str, str]:
+            return len(ids), " ".join([name[i] for i in ids]), vocabulary.decode(ids)
+
+        def composed(texts: list[str]) -> list[tuple[int, str, str]]:
+            """Texts of a batch share the rounds of their new chunks."""
+            cuts = [vocabulary.cut(t) for t in texts]
+            fresh = list(set().union(*cuts).difference(known))
+            if len(known) + len(fresh) > CACHED:
                 known.clear()
-            fresh = list(new)[:CACHED]
-            for c, ids in zip(fresh, vocabulary.encode_chunks(fresh)):
-                known[c] = (len(ids), " ".join(map(name.__getitem__, ids)), vocabulary.decode(ids))
+                fresh = list(set().union(*cuts))
+            known.update(zip(fresh, map(whole, vocabulary.encode_chunks(fresh))))
+            rows = []
+            for chunks in cuts:
+                n, ids, decoded = zip(*map(known.__getitem__, chunks)) if chunks else ((), (), ())
+                rows.append((sum(n), " ".join(ids), " ".join(decoded)))
+            for c in fresh:
+                if len(c) > CACHED_CHARS:
+                    del known[c]
+            return rows
 
         for batch in batches:
-            texts = [as_bytes(t).decode() for t in batch.column(1).to_pylist()]
-            for k in range(0, len(texts), 500):
-                part = texts[k : k + 500]
-                if apart:
-                    warm(part)
-                    rows = [composed(t) for t in part]
-                else:
-                    rows = [(len(ids), " ".join(map(name.__getitem__, ids)), vocabulary.decode(ids)) for ids in vocabulary.encode(part)]
-                columns = [batch.column(0).slice(k, len(part)), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([hashlib.sha256(r[j].encode()).hexdigest() for r in rows], pa.string()) for j in (1, 2))]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            cuts, held = [0], 0
+            for k, t in enumerate(texts):
+                if held and held + len(t) > ROUND_CHARS:
+                    cuts.append(k)
+                    held = 0
+                held += len(t)
+            cuts.append(len(texts))
+            for a, b in zip(cuts, cuts[1:]):
+                part = texts[a:b]
+                rows = composed(part) if apart else [whole(ids) for ids in vocabulary.encode(part)]
+                columns = [batch.column(0).slice(a, b - a), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([hashlib.sha256(r[j].encode()).hexdigest() for r in rows], pa.string()) for j in (1, 2))]
                 if with_ids:
                     columns += [pa.array([[int(x) for x in r[1].split()] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
