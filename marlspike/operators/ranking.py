@@ -9,16 +9,15 @@ and only on the boosted path are those few rows numbered.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.group import GroupedData
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.amplify import Amplification, boosted, target
@@ -30,6 +29,9 @@ from ..settings import DEFAULTS, Settings
 CLASSICAL, FALLBACK, BOOSTED, NONE = "classical", "classical_fallback", "quantum_enhanced", "none"
 NO_MARKED, TOO_MANY, NO_CANDIDATES, FAILED = "no_marked_items", "too_many_documents", "no_candidates", "retrieval_error"
 
+#: Rows of a block of candidates that one task ranks.
+ROWS_BLOCK = 50_000
+
 
 def scored(candidates: DataFrame, query: Sequence[float], digits: int | None = None, strict: bool = True) -> DataFrame:
     """``similarity_score`` and ``low_information`` for each candidate.
@@ -125,78 +127,62 @@ def _rounded(x: np.ndarray, digits: int | None) -> np.ndarray:
     return out
 
 
-def _best_rows(queries: DataFrame, n: int, candidates: DataFrame, low_: Column, more: list[str], top_k: int, query_id: str, order: Sequence[str], digits: int | None, block: int, scores: Callable[[pa.RecordBatch, list[np.ndarray]], np.ndarray], sign: int = 1) -> DataFrame:
-    """(query_id, the candidates' columns, low, score): what each task has of the ``top_k`` best rows of each of ``n`` queries.
+def grid(queries: DataFrame, n: int, rows: DataFrame, spread: Sequence[str], query_id: str, block: int, rows_block: int) -> tuple[GroupedData, GroupedData]:
+    """Queries and rows dealt into blocks of which each pair meets in one group, for ``cogroup``.
+
+    Queries go to blocks of about ``block`` by a hash of their id and rows to blocks of about
+    ``rows_block`` by a hash of ``spread``; a block travels once for each block of the
+    other side, and no pairs are built.
+    """
+    asked = max(1, -(-n // block))
+    held = max(-(-rows.count() // rows_block), 1 if asked > 1 else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of = lambda names, parts: F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = queries.withColumn("_q", of([query_id], asked)).withColumn("_r", every(held))
+    right = rows.withColumn("_r", of(spread, held)).withColumn("_q", every(asked))
+    return left.groupBy("_q", "_r"), right.groupBy("_q", "_r")
+
+
+def _best_rows(queries: DataFrame, n: int, candidates: DataFrame, low_: Column, top_k: int, query_id: str, order: Sequence[str], digits: int | None, block: int, scores: Callable[[pa.ListArray, list[np.ndarray]], np.ndarray], sign: int = 1) -> DataFrame:
+    """(query_id, the candidates' columns, low, score): the ``top_k`` best rows of each query in each block of candidates.
 
-    A block of at most about ``block`` queries is sent to all tasks; a task scores its
-    candidates with one matrix product for each batch of rows (columns row, low, embedding
-    and ``more``) and keeps ``top_k`` rows for each query, so candidates are not shuffled and no
-    pairs are built.  More queries are dealt to blocks by a hash of their id, with one
-    scan for each.
+    A group has a block of queries and a block of candidates, scores them by matrix
+    products and keeps ``top_k`` rows for each query; neither side meets on the driver or in one task.
     """
     kept = [c for c in candidates.columns if c not in ("embedding", "document", "low_information")]
-    rows = candidates.select(F.struct(*kept).alias("row"), low_.alias("low"), F.col("embedding").cast("array<double>").alias("embedding"), *more)
+    rows = candidates.select(F.struct(*kept).alias("row"), low_.alias("low"), F.col("embedding").cast("array<double>").alias("embedding"))
     schema = T.StructType([queries.schema[query_id], T.StructField("row", rows.schema["row"].dataType), T.StructField("low", T.BooleanType()), T.StructField("score", T.DoubleType())])
     id_type = to_arrow_type(schema[0].dataType)
     margin = 0.0 if digits is None else 10.0**-digits
-
-    def best(some: DataFrame) -> DataFrame:
-        held = [(r[0], np.array(r[1] or [], np.float64)) for r in some.select(query_id, F.col("query").cast("array<double>")).collect()]
-        shared = queries.sparkSession.sparkContext.broadcast(held)
-
-        def rank(batches):
-            ids, vectors = [q for q, _ in shared.value], [v for _, v in shared.value]
-            found: list[list[tuple]] = [[] for _ in ids]  # of each query: (low, -score, order columns..., row number)
-            least = np.full(len(ids), -np.inf)  # what a row must reach, with 10 less for low information
-            kept_rows: list[pa.StructArray] = []
-            at = 0
-            for batch in batches:
-                for start in range(0, batch.num_rows, 1024):
-                    part = batch.slice(start, 1024)
-                    row = part.column(0)
-                    low_ = np.array(part.column(1).to_pylist(), bool)
-                    score = scores(part, vectors)
-                    value = score - 10.0 * low_[:, None]
-                    columns = [row.field(kept.index(c)).to_pylist() for c in order]
-                    keys = [tuple((k is not None, k) for k in x) for x in zip(*columns)] if order else [()] * len(low_)
-                    flags = low_.tolist()
-                    if len(value) > top_k:  # in a batch, what is below its own top_k cannot stay either
-                        least = np.maximum(least, np.partition(value, -top_k, axis=0)[-top_k] - margin)
-                    hit, query = np.nonzero((value >= least - margin) & (value > -np.inf))
-                    exact = np.sign(sign) * _rounded(sign * score[hit, query], digits)
-                    for i, q, s in zip(hit.tolist(), query.tolist(), exact.tolist()):
-                        found[q].append((flags[i], -s, keys[i], at + i))
-                    for q in np.unique(query).tolist():
-                        found[q] = sorted(found[q])[:top_k]
-                        if len(found[q]) == top_k:
-                            bottom = found[q][-1]
-                            least[q] = -bottom[1] - 10.0 * bottom[0]
-                    used = sorted({f[3] - at for q in np.unique(query).tolist() for f in found[q] if f[3] >= at})
-                    kept_rows.append(row.take(pa.array(used, pa.int64())))
-                    moved = {at + i: k for k, i in enumerate(used)}
-                    base = sum(map(len, kept_rows[:-1]))
-                    for q in np.unique(query).tolist():
-                        found[q] = [(*f[:3], -1 - base - moved[f[3]]) if f[3] >= at else f for f in found[q]]
-                    at += len(low_)
-                    if sum(map(len, kept_rows)) > 100_000 + 8 * top_k * len(ids):  # rows that fell out again go
-                        whole = pa.concat_arrays(kept_rows)
-                        used = sorted({-1 - f[3] for fs in found for f in fs})
-                        place = {k: j for j, k in enumerate(used)}
-                        kept_rows = [whole.take(pa.array(used, pa.int64()))]
-                        found = [[(*f[:3], -1 - place[-1 - f[3]]) for f in fs] for fs in found]
-            if not kept_rows or not any(found):
-                return
-            whole = pa.concat_arrays(kept_rows)
-            lines = [(q, f) for q, fs in zip(ids, found) for f in fs]
-            taken = whole.take(pa.array([-1 - f[3] for _, f in lines], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in lines], id_type), taken, pa.array([f[0] for _, f in lines]), pa.array([-f[1] for _, f in lines], pa.float64())], names=[query_id, "row", "low", "score"])
-
-        return rows.mapInArrow(rank, schema)
-
-    blocks = max(1, -(-n // block))
-    at = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    found = functools.reduce(DataFrame.unionAll, [best(queries.where(at == k)) for k in range(blocks)])
-    return found.select(query_id, "row.*", "low", "score")
+    asked, held = grid(queries.select(query_id, F.col("query").cast("array<double>").alias("query")), n, rows, [*[f"row.{c}" for c in order], "embedding"], query_id, block, ROWS_BLOCK)
+
+    def rank(asked: pa.Table, table: pa.Table) -> pa.Table:
+        ids = asked.column(query_id).to_pylist()
+        vectors = [np.array(v or [], np.float64) for v in asked.column("query").to_pylist()]
+        found: list[list[tuple]] = [[] for _ in ids]  # of each query: (low, -score, order columns..., row)
+        least = np.full(len(ids), -np.inf)  # what a row must reach, with 10 less for low information
+        row = table.column("row").combine_chunks()
+        embeddings, lows = table.column("embedding").combine_chunks(), np.array(table.column("low").to_pylist(), bool)
+        columns = [row.field(kept.index(c)).to_pylist() for c in order]
+        for start in range(0, len(table) if ids else 0, 1024):
+            score = scores(embeddings.slice(start, 1024), vectors)
+            flags = lows[start : start + 1024]
+            value = score - 10.0 * flags[:, None]
+            if len(value) > top_k:  # in a batch, what is below its own top_k cannot stay either
+                least = np.maximum(least, np.partition(value, -top_k, axis=0)[-top_k] - margin)
+            hit, query = np.nonzero((value >= least - margin) & (value > -np.inf))
+            exact = np.sign(sign) * _rounded(sign * score[hit, query], digits)
+            for i, q, s in zip(hit.tolist(), query.tolist(), exact.tolist()):
+                found[q].append((bool(flags[i]), -s, *((c[start + i] is not None, c[start + i]) for c in columns), start + i))
+            for q in np.unique(query).tolist():
+                found[q] = sorted(found[q])[:top_k]
+                if len(found[q]) == top_k:
+                    least[q] = -found[q][-1][1] - 10.0 * found[q][-1][0]
+        lines = [(q, f) for q, fs in zip(ids, found) for f in fs]
+        taken = row.take(pa.array([f[-1] for _, f in lines], pa.int64()))
+        return pa.table({query_id: pa.array([q for q, _ in lines], id_type), "row": taken, "low": pa.array([f[0] for _, f in lines], pa.bool_()), "score": pa.array([-f[1] for _, f in lines], pa.float64())})
+
+    return asked.cogroup(held).applyInArrow(rank, schema).select(query_id, "row.*", "low", "score")
 
 
 def _by_size(vectors: pa.ListArray, queries: list[np.ndarray]):
@@ -236,7 +222,7 @@ def batch_top_k(queries: DataFrame, candidates: DataFrame, top_k: int, query_id:
     n = queries.count()
     if max_queries is not None and n > max_queries:
         raise ValueError(f"more than {max_queries} queries")
-    found = _best_rows(queries, n, candidates, low(candidates), [], top_k, query_id, order, digits, block, lambda part, vectors: _cosines(part.column(2), vectors))
+    found = _best_rows(queries, n, candidates, low(candidates), top_k, query_id, order, digits, block, _cosines)
     found = found.withColumnsRenamed({"low": "low_information", "score": "similarity_score"})
     by = Window.partitionBy(query_id).orderBy(F.col("low_information").asc(), F.col("similarity_score").desc(), *[F.col(c).asc() for c in order])
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
@@ -250,78 +236,10 @@ def _nearest_rows(found: DataFrame, top_k: int, query_id: str, order: Sequence[s
 
 def batch_nearest(queries: DataFrame, candidates: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, block: int = 4096) -> DataFrame:
     """The ``top_k`` nearest by squared L2 distance for each query, exactly; candidates without a vector of that length are left out."""
-    found = _best_rows(queries, queries.count(), candidates, F.lit(False), [], top_k, query_id, order, digits, block, lambda part, vectors: _nearness(part.column(2), vectors), -1)
+    found = _best_rows(queries, queries.count(), candidates, F.lit(False), top_k, query_id, order, digits, block, _nearness, -1)
     return _nearest_rows(found, top_k, query_id, order)
 
 
-class CellIndex:
-    """Approximate nearest neighbours: vectors belong to the cell of their nearest centre, and a query looks into the nearest cells.
-
-    Centres are fitted to at most ``sample`` vectors (those with the least hash), and the
-    number of cells a query looks into is the least that finds ``recall`` of the exact
-    neighbours within that sample.  Every row is indexed; ``assigned`` adds its cell.
-    """
-
-    def __init__(self, centres: np.ndarray, probes: int):
-        self.centres, self.probes = centres, probes
-
-    @classmethod
-    def fit(cls, rows: DataFrame, cells: int | None = None, sample: int = 20_000, recall: float = 0.96, rounds: int = 8, seed: int = 11) -> CellIndex:
-        held = rows.where("embedding is not null").select(F.col("embedding").cast("array<double>").alias("e")).orderBy(F.xxhash64("e"), "e").limit(sample).collect()
-        size = max((len(r[0]) for r in held), default=0)
-        x = np.array([r[0] for r in held if len(r[0]) == size], np.float64).reshape(-1, size)
-        if not len(x):
-            return cls(np.zeros((1, size)), 1)
-        cells = min(len(x), cells or max(1, int(len(x) ** 0.5) // 2))
-        centres = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
-        for _ in range(rounds):
-            near = cls(centres, 1).cells(x)[:, 0]
-            centres = np.array([x[near == k].mean(axis=0) if (near == k).any() else c for k, c in enumerate(centres)])
-        index = cls(centres, cells)
-        asked = x[:200]
-        order, own = index.cells(asked), cls(centres, 1).cells(x)[:, 0]
-        gap = (asked * asked).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * asked @ x.T
-        exact = np.argsort(gap, axis=1, kind="stable")[:, :10]
-        depth = (order[:, None, :] == own[exact][:, :, None]).argmax(axis=2)  # how far down a query's cells each neighbour's cell is
-        index.probes = int(np.quantile(depth, recall, method="higher")) + 1
-        return index
-
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        """The cells to look into, nearest first."""
-        gap = (self.centres * self.centres).sum(axis=1)[None, :] - 2 * x @ self.centres.T
-        return np.argsort(gap, axis=1, kind="stable")[:, : self.probes]
-
-    def assigned(self, rows: DataFrame) -> DataFrame:
-        """The rows with ``cell`` (null for vectors of another length)."""
-        nearest = CellIndex(self.centres, 1)
-
-        @F.pandas_udf("int")
-        def cell(vectors: pd.Series) -> pd.Series:
-            size = nearest.centres.shape[1]
-            fit = vectors.map(lambda v: v is not None and len(v) == size).to_numpy(bool)
-            out = pd.array([None] * len(vectors), "Int32")
-            if fit.any():
-                out[fit] = nearest.cells(np.stack(vectors[fit].to_list()).astype(np.float64))[:, 0]
-            return pd.Series(out)
-
-        return rows.withColumn("cell", cell(F.col("embedding").cast("array<double>")))
-
-    def search(self, queries: DataFrame, indexed: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, block: int = 4096) -> DataFrame:
-        """Like ``batch_nearest``, among the rows of the cells a query looks into."""
-
-        def scores(part: pa.RecordBatch, vectors: list[np.ndarray]) -> np.ndarray:
-            found = _nearness(part.column(2), vectors)
-            cell = part.column(3).fill_null(-1).to_numpy(zero_copy_only=False)
-            size = self.centres.shape[1]
-            for k, q in enumerate(vectors):
-                if len(q) == size:
-                    found[~np.isin(cell, self.cells(q[None, :])[0]), k] = -np.inf
-            return found
-
-        found = _best_rows(queries, queries.count(), indexed, F.lit(False), ["cell"], top_k, query_id, order, digits, block, scores, -1)
-        return _nearest_rows(found, top_k, query_id, order)
-
-
 def random_projection_index(vectors: DataFrame, bucket_length: float = 0.5, tables: int = 8, seed: int = 11):
     """Approximate variant of ``nearest``: a fitted random-projection LSH model and its indexed rows.
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlspike.operators import accounts, context, embedding, ranking, sessions
+from marlspike.operators import accounts, cells, context, embedding, ranking, sessions
 from marlspike.plans import ingest, retrieve
 from marlspike.plans.requests import ChatRequest, Registration
 from marlspike.settings import Settings
@@ -209,19 +209,37 @@ trailer << /Root 1 0 R >>
     assert "not a PDF" in got["b.pdf"].error and "encrypted" in got["c.pdf"].error
 
 
-def test_cells_find_nine_tenths_of_the_nearest(spark, small_dir):
+def test_cells_find_nine_tenths_of_the_nearest(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(3000, 24))
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [1.0])], "vec_id long, embedding array<float>").repartition(5)
-    queries = rows.where("vec_id < 60").select(F.col("vec_id").alias("q"), F.col("embedding").alias("query"))
-    exact = {(r.q, r.vec_id) for r in ranking.batch_nearest(queries, rows, 5, "q", ["vec_id"]).collect()}
+    x = rng.normal(size=(3000, 24)) + np.repeat(rng.normal(size=(10, 24)) * 2, 300, axis=0)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [1.0]), (9002, [float("nan")] * 24)], "vec_id long, embedding array<double>").repartition(5)
+    queries = rows.where("vec_id < 60 or vec_id >= 9000").select(F.col("vec_id").alias("q"), F.col("embedding").alias("query"))
+    exact = {(r.q, r.vec_id) for r in ranking.batch_nearest(queries, rows, 5, "q", ["vec_id"], block=25).collect()}
     gap = ((x[:60, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-    assert exact == {(q, int(i)) for q in range(60) for i in np.argsort(gap[q], kind="stable")[:5]}
-    index = ranking.CellIndex.fit(rows, cells=30)
-    indexed = index.assigned(rows)
-    assert indexed.where("cell is null").count() == 2 and 1 < index.probes < 30
-    found = {(r.q, r.vec_id) for r in index.search(queries, indexed, 5, "q", ["vec_id"]).collect()}
-    assert len(found & exact) >= 0.9 * len(exact)
+    near = {(q, int(i)) for q in range(60) for i in np.argsort(gap[q], kind="stable")[:5]}
+    assert {(q, i) for q, i in exact if q < 60} == near
+    monkeypatch.setattr(cells, "ROWS_BLOCK", 40)  # cells in several blocks
+    index = cells.CellIndex.fit(rows, cells=30, top_k=5).write(rows, str(tmp_path / "index"))
+    assert index.rows[cells.NOWHERE] == 3 and sum(index.rows.values()) == 3003
+    assert index.probes < 15 and index.rerank < 300  # half of the cells, a tenth of the rows
+    again = cells.CellIndex.open(spark, str(tmp_path / "index"))
+    found = again.search(queries, 5, "q", ["vec_id"], 6).collect()
+    assert len({(r.q, r.vec_id) for r in found} & near) >= 0.9 * len(near) and {r.q for r in found} == set(range(60))
+    assert all(r.rank == 1 and r.distance == 0.0 for r in found if r.q == r.vec_id)
+    pairs = again.shortlisted(again.routed(queries, "q"), 63, "q", block=25).groupBy("q").count().collect()
+    assert {r["count"] for r in pairs} == {again.rerank}  # exact distances made for each query, of 3,000
+    one = again.nearest(spark, x[7].tolist(), 5, ["vec_id"])
+    assert len({r.vec_id for r in one.collect()} & {i for q, i in near if q == 7}) >= 4
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan or "PartitionFilters: [isnotnull(cell" in plan
+    assert again.nearest(spark, [1.0], 5, ["vec_id"]).collect() == []
+
+
+def test_index_of_no_rows(spark, tmp_path):
+    rows = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    index = cells.CellIndex.fit(rows).write(rows, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, [1.0])], "q long, query array<double>")
+    assert index.search(queries, 5, "q", ["vec_id"]).collect() == [] and cells.CellIndex.open(spark, str(tmp_path / "index")).nearest(spark, [1.0], 3, ["vec_id"]).collect() == []
 
 
 def test_batches_of_many_ties_and_rows(spark):
