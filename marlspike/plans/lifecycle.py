@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amplify, text, vectors
-from ..operators import accounts, cells, embedding, ranking, sessions
+from ..operators import accounts, cells, embedding, latent, ranking, sessions
 from ..settings import DEFAULTS
 from ..sources.collection import Collection, scratch_dir, stamped
 from ..sources.files import NOT_PDF, pdf_pages, text_pages, upload_error
@@ -382,6 +382,16 @@ def embedded_query(spark, d):
     return embedding.embedded(docs.select("doc_id", "text"), model, "text").where(same & (F.col("text") == question)).select("doc_id")
 
 
+@register("latent_similar")
+def latent_similar(spark, d):
+    """The five texts that are nearest to every hundredth one by latent vectors learned from all texts."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"))
+    rows = embedding.embedded(docs, latent.LatentEmbedder.fit(docs), "document")
+    queries = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = ranking.batch_top_k(queries, rows.drop("document").withColumn("low_information", F.lit(False)), 5, "query_id", ["doc_id"], 4)
+    return found.select("query_id", "doc_id", "similarity_score", "rank")
+
+
 # ingest
 
 
