@@ -9,3 +9,5 @@ USERS = "id bigint, full_name string, email string, phone_number string, passwor
 UPLOADED_FILES = "id bigint, chat_session_id bigint, file_name string, file_size bigint, file_type string, upload_timestamp timestamp, user_id bigint"
 PAGES = "page_number int, text string"
 EXTRACTED = "path string, full_text string, page_texts array<struct<page_number: int, text: string>>, file_hash string, file_size bigint"
+DELETES = "bucket bigint, bitmap binary"
+MANIFEST = "file string, session_min string, session_max string, user_min string, user_max string, sessions array<string>"

@@ -8,7 +8,7 @@ from marlspike.operators import accounts, cells, context, embedding, ranking, se
 from marlspike.plans import ingest, retrieve
 from marlspike.plans.requests import ChatRequest, Registration
 from marlspike.settings import Settings
-from marlspike.sources import files, pdf, tables
+from marlspike.sources import collection, files, pdf, tables
 from marlspike.sources.collection import Collection, Conflict, stamped, usable_path
 from marlspike.streaming.ingest import ingest_new
 
@@ -153,17 +153,64 @@ def test_a_crash_leaves_the_last_version(spark, tmp_path, monkeypatch):
         raise OSError("the machine is gone")
 
     monkeypatch.setattr(Collection, "_write", broken)
-    for change in (lambda: c.delete(["a"]), lambda: c.add(spark.createDataFrame([("b", "two", [1.0], {})], VECTORS))):
+    with pytest.raises(OSError):
+        c.add(spark.createDataFrame([("b", "two", [1.0], {})], VECTORS))
+    monkeypatch.undo()
+    monkeypatch.setattr(Collection, "_put", lambda *_: (_ for _ in ()).throw(OSError("the machine is gone")))
+    for change in (lambda: c.delete(["a"]), c.reset):  # a delete has written its bitmaps by then
         with pytest.raises(OSError):
             change()
     monkeypatch.undo()
-    monkeypatch.setattr(Collection, "_commit", lambda *_: (_ for _ in ()).throw(OSError("the machine is gone")))
-    with pytest.raises(OSError):
-        c.reset()
-    monkeypatch.undo()
     (tmp_path / "c/versions/.half").write_text("{")  # a version that never got its name
     assert [r.id for r in Collection(spark, str(tmp_path / "c")).open().collect()] == ["a"]
-    assert c.vacuum() == 2 and [r.id for r in c.open().collect()] == ["a"]
+    assert c.vacuum() == 3 and [r.id for r in c.open().collect()] == ["a"]  # a folder, its manifest, bitmaps
+
+
+def test_a_delete_writes_only_bitmaps(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "c"))
+    row = lambda k: (f"r{k}", f"text {k}", [1.0], {"session_id": f"s{k % 5}"})
+    c.add(spark.createDataFrame([row(k) for k in range(3000)], VECTORS).repartition(3))
+    c.add(spark.createDataFrame([row(k) for k in range(3000, 3100)], VECTORS))
+    files = sorted(str(p) for p in (tmp_path / "c/data").rglob("*.parquet"))
+    live = set(range(3100))
+    for gone in (range(0, 3100, 7), range(0, 40), [5]):
+        ids = spark.createDataFrame([(f"r{k}",) for k in gone] + [("absent",), (f"r{gone[0]}",)], "id string")
+        assert c.delete(ids)["deleted_count"] == len(gone) + 2
+        live -= set(gone)
+        assert {int(r.id[1:]) for r in c.open().collect()} == live and c._version()["rows"] == len(live)
+        assert {int(r.id[1:]) for r in c.scan({"session_id": "s3"}).collect()} == {k for k in live if k % 5 == 3}
+    assert sorted(str(p) for p in (tmp_path / "c/data").rglob("*.parquet")) == files and len(list((tmp_path / "c/deletes").iterdir())) == 3
+    assert c.add(spark.createDataFrame([row(7), row(8), row(3099)], VECTORS))["added_count"] == 2  # deleted ones may come again
+    live |= {7, 8}
+    assert {int(r.id[1:]) for r in Collection(spark, str(tmp_path / "c")).open().collect()} == live
+    c.compact()
+    assert c._version()["deletes"] is None and c._version()["rows"] == len(live) == c.open().count()
+    c.vacuum()
+    assert not list((tmp_path / "c/deletes").iterdir()) and {int(r.id[1:]) for r in c.open().collect()} == live
+    now = c._version()
+    c.delete(["r1", "r50"])
+    with pytest.raises(Conflict):
+        c._commit(now["number"], [], 0, 0)
+
+
+def test_a_scoped_scan_opens_only_files_that_may_match(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(collection, "LISTED", 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        c = Collection(spark, str(tmp_path / "c"))
+        for base in (0, 400):
+            c.add(spark.createDataFrame([(f"r{k}", "t", [1.0], {"session_id": f"s{k % 40:02d}", "user_id": f"{k % 3}"} if k % 10 else {}) for k in range(base, base + 400)], VECTORS))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    every = len(c.open().inputFiles())
+    assert every >= 6
+    for where in ({"session_id": "s07"}, {"$and": [{"session_id": "s07"}, {"user_id": "1"}]}, {"session_id": {"$eq": "s07"}}):
+        found = c.scan(where)
+        assert 1 <= len(found.inputFiles()) <= every // 2
+        assert {r.id for r in found.collect()} == {f"r{k}" for k in range(800) if k % 40 == 7 and ("$and" not in where or k % 3 == 1)}
+    assert c.scan({"session_id": "s99"}).collect() == [] and c.scan({"$and": [{"session_id": "s07"}, {"user_id": "9"}]}).collect() == []
+    either = c.scan({"$or": [{"session_id": "s07"}, {"session_id": "s01"}]})
+    assert len(either.inputFiles()) == every and either.count() == 40
 
 
 def test_of_two_writers_one_fails(spark, tmp_path):
