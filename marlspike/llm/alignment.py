@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import SPACE, byte_alphabet, file_bytes
-from .shared import as_bytes, column, output, text_bytes, written
+from .shared import as_bytes, column, output, text_bytes, tidy, written
 
 BATCH_BYTES = 24 << 20
 PART_BYTES = 16 << 20
@@ -296,15 +296,15 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         columns = {id_col: table.column("id"), **{c: total[:, k] for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))}, "groups_sha256": pa.array(digests, pa.string())}
         return pa.table(columns | ({"groups": pa.array(groups, pa.string())} if keep_groups else {}))
 
-    asked = dealt.groupBy("batch").applyInArrow(ask, _ASKED)
-    summed = written(asked.groupBy("part").applyInArrow(align, _SUMMED), "alignment-parts")
+    asked = dealt.groupBy("batch").applyInArrow(tidy(ask), _ASKED)
+    summed = written(asked.groupBy("part").applyInArrow(tidy(align), _SUMMED), "alignment-parts")
     mine = summed.select(F.col("part").alias("of"), F.explode(F.arrays_zip("a", "b", "links")).alias("x")).select("of", "x.a", "x.b", "x.links")
     counts = mine.groupBy("a", "b").agg(F.sum("links").alias("count"))
     counts = counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
     told = mine.drop("links").join(counts, ["a", "b"])
-    answers = summed.drop("links").groupBy("part").cogroup(told.groupBy("of")).applyInArrow(answer, _ANSWER)
+    answers = summed.drop("links").groupBy("part").cogroup(told.groupBy("of")).applyInArrow(tidy(answer), _ANSWER)
     out = output(docs, {id_col: id_col}, _COUNTS + ", groups string" * keep_groups)
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(compose, out)
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(tidy(compose), out)
 
 
 def op11(spark, sf_dir: str) -> DataFrame:

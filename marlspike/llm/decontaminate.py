@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, filtered, free, output, written
+from .shared import column, filtered, free, output, tidy, written
 
 WINDOW = 13
 LEAD = 4
@@ -229,7 +229,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             known = shared.get()
             yield _rows(batch.column(0), id_col, found, [known.scan(t) for t in found])
 
-    return texts.mapInArrow(read, out)
+    return texts.mapInArrow(tidy(read), out)
 
 
 def _windows(found: list[bytes], sizes: list[int]):
@@ -265,7 +265,7 @@ def _joined(texts: DataFrame, items: DataFrame, id_col: str, window: int, out) -
     rest = "a int, n int, x bigint, y bigint"
     held = written(texts.withColumn("_row", F.monotonically_increasing_id()), "texts")
     owned = written(items.select("item", "text").mapInArrow(of_items, f"key string, {rest}").select(F.col("key").alias("item"), "n", "x", "y").distinct(), "item-windows")
-    met = held.select("_row", "_text").mapInArrow(of_texts, f"key bigint, {rest}").join(owned.select("n", "x", "y").distinct(), ["n", "x", "y"])
+    met = held.select("_row", "_text").mapInArrow(tidy(of_texts), f"key bigint, {rest}").join(owned.select("n", "x", "y").distinct(), ["n", "x", "y"])
     met = written(met.withColumnRenamed("key", "_row"), "met-windows")
     runs = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("a", (F.col("a") + F.col("n")).alias("b")))).alias("runs"))
     ids = met.select("_row", "n", "x", "y").distinct().join(owned.where("item is not null"), ["n", "x", "y"]).groupBy("_row").agg(F.collect_set("item").alias("ids"))
@@ -277,7 +277,7 @@ def _joined(texts: DataFrame, items: DataFrame, id_col: str, window: int, out) -
             seen = [(len(words(t)), merged([(r["a"], r["b"]) for r in runs or []]), set(ids or [])) for t, runs, ids in zip(found, batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield _rows(batch.column(0), id_col, found, seen)
 
-    return both.mapInArrow(judge, out)
+    return both.mapInArrow(tidy(judge), out)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ only where the session has none, as in tests on one machine).
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -78,6 +80,37 @@ def drop_written(spark: SparkSession, since: int = 0, but: DataFrame | None = No
     return sum(_delete(spark, p) for p in gone)
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return what a group's arrays took to the system.  Workers live on for later stages and share an executor's memory with them."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(work: Callable) -> Callable:
+    """A worker's function over groups or batches, which gives memory back when it is done."""
+    if inspect.isgeneratorfunction(work):
+
+        def read(*args):
+            yield from work(*args)
+            give_back()
+
+        return read
+
+    def done(out):
+        give_back()
+        return out
+
+    # groups come with or without their key by the number of parameters
+    return {1: lambda a: done(work(a)), 2: lambda a, b: done(work(a, b)), 3: lambda a, b, c: done(work(a, b, c))}[len(inspect.getfullargspec(work).args)]
+
+
 def quoted(df: DataFrame) -> list[Column]:
     """All columns of ``df``, whatever their names hold."""
     return [column(c) for c in df.columns]
@@ -110,7 +143,7 @@ def filtered(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]], text_co
             texts = [t or b"" for t in batch.column(0).field(at).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(keep(texts), pa.bool_()))
 
-    return unpacked(packed.mapInArrow(read, packed.schema), "row", docs.columns)
+    return unpacked(packed.mapInArrow(tidy(read), packed.schema), "row", docs.columns)
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:

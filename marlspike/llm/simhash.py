@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import column, drop, free, output, quoted, written
+from .shared import column, drop, free, output, quoted, tidy, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [fingerprint(shingle_hashes(t or b"")) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=[id_col, "fp"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(read, output(docs, {id_col: id_col}, "fp bigint"))
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(tidy(read), output(docs, {id_col: id_col}, "fp bigint"))
 
 
 def segments(m: int) -> list[tuple[int, int]]:
@@ -252,7 +252,7 @@ def link_edges(nodes: DataFrame, n: int, radius: int = RADIUS, m: int | None = N
         out = pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[label[moved]].view(np.int64)})
         return out[out["a"] != out["b"]]
 
-    return rows.groupBy("part", "share").applyInPandas(find, "a bigint, b bigint")
+    return rows.groupBy("part", "share").applyInPandas(tidy(find), "a bigint, b bigint")
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:

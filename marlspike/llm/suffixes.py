@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import MAX_RANGES, Ranges, column, least_runs, mix64, output, ranges_for
+from .shared import MAX_RANGES, Ranges, column, least_runs, mix64, output, ranges_for, tidy
 
 LENGTH = 100
 GRAM = 36
@@ -365,19 +365,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
         def judge(table: pa.Table) -> pa.Table:
             return _judge(table, step)
 
-        return rows.groupBy("part").applyInArrow(judge, blocks)
+        return rows.groupBy("part").applyInArrow(tidy(judge), blocks)
 
-    one = judged(dealt.groupBy("_batch").applyInArrow(first, blocks), 1)
-    two = judged(dealt.groupBy("_batch").cogroup(one.groupBy("batch")).applyInArrow(second, blocks), 2)
+    one = judged(dealt.groupBy("_batch").applyInArrow(tidy(first), blocks), 1)
+    two = judged(dealt.groupBy("_batch").cogroup(one.groupBy("batch")).applyInArrow(tidy(second), blocks), 2)
     out = output(docs, {id_col: id_col}, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>" + ", kept string" * keep_text)
     if carry:
         out = out.add("row", dealt.schema["_row"].dataType, True)
     joined = dealt.groupBy("_batch").cogroup(one.union(two).groupBy("batch"))
     if not pieces:
-        return joined.applyInArrow(last, out)
+        return joined.applyInArrow(tidy(last), out)
     of_piece = output(dealt, {c: c for c in piece_columns if c in dealt.columns}, "batch bigint, place bigint, starts array<bigint>, ends array<bigint>")
     copy = F.row_number().over(Window.partitionBy(id_col, "_key", "_at").orderBy("batch", "place"))
-    return joined.applyInArrow(last, of_piece).withColumn("_copy", copy).groupBy(id_col, "_key", "_copy").applyInArrow(whole, out)
+    return joined.applyInArrow(tidy(last), of_piece).withColumn("_copy", copy).groupBy(id_col, "_key", "_copy").applyInArrow(tidy(whole), out)
 
 
 def _left(text: bytes, missing: bool, x: list[int], y: list[int], keep_text: bool) -> tuple:

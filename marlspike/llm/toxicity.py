@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import filtered, output
+from .shared import filtered, output, tidy
 
 DECAY = 0.6
 ORDERS = (3, 4)
@@ -595,7 +595,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             got = [x for part in _parts(texts) for x in shared.value.scores(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=[id_col, "score"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(read, output(docs, {id_col: id_col}, "score double"))
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(tidy(read), output(docs, {id_col: id_col}, "score double"))
 
 
 def _parts(texts: list[str], most: int = 4 << 20):
