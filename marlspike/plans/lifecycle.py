@@ -13,9 +13,11 @@ from ..operators import accounts, cells, embedding, latent, ranking, sessions
 from ..settings import DEFAULTS
 from ..sources.collection import Collection, scratch_dir, stamped
 from ..sources.files import NOT_PDF, pdf_pages, text_pages, upload_error
+from ..sources.keyed import Refused
 from ..sources.pdf import write
 from ..streaming.ingest import ingest_new
 from . import ingest, requests, retrieve
+from .store import ChatStore
 from .registry import _STRIP, DIGITS, ORDER, base, chat_tables, chunk_sql, corpus, query_vector, register, table, vectors_only, with_text
 
 AT = "2024-01-01T00:00:00"
@@ -301,6 +303,55 @@ def chat_answer(spark, d):
     return spark.createDataFrame([(done["search_method"], done["fallback_reason"], done["candidate_count"], done["context_used"], context)], "search_method string, fallback_reason string, candidate_count long, context_used boolean, context string")
 
 
+# stored tables
+
+
+def filled_store(spark, d) -> ChatStore:
+    """Users, chats and history entered in one commit, then changed one by one, folded, and opened again."""
+    chats, history = chat_tables(spark, d)
+    owner = F.col("user_id") + 1
+    history = history.withColumns({"user_id": owner, "updated_at": F.col("created_at"), "is_active": F.lit(True), "title": F.lit(None).cast("string")})
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    store = ChatStore(spark, path)
+    store.change({"users": users(spark, d), "chats": chats.withColumn("user_id", owner), "chat_history": history})
+    store.create_chat(-1, 3, "made", "Hello there", -5, now())
+    store.add_message(-6, -1, 3, "Question", None, now())
+    store.compact()
+    store.rename_chat(4, 5, "renamed")
+    store.delete_chat(3, 4)
+    return ChatStore(spark, path)
+
+
+@register("stored_chats", "select conv_id as id, conv_id % 10 + 1 as user_id, case when conv_id = 4 then 'renamed' when conv_id % 2 = 0 then 'chat ' || conv_id end as chat_name from (select distinct conv_id from conversations) where conv_id <> 3 union all select -1, 3, 'made'")
+def stored_chats(spark, d):
+    """Chats after a chat was made, one renamed and one deleted."""
+    return filled_store(spark, d).read("chats").select("id", "user_id", "chat_name")
+
+
+@register("stored_history", """
+select conv_id * 1000 + turn as id, conv_id as chat_id, case when role = 'user' then text else '' end as input_data, case when role = 'assistant' then text else '' end as output_data from conversations where conv_id <> 3
+union all select -5, -1, '', 'Hello there' union all select -6, -1, 'Question', ''""")
+def stored_history(spark, d):
+    """History after the same changes: a deleted chat's rows went with it."""
+    return filled_store(spark, d).read("chat_history").select("id", "chat_id", "input_data", "output_data")
+
+
+@register("stored_users", _USERS + "select id, case when id = 7 then 'Renamed' else full_name end as full_name, email from u where id <> 12 union all select -1, 'New Person', 'new@a.example'")
+def stored_users(spark, d):
+    """Users after one registered, one changed a name, one went, and one with a taken email was refused."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    store = ChatStore(spark, path)
+    store.change({"users": users(spark, d)})
+    store.register(requests.Registration("New Person", "new@a.example", "secret!"), -1, "salt", now())
+    try:
+        store.register(requests.Registration("Other", "new@a.example", "secret!"), -2, "salt", now())
+    except Refused:
+        pass
+    store.update_user(7, full_name="Renamed")
+    store.remove_user(12)
+    return ChatStore(spark, path).read("users").select("id", "full_name", "email")
+
+
 # vectors
 
 
