@@ -101,10 +101,15 @@ def unquoted(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(text), "^[\"']+|[\"']+$", ""))
 
 
+# Words that stand for true and for false.
+TRUE_WORDS = ("1", "true", "yes", "on", "debug", "dev", "development")
+FALSE_WORDS = ("0", "false", "no", "off", "release", "prod", "production")
+
+
 def truthy(text: Column) -> Column:
     """Words for true and false; null for anything else."""
     word = F.lower(strip(text))
-    return F.when(word.isin("1", "true", "yes", "on", "debug", "dev", "development"), True).when(word.isin("0", "false", "no", "off", "release", "prod", "production", ""), False)
+    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
 def origin_list(text: Column) -> Column:

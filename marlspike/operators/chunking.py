@@ -86,8 +86,8 @@ def fixed_windows(texts: DataFrame, text_col: str = "text", size: int = DEFAULTS
     return rows.select(*rest, F.col("_k").alias("chunk_id"), F.expr(f"substring({text_col}, _k * {step} + 1, {size})").alias("chunk"))
 
 
-def chunk_ids(rows: DataFrame) -> DataFrame:
-    """``id`` = hash_name_time_number, blanks to ``_`` and colons to ``-``; missing parts are ``unknown``."""
+def chunk_ids(rows: DataFrame, at: str = "processed_at") -> DataFrame:
+    """``id`` = hash_name_time_number, blanks to ``_`` and colons to ``-``; missing parts are ``unknown``.  Another column than the time may tell one entry from the next."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    raw = F.concat_ws("_", part("file_hash"), part("file_name"), part("processed_at"), F.col("chunk_id").cast("string"))
+    raw = F.concat_ws("_", part("file_hash"), part("file_name"), part(at), F.col("chunk_id").cast("string"))
     return rows.withColumn("id", F.replace(F.replace(raw, F.lit(" "), F.lit("_")), F.lit(":"), F.lit("-")))

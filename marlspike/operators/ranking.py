@@ -38,14 +38,24 @@ def scored(candidates: DataFrame, query: Sequence[float], digits: int | None = N
 
     ``strict=False`` gives every candidate 0 if any vector has another length.
     """
+    if not strict and candidates.where(misfit(query)).limit(1).count():
+        return unscored(candidates)
     score = cosine_to(F.col("embedding"), query)
-    if not strict and candidates.where(F.coalesce(F.size("embedding"), F.lit(-1)) != len(query)).limit(1).count():
-        score = F.lit(0.0)
     if digits is not None:
         score = F.round(score, digits)
     return candidates.withColumns({"similarity_score": score, "low_information": low(candidates)})
 
 
+def misfit(query: Sequence[float]) -> Column:
+    """Whether a candidate's vector is missing or of another length than the query's."""
+    return F.coalesce(F.size("embedding"), F.lit(-1)) != len(query)
+
+
+def unscored(candidates: DataFrame) -> DataFrame:
+    """All candidates with score 0."""
+    return candidates.withColumns({"similarity_score": F.lit(0.0), "low_information": low(candidates)})
+
+
 def low(candidates: DataFrame) -> Column:
     """The stored ``low_information`` flag (null: low), or else the rule over ``document``."""
     if "low_information" in candidates.columns:
@@ -58,9 +68,9 @@ def informative_first(ranked: DataFrame, top_k: int, order: Sequence[str], score
     return ranked.orderBy(F.col("low_information").asc(), F.col(score).desc(), *[F.col(c).asc() for c in order]).limit(top_k)
 
 
-def classical(candidates: DataFrame, query: Sequence[float], top_k: int = 5, order: Sequence[str] = ("ingest_seq", "id"), method: str = CLASSICAL, digits: int | None = None) -> DataFrame:
+def classical(candidates: DataFrame, query: Sequence[float], top_k: int = 5, order: Sequence[str] = ("ingest_seq", "id"), method: str = CLASSICAL, digits: int | None = None, strict: bool = True) -> DataFrame:
     """Top-k by cosine."""
-    return informative_first(scored(candidates, query, digits), top_k, order).withColumn("search_method", F.lit(method))
+    return informative_first(scored(candidates, query, digits, strict), top_k, order).withColumn("search_method", F.lit(method))
 
 
 def amplified(rows: DataFrame, amp: Amplification, order: Sequence[str], boost: float, bit_order: str = "reference") -> DataFrame:
@@ -72,13 +82,18 @@ def amplified(rows: DataFrame, amp: Amplification, order: Sequence[str], boost:
     return joined.withColumn("quantum_probability", p).withColumn("enhanced_score", boosted(F.col("similarity_score"), F.col("quantum_probability"), boost)).drop("_hit")
 
 
-def boosted_search(candidates: DataFrame, query: Sequence[float], threshold: float = 0.7, top_k: int | None = 5, order: Sequence[str] = ("ingest_seq", "id"), settings: Settings = DEFAULTS, bit_order: str = "reference", digits: int | None = None) -> tuple[DataFrame, str, str | None, Amplification]:
+def boosted_search(candidates: DataFrame, query: Sequence[float], threshold: float = 0.7, top_k: int | None = 5, order: Sequence[str] = ("ingest_seq", "id"), settings: Settings = DEFAULTS, bit_order: str = "reference", digits: int | None = None, strict: bool = True) -> tuple[DataFrame, str, str | None, Amplification]:
     """Top-k by boosted score, or by cosine where boosting does not apply: rows, method, reason, parameters.
 
+    ``strict=False`` gives every candidate the score 0 if any vector has another length.
+
     ``top_k=None`` gives all rows of the boosted path, or all candidates.
     """
     rows = scored(candidates, query, digits).withColumn("marked", F.col("similarity_score") >= threshold)
-    count, marked = rows.agg(F.count("*"), F.count_if("marked")).first()
+    count, marked, misfits = rows.agg(F.count("*"), F.count_if("marked"), F.count_if(misfit(query))).first()
+    if misfits and not strict:
+        rows = unscored(candidates).withColumn("marked", F.lit(threshold <= 0))
+        marked = count if threshold <= 0 else 0
     amp = Amplification.of(count, marked, settings)
     method, reason = BOOSTED, None
     if not count:

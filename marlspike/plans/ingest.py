@@ -15,11 +15,14 @@ from ..sources.collection import Collection
 from ..sources.files import Extractor, extracted, pdf_pages, upload_error
 
 
-def vectors(files: DataFrame, embedder: Embedder, extractor: Extractor = pdf_pages, session_id: Any = None, user_id: Any = None, processed_at: str | None = None, settings: Settings = DEFAULTS, info=None) -> DataFrame:
-    """Rows (id, document, embedding, metadata) of all chunks of readable files."""
+def vectors(files: DataFrame, embedder: Embedder, extractor: Extractor = pdf_pages, session_id: Any = None, user_id: Any = None, processed_at: str | None = None, settings: Settings = DEFAULTS, info=None, delivery: str | None = None) -> DataFrame:
+    """Rows (id, document, embedding, metadata) of all chunks of readable files.
+
+    ``delivery`` stands for the time in ids, so that what is delivered again has its ids again.
+    """
     at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if processed_at is None else F.lit(processed_at)
-    texts = extracted(files, extractor, info).where("error is null").withColumn("processed_at", at)
-    rows = chunk_ids(chunks(texts.drop("page_texts"), "full_text", settings.chunk_size, settings.chunk_overlap, settings.separators))
+    texts = extracted(files, extractor, info).where("error is null").withColumns({"processed_at": at, "delivery": at if delivery is None else F.lit(delivery)})
+    rows = chunk_ids(chunks(texts.drop("page_texts"), "full_text", settings.chunk_size, settings.chunk_overlap, settings.separators), "delivery")
     name = F.col("file_name")
     pairs: dict[str, Any] = {
         "file_path": F.col("path"), "num_pages": F.col("num_pages"), "processed_at": F.col("processed_at"), "file_size": F.col("file_size"), "file_hash": F.col("file_hash"), "chunk_id": F.col("chunk_id"), "chunk_size": F.col("chunk_size"), "total_chunks": F.col("total_chunks"),
@@ -31,15 +34,15 @@ def vectors(files: DataFrame, embedder: Embedder, extractor: Extractor = pdf_pag
     return embedded(rows.select("id", F.col("chunk").alias("document"), F.map_concat(info, own).alias("metadata")), embedder)
 
 
-def ingest(files: DataFrame, collection: Collection, embedder: Embedder, extractor: Extractor = pdf_pages, session_id: Any = None, user_id: Any = None, settings: Settings = DEFAULTS, info=None, processed_at: str | None = None) -> dict[str, Any]:
+def ingest(files: DataFrame, collection: Collection, embedder: Embedder, extractor: Extractor = pdf_pages, session_id: Any = None, user_id: Any = None, settings: Settings = DEFAULTS, info=None, processed_at: str | None = None, delivery: str | None = None) -> dict[str, Any]:
     """Check, read, cut, embed and store files; refused ones are counted.
 
-    Ids hold the time, so a plain second ingest keeps a copy; with a ``processed_at`` that
-    comes back the same, rows that are there already are not entered again.
+    Ids hold the time, so a plain second ingest keeps a copy; with a ``processed_at`` or
+    ``delivery`` that comes back the same, rows that are there already are not entered again.
     """
     checked = files.withColumn("error", upload_error(F.col("file_name"), F.col("file_size"), settings.max_upload_bytes, settings.max_name_length))
     good = checked.where("error is null").drop("error")
-    added = collection.add(vectors(good, embedder, extractor, session_id, user_id, processed_at, settings, info))
+    added = collection.add(vectors(good, embedder, extractor, session_id, user_id, processed_at, settings, info, delivery))
     return added | {"refused": checked.where("error is not null").count()}
 
 

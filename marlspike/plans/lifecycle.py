@@ -204,23 +204,6 @@ def upload_split(spark, d):
 # requests
 
 
-def accepted(check):
-    """A column: whether a request can be made of a row's values."""
-
-    @F.pandas_udf("boolean")
-    def run(*columns: pd.Series) -> pd.Series:
-        def one(values) -> bool:
-            try:
-                check(*(v.item() if hasattr(v, "item") else v for v in values))
-            except ValueError:
-                return False
-            return True
-
-        return pd.Series([one(v) for v in zip(*columns)])
-
-    return run
-
-
 def cases(spark, d) -> DataFrame:
     """Texts of many lengths, blank ones too, with numbers on both sides of the bounds."""
     i = F.col("item_id")
@@ -233,17 +216,17 @@ _CASES = "with c as (select item_id, case when item_id % 7 = 0 then '' when item
 
 @register("query_request_bounds", _CASES + f"select item_id, length(message) between 1 and 1000 and {_STRIP % 'message'} <> '' and k between 1 and 20 and x between 0 and 1 as accepted from c")
 def query_request_bounds(spark, d):
-    return cases(spark, d).select("item_id", accepted(lambda m, k, x: requests.QueryRequest(m, k, x))("message", "k", "x").alias("accepted"))
+    return cases(spark, d).select("item_id", requests.query_in_bounds(F.col("message"), F.col("k"), F.col("x")).alias("accepted"))
 
 
 @register("chat_request_bounds", _CASES + "select item_id, length(message) between 1 and 2000 and k between 1 and 10 and x between 0 and 1 as accepted from c")
 def chat_request_bounds(spark, d):
-    return cases(spark, d).select("item_id", accepted(lambda m, k, x: requests.ChatRequest(m, max_context_results=k, temperature=x))("message", "k", "x").alias("accepted"))
+    return cases(spark, d).select("item_id", requests.chat_in_bounds(F.col("message"), F.col("k"), F.col("x")).alias("accepted"))
 
 
 @register("similar_request_bounds", _CASES + "select item_id, k between 1 and 10 as accepted from c")
 def similar_request_bounds(spark, d):
-    return cases(spark, d).select("item_id", accepted(lambda i, k: requests.SimilarRequest(str(i), k))("item_id", "k").alias("accepted"))
+    return cases(spark, d).select("item_id", requests.similar_in_bounds(F.col("k")).alias("accepted"))
 
 
 def signups(spark, d) -> DataFrame:
@@ -256,7 +239,7 @@ _SIGNUPS = "with s as (select c_custkey, case when c_custkey % 5 = 0 then ' ' el
 
 @register("registration_bounds", _SIGNUPS + r"select c_custkey, length(name) between 1 and 100 and regexp_full_match(email, '[^@\s]+@[^@\s]+\.[^@\s]+') and length(password) between 6 and 100 and length(phone) <= 20 as accepted from s")
 def registration_bounds(spark, d):
-    return signups(spark, d).select("c_custkey", accepted(lambda n, e, p, f: requests.Registration(n, e, p, f))("name", "email", "password", "phone").alias("accepted"))
+    return signups(spark, d).select("c_custkey", requests.registration_in_bounds(F.col("name"), F.col("email"), F.col("password"), F.col("phone")).alias("accepted"))
 
 
 @register("signup_messages", _SIGNUPS + rf"""
@@ -265,26 +248,18 @@ select c_custkey, case when {_STRIP % 'name'} = '' then '{requests.NAME_MISSING}
   case when password = '' then '{requests.PASSWORD_MISSING}' when length(password) < 8 then '{requests.PASSWORD_SHORT}' end as password_error,
   case when password <> left(password, 9) then '{requests.PASSWORDS_DIFFER}' end as again_error from s""")
 def signup_messages(spark, d):
-    @F.pandas_udf("name_error string, email_error string, password_error string, again_error string")
-    def check(name: pd.Series, email: pd.Series, password: pd.Series) -> pd.DataFrame:
-        found = [requests.signup_errors(n, e, p, p[:9]) for n, e, p in zip(name, email, password)]
-        return pd.DataFrame({f"{c.split('_')[-1]}_error": [x.get(c) for x in found] for c in ("full_name", "email", "password", "again")}, dtype=object)
-
-    return signups(spark, d).select("c_custkey", check("name", "email", "password").alias("e")).select("c_custkey", "e.*")
+    rows = signups(spark, d)
+    found = requests.signup_messages(F.col("name"), F.col("email"), F.col("password"), F.left("password", F.lit(9)))
+    return rows.select("c_custkey", *[m.alias(f"{name.split('_')[-1]}_error") for name, m in found.items()])
 
 
 @register("chat_scope", "select conv_id, turn, case when turn % 3 = 0 then 's' || conv_id when turn % 3 = 1 then conv_id::varchar end as scope from conversations")
 def chat_scope(spark, d):
     """The session that passages come from: the session's id, else the chat's, else none."""
-
-    @F.pandas_udf("string")
-    def scope(session: pd.Series, chat: pd.Series) -> pd.Series:
-        return pd.Series([requests.ChatRequest("m", None if s is None else s, None if pd.isna(c) else int(c)).scope for s, c in zip(session, chat)], dtype=object)
-
     t = F.col("turn")
     session = F.when(t % 3 == 0, F.concat(F.lit("s"), F.col("conv_id").cast("string"))).when(t % 3 == 1, "")
     chat = F.when(t % 3 < 2, F.col("conv_id"))
-    return table(spark, d, "conversations").select("conv_id", "turn", scope(session, chat).alias("scope"))
+    return table(spark, d, "conversations").select("conv_id", "turn", requests.scope(session, chat).alias("scope"))
 
 
 @register("chat_answer", base("and source = 'src3' and label = 1") + """, k as (select *, row_number() over (order by low, score desc, vec_id) as rank from s), n as (select count(*) as c, count(*) filter (where score >= 0.99) as m from s)
@@ -511,7 +486,7 @@ def origin_lists(spark, d):
     return table(spark, d, "nation").select("n_nationkey", text.origin_list(F.when(F.col("n_nationkey") % 2 == 0, as_json).otherwise(as_list)).alias("origins"))
 
 
-@register("truthy_words", "select event_id, case event_id % 5 when 0 then true when 1 then false when 2 then true when 3 then false end as value from events")
+@register("truthy_words", "select event_id, case event_id % 5 when 0 then true when 1 then false when 2 then true end as value from events")
 def truthy_words(spark, d):
     words = F.array(*map(F.lit, [" Yes", "OFF ", "development", "", "perhaps"]))
     return table(spark, d, "events").select("event_id", text.truthy(F.get(words, (F.col("event_id") % 5).cast("int"))).alias("value"))

@@ -1,10 +1,15 @@
-"""Requests with checked bounds."""
+"""Requests with checked bounds: objects for one request, columns for tables of them."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions.text import first_filled, not_blank
+
 EMAIL = re.compile(r"[^@\s]+@[^@\s]+\.[^@\s]+")
 
 
@@ -94,3 +99,51 @@ def signup_errors(full_name: str, email: str, password: str, again: str) -> dict
     if password != again:
         out["again"] = PASSWORDS_DIFFER
     return out
+
+
+# the same rules as columns; null breaks a bound
+
+
+def _holds(*tests: Column) -> Column:
+    out = F.lit(True)
+    for test in tests:
+        out &= F.coalesce(test, F.lit(False))
+    return out
+
+
+def query_in_bounds(query: Column, top_k: Column, threshold: Column) -> Column:
+    """Whether a ``QueryRequest`` can be made."""
+    return _holds(F.length(query).between(1, 1000), not_blank(query), top_k.between(1, 20), threshold.between(0.0, 1.0))
+
+
+def chat_in_bounds(message: Column, max_context_results: Column, temperature: Column) -> Column:
+    """Whether a ``ChatRequest`` can be made."""
+    return _holds(F.length(message).between(1, 2000), max_context_results.between(1, 10), temperature.between(0.0, 1.0))
+
+
+def similar_in_bounds(top_k: Column) -> Column:
+    """Whether a ``SimilarRequest`` can be made."""
+    return _holds(top_k.between(1, 10))
+
+
+def registration_in_bounds(full_name: Column, email: Column, password: Column, phone_number: Column) -> Column:
+    """Whether a ``Registration`` can be made; a phone number may be missing."""
+    phone = phone_number.isNull() | (F.length(phone_number) <= 20)
+    return _holds(F.length(full_name).between(1, 100), email.rlike(rf"(?U)\A(?:{EMAIL.pattern})\z"), F.length(password).between(6, 100), phone)
+
+
+def signup_messages(full_name: Column, email: Column, password: Column, again: Column) -> dict[str, Column]:
+    """The messages of ``signup_errors`` by field, null where a field is in order; a missing value is empty."""
+    given = [F.coalesce(c, F.lit("")) for c in (full_name, email, password, again)]
+    name, mail, word, second = given
+    return {
+        "full_name": F.when(~not_blank(name), NAME_MISSING),
+        "email": F.when(~not_blank(mail), EMAIL_MISSING).when(~mail.rlike(r"(?U)\S+@\S+\.\S+"), EMAIL_WRONG),
+        "password": F.when(word == "", PASSWORD_MISSING).when(F.length(word) < 8, PASSWORD_SHORT),
+        "again": F.when(word != second, PASSWORDS_DIFFER),
+    }
+
+
+def scope(session_id: Column, chat_id: Column) -> Column:
+    """``ChatRequest.scope``: the session, else the chat, else null."""
+    return F.coalesce(first_filled(session_id), chat_id.cast("string"))

@@ -46,12 +46,13 @@ def retrieve(rows: DataFrame, query: Sequence[float], top_k: int = 5, threshold:
         columns = [c for c in rows.columns if c in PROMOTED]
         held = rows.where(compiled(where_clause(None, session_id, user_id), columns) & same_metadata(metadata, columns))
         if boosted:
-            found, method, reason, amp = ranking.boosted_search(held, query, threshold, top_k, order, settings, digits=digits)
+            found, method, reason, amp = ranking.boosted_search(held, query, threshold, top_k, order, settings, digits=digits, strict=strict)
             count = amp.count
         else:
-            count = held.count()
+            count, misfits = held.agg(F.count("*"), F.count_if(ranking.misfit(query))).first()
             method, reason = (ranking.CLASSICAL, None) if count else (ranking.NONE, ranking.NO_CANDIDATES)
-            found = ranking.classical(held, query, top_k, order, method, digits)
+            rows_ = ranking.unscored(held) if misfits and not strict else ranking.scored(held, query, digits)
+            found = ranking.informative_first(rows_, top_k, order).withColumn("search_method", F.lit(method))
         found = rows.sparkSession.createDataFrame(found.collect(), found.schema)  # top_k rows
         return envelope(found, method, reason, count)
     except Exception:

@@ -6,6 +6,7 @@ Streaming's checkpoint remembers them) and then ends.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -23,8 +24,10 @@ def ingest_new(spark: SparkSession, folder: str, glob: str, collection: Collecti
     """Start a run over the files that are new; wait for it with ``awaitTermination``."""
     files = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", glob).load(folder)
 
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def enter(batch, number: int) -> None:
-        # a batch that is delivered again has its number again, so its rows have their ids again
-        ingest(with_hash(batch), collection, embedder, extractor, session_id, user_id, processed_at=f"batch {number}")
+        # a batch of this stream that is delivered again has its number again, so its rows have their ids again
+        ingest(with_hash(batch), collection, embedder, extractor, session_id, user_id, delivery=f"stream {stream} batch {number}")
 
     return files.writeStream.foreachBatch(enter).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlspike.operators import accounts, cells, context, embedding, ranking, sessions
-from marlspike.plans import ingest, retrieve
+from marlspike.plans import ingest, requests, retrieve
 from marlspike.plans.requests import ChatRequest, Registration
 from marlspike.settings import Settings
 from marlspike.sources import collection, files, pdf, tables
@@ -99,6 +99,52 @@ def test_any_number_of_batch_queries_goes_in_blocks(spark):
     assert sorted((r.q, r.rank) for r in small.collect()) == [(i, k) for i in range(10) for k in (1, 2)]
 
 
+@pytest.mark.parametrize("boosted", [True, False])
+def test_a_vector_of_another_length_gives_all_zeros_through_retrieve(spark, boosted):
+    rows = spark.createDataFrame([(0, "0", "doc", [1.0, 0.0], {}), (1, "1", "doc", [1.0], {})], "ingest_seq long, id string, document string, embedding array<double>, metadata map<string,string>")
+    e = retrieve.retrieve(rows, [1.0, 0.0], boosted=boosted)
+    assert [(r.id, r.similarity_score) for r in e.results.collect()] == [("0", 0.0), ("1", 0.0)]
+    assert (e.search_method, e.fallback_reason) == (("classical_fallback", "no_marked_items") if boosted else ("classical", None))
+    assert {r.similarity_score for r in retrieve.retrieve(rows, [1.0, 0.0], boosted=boosted, strict=True).results.collect()} != {0.0}
+
+
+def test_two_streams_into_one_collection_keep_their_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_text("Words of a file that two sessions have")
+    c, model = Collection(spark, str(tmp_path / "c")), embedding.HashEmbedder(16)
+    for _ in range(2):  # the second run of each stream finds nothing new
+        for session in ("s1", "s2"):
+            ingest_new(spark, str(tmp_path), "*.pdf", c, model, str(tmp_path / f"at-{session}"), files.text_pages, session).awaitTermination()
+    rows = c.open().collect()
+    assert sorted(r.session_id for r in rows) == ["s1", "s2"]
+    assert all(dt.datetime.fromisoformat(r.metadata["processed_at"]) for r in rows)
+
+
+def test_request_columns_agree_with_requests(spark):
+    def made(f, *values):
+        try:
+            f(*values)
+        except (ValueError, TypeError):
+            return False
+        return True
+
+    texts = ["", " ", "\u2003", "a", "x" * 100, "x" * 101, "x" * 1000, "x" * 1001, "é" * 2000, "y" * 2001]
+    mails = ["", "a@b.c", "a@b", "a b@c.d", "a@b.c\n", " a@b.c", "é@ü.ö", "a@@b.c", "a@b.c.d"]
+    rows = [(t, m, k, x) for t in texts for m in mails[: 3 if len(t) > 1 else None] for k, x in ((0, 0.0), (1, 1.0), (10, 0.5), (11, 1.1), (20, -0.1), (21, 0.5))]
+    t, m, k, x = (F.col(c) for c in "tmkx")
+    found = spark.createDataFrame(rows, "t string, m string, k int, x double").select(
+        "t", "m", "k", "x", requests.query_in_bounds(t, k, x).alias("query"), requests.chat_in_bounds(t, k, x).alias("chat"), requests.similar_in_bounds(k).alias("similar"), requests.registration_in_bounds(t, m, t, F.repeat(F.lit("5"), k)).alias("registration"),
+        F.struct(*[v.alias(n) for n, v in requests.signup_messages(t, m, t, F.left(t, F.lit(50))).items()]).alias("signup"), requests.scope(t, k).alias("scope"),
+    )
+    for r in found.collect():
+        assert r.query == made(requests.QueryRequest, r.t, r.k, r.x) and r.similar == made(requests.SimilarRequest, "d", r.k)
+        assert r.chat == made(lambda: ChatRequest(r.t, max_context_results=r.k, temperature=r.x))
+        assert r.registration == made(Registration, r.t, r.m, r.t, "5" * r.k), r
+        assert {n: v for n, v in r.signup.asDict().items() if v} == requests.signup_errors(r.t, r.m, r.t, r.t[:50]), r
+        assert r.scope == ChatRequest("m", r.t, r.k).scope
+    missing = spark.createDataFrame([(None, None, None, None)], "t string, m string, k int, x double").select(requests.query_in_bounds(t, k, x), requests.chat_in_bounds(t, k, x), requests.similar_in_bounds(k), requests.registration_in_bounds(t, m, t, t)).first()
+    assert set(missing) == {False}
+
+
 def test_retrieve_scopes_and_errors(spark):
     rows = one_hot(spark, 4).union(one_hot(spark, 4, "session-2", "2").withColumn("id", F.concat(F.lit("b"), "id")))
     e = retrieve.retrieve(rows, axis(0, 4), 1, 0.1, session_id="session-1", user_id=1)

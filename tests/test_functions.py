@@ -88,8 +88,8 @@ def test_text_rules(spark):
         text.password_strength(F.lit("abc")), text.password_strength(F.lit("abcdefgh1")), text.password_strength(F.lit("Abcdefgh1!")), text.file_name(F.lit("/x/y.pdf")),
     ).first()
     assert list(got) == ["x" * 50, "y" * 50 + "...", "kept", "kept", "a b", "Weak", "Medium", "Strong", "y.pdf"]
-    words = spark.createDataFrame([("yes",), (" OFF ",), ("maybe",), ("prod",), ("Debug",)], "w string").select(text.truthy(F.col("w"))).collect()
-    assert [w[0] for w in words] == [True, False, None, False, True]
+    words = spark.createDataFrame([("yes",), (" OFF ",), ("maybe",), ("prod",), ("Debug",), ("",), (" ",)], "w string").select(text.truthy(F.col("w"))).collect()
+    assert [w[0] for w in words] == [True, False, None, False, True, None, None]
     lists = spark.createDataFrame([('["http://a/", "\'b\'"]',), (" http://a/ , 'c' ,",)], "t string").select(text.origin_list(F.col("t"))).collect()
     assert [x[0] for x in lists] == [["http://a", "b"], ["http://a", "c"]]
 
