@@ -423,6 +423,9 @@ def first_result_by_name(spark, d):
     return sessions.files_with_results(files, results).select("id", "file_name", "result")
 
 
+from . import rollups as rollups  # noqa: E402 - its queries have the SQL of those above
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Boosted, scoped, informative-first top-k."""
     return boosted_topk(spark, d)

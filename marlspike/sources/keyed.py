@@ -88,7 +88,8 @@ class KeyedStore(Versioned):
             functools.reduce(DataFrame.unionAll, parts).write.parquet(f"{self.path}/data/{folder}")
             written[name] = folder
         tables = {n: state["tables"].get(n, {"base": None, "changes": []}) for n in self.tables}
-        after = {"tables": {n: h | {"changes": [*h["changes"], written[n]]} if n in written else h for n, h in tables.items()}}
+        rest = {k: v for k, v in state.items() if k not in ("number", "tables")}
+        after = rest | {"tables": {n: h | {"changes": [*h["changes"], written[n]]} if n in written else h for n, h in tables.items()}}
         try:
             self._checked(written, after)
         except Refused:
@@ -128,7 +129,7 @@ class KeyedStore(Versioned):
                 self.read(name, state).withColumn("_gone", F.lit(False)).write.parquet(f"{self.path}/data/{folder}")
                 held = {"base": folder, "changes": []}
             tables[name] = held
-        self._put(state["number"], {"tables": tables})
+        self._put(state["number"], {k: v for k, v in state.items() if k != "number"} | {"tables": tables})
         return state["number"] + 1
 
     def vacuum(self) -> int:

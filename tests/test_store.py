@@ -86,3 +86,38 @@ def test_a_crash_leaves_all_tables_of_the_last_version(spark, store, tmp_path, m
     s = ChatStore(spark, str(tmp_path / "store"))
     assert ids(s, "chats") == [10] and ids(s, "chat_history") == [100]
     assert s.vacuum() > 0 and ids(s, "chats") == [10] and ids(s, "users") == [1, 2]
+
+
+def test_segments_number_messages_within_chats(spark):
+    from marlspike.operators import segments, sessions
+
+    rows = [(k, (0 if k % 3 else k % 7) if k % 50 else None, "" if k % 4 == 0 else f"in {k}", f"out {k}" if k % 5 else " ", k // 9) for k in range(600)]
+    history = spark.createDataFrame(rows, "id long, chat_id long, input_data string, output_data string, t long").withColumn("created_at", F.timestamp_seconds("t")).repartition(4)
+    want = {}
+    for k, chat, i, o, t in sorted(rows, key=lambda r: (r[4], r[0])):
+        want.setdefault(chat, []).extend([f"user_{k}"] * bool(i.strip()) + [f"bot_{k}"] * bool(o.strip()))
+    got = segments.session_segments(history, 7, range_rows=40).collect()
+    assert all(len(r.messages) == 7 or r.segment == (len(want[r.chat_id]) - 1) // 7 for r in got)
+    found = {}
+    for r in sorted(got, key=lambda r: r.segment):
+        found.setdefault(r.chat_id, []).extend(m.id for m in r.messages)
+    assert found == want
+    hot = max(len(r.messages) for r in got)
+    assert hot <= 7 and len(want[0]) > 300  # a chat with most messages is many rows
+    chats = spark.createDataFrame([(k, "" if k else "named") for k in range(9)], "id long, chat_name string").withColumn("created_at", F.timestamp_seconds(F.col("id")))
+    plain = {r.id: (r.title, r.message_count, r.latest_input, r.latest_output) for r in sessions.sidebar(sessions.sessions(chats, history)).collect()}
+    assert {r.id: (r.title, r.message_count, r.latest_input, r.latest_output) for r in segments.sidebar_rollup(chats, history).collect()} == plain
+    assert segments.session_segments(history.limit(0)).collect() == []
+
+
+def test_a_batch_that_comes_again_does_not_count_twice(spark, tmp_path):
+    from marlspike.streaming.rollup import Rollup
+
+    schema = "chat long, at long, role string, text string"
+    first = spark.createDataFrame([(1, 5, "user", "second"), (1, 6, "assistant", "answer"), (2, 1, "system", "no"), (2, 2, "user", "  ")], schema)
+    late = spark.createDataFrame([(1, 1, "user", "f" * 60), (1, 2, "assistant", "early"), (3, 1, "assistant", "hi")], schema)
+    kept = Rollup(spark, str(tmp_path / "kept"))
+    assert kept.enter(first, "a", 0) and not kept.enter(first, "a", 0) and kept.enter(late, "a", 1) and not kept.enter(late, "a", 1)
+    kept.compact()
+    assert not kept.enter(late, "a", 1) and kept.enter(late.where("chat = 3"), "b", 0)
+    assert sorted(tuple(r) for r in Rollup(spark, str(tmp_path / "kept")).rows().collect()) == [(1, 4, "second", "answer", "f" * 50 + "..."), (3, 2, None, "hi", "New Chat")]
