@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, not_blank, session_title
 
+# Fixed value: a message that callers compare.
+NO_CHANGES = "No data to update"
 WELCOME = "This chat is empty. Add files, then ask about what they say."
 
 
@@ -115,7 +117,7 @@ def row_updated(table: DataFrame, row_id: int, changes: dict[str, Any]) -> DataF
     """The row with the values that are not None; an update without any is an error."""
     given = {k: v for k, v in changes.items() if v is not None}
     if not given:
-        raise ValueError("No data to update")
+        raise ValueError(NO_CHANGES)
     kinds = dict(table.dtypes)
     return table.withColumns({k: F.when(F.col("id") == row_id, F.lit(v).cast(kinds[k])).otherwise(F.col(k)) for k, v in given.items()})
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
+    # Default sizes, bounds and names.
     chunk_size: int = 1000
     chunk_overlap: int = 200
     separators: tuple[str, ...] = ("\n\n", "\n", " ", "")
