@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .shared import as_bytes, column, output
 
 LONG = 256
-CACHED = 300_000
+CACHED = 600_000
 CACHED_CHARS = 64
 ROUND_CHARS = 8 << 20
 MAX_FILE = 64 << 20
@@ -223,6 +223,7 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in held["added_tokens"]}
         names = sorted(self.added, key=len, reverse=True)
         self.added_at = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.signed = not any(n.isalnum() for n in names)  # each has a character that is neither letter nor digit
         self.joins_bytes = (held["decoder"] or {}).get("type") == "ByteLevel"
         if held["decoder"] and not self.joins_bytes:
             raise ValueError("only the byte-level decoder, or none, is supported")
@@ -232,7 +233,7 @@ class Vocabulary:
 
     def words(self, chunk: str) -> list[bytes | int]:
         """The words (bytes) of a text, and ids of added tokens, in order."""
-        if not self.added_at or not self.added_at.search(chunk):
+        if not self.added_at or (self.signed and chunk.isalnum()) or not self.added_at.search(chunk):
             return self._split(chunk)
         found: list[bytes | int] = []
         for part in self.added_at.split(chunk):
