@@ -4,11 +4,13 @@ Candidates are rows (id, document, embedding, metadata, pos...); ``pos`` columns
 the candidates' order and break ties.  A single query is a literal in the plan, so a
 top-k is one scan and ``TakeOrderedAndProject``.  The boost depends on positions
 among at most ``2^max_qubits`` candidates: one aggregate row decides the path first,
-and only on the boosted path are those few rows numbered.
+and only on the boosted path are those rows numbered, in one task up to ``ROWS_BLOCK``
+and by ranges of their order beyond.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -24,6 +26,7 @@ from ..functions.amplify import Amplification, boosted, target
 from ..functions.text import low_information
 from ..functions.vectors import cosine_to, literal, squared_distance
 from ..settings import DEFAULTS, Settings
+from ..sources.collection import scratch_dir
 
 # Method and reason labels of a ranked result.
 CLASSICAL, FALLBACK, BOOSTED, NONE = "classical", "classical_fallback", "quantum_enhanced", "none"
@@ -73,11 +76,34 @@ def classical(candidates: DataFrame, query: Sequence[float], top_k: int = 5, ord
     return informative_first(scored(candidates, query, digits, strict), top_k, order).withColumn("search_method", F.lit(method))
 
 
+def numbered(rows: DataFrame, count: int, order: Sequence[str]) -> DataFrame:
+    """``rows`` with their place in ``order``, from 0, as ``pos``.
+
+    More than ``ROWS_BLOCK`` rows are stored in ranges of their order first, so that none of
+    them is numbered apart from the range it was counted in; a place is that in its
+    range after the sizes of the ranges before.
+    """
+    by = [F.col(c).asc() for c in order]
+    if count <= ROWS_BLOCK:
+        return rows.withColumn("pos", (F.row_number().over(Window.orderBy(*by)) - 1).cast("long"))
+    spark = rows.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    dealt = rows.repartitionByRange(-(-count // ROWS_BLOCK) * 4, *by).sortWithinPartitions(*by)
+    dealt.withColumns({"_part": F.spark_partition_id(), "pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    held = spark.read.parquet(path)
+    before, starts = 0, []
+    for part, n in held.groupBy("_part").count().orderBy("_part").collect():  # one row for each range
+        starts.append((part, before))
+        before += n
+    known = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
+    return held.join(known, "_part").withColumn("pos", F.col("pos") + F.col("_start")).drop("_part", "_start")
+
+
 def amplified(rows: DataFrame, amp: Amplification, order: Sequence[str], boost: float, bit_order: str = "reference") -> DataFrame:
     """Positions, probabilities and enhanced scores of at most 2^qubits rows with column ``marked``."""
-    placed = rows.withColumn("pos", (F.row_number().over(Window.orderBy(*[F.col(c).asc() for c in order])) - 1).cast("long"))
+    placed = numbered(rows, amp.count, order)
     hit = placed.where("marked").select(target(F.col("pos"), amp.qubits, bit_order).alias("_hit"))
-    joined = placed.join(F.broadcast(hit), placed["pos"] == hit["_hit"], "left")
+    joined = placed.join(F.broadcast(hit) if amp.marked <= ROWS_BLOCK else hit, placed["pos"] == hit["_hit"], "left")
     p = F.when(F.col("_hit").isNotNull(), F.lit(amp.on_marked)).otherwise(F.lit(amp.on_others))
     return joined.withColumn("quantum_probability", p).withColumn("enhanced_score", boosted(F.col("similarity_score"), F.col("quantum_probability"), boost)).drop("_hit")
 
@@ -109,7 +135,7 @@ def boosted_search(candidates: DataFrame, query: Sequence[float], threshold: flo
         found = found.withColumn("similarity_score", F.col("enhanced_score"))
     else:
         nothing = F.lit(None).cast("double")
-        found = rows.withColumns({"classical_similarity": nothing, "quantum_probability": nothing, "enhanced_score": nothing})
+        found = rows.withColumns({"pos": nothing.cast("long"), "classical_similarity": nothing, "quantum_probability": nothing, "enhanced_score": nothing})
     found = found.withColumn("search_method", F.lit(method))
     return (found if top_k is None else informative_first(found, top_k, order)), method, reason, amp
 
