@@ -34,6 +34,7 @@ def same(spark, d, name, tables=("embeddings", "documents")):
 BOOSTED = [
     "amplification_probabilities",
     "marked_positions",
+    "sampled_shares",
 ]
 
 
