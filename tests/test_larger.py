@@ -51,3 +51,10 @@ def test_positions_by_ranges_of_the_order(spark, monkeypatch):
     whole = some()
     monkeypatch.setattr(ranking, "ROWS_BLOCK", 100)
     assert some() == whole and [r[:2] for r in whole] == [(k, k) for k in range(3000)]
+
+
+def test_halves_of_hundredths_and_of_bytes(spark, tmp_path):
+    """Sizes that lie between two decimals, and prices between two whole sizes."""
+    price = F.when(F.col("id") % 2 == 0, F.col("id") * 655.36).otherwise(F.col("id") + 0.125)
+    spark.range(4000).select(F.col("id").alias("o_orderkey"), price.cast("double").alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    same(spark, str(tmp_path), "megabytes", ["orders"])
