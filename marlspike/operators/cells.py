@@ -13,14 +13,15 @@ within that sample.  Every row is indexed.  Vectors that are null or of another
 are in the cell -1, which no query looks into; such queries find nothing.
 
 Scale: the driver holds the sample, centres, books and the number of rows of each cell
-(``MAX_CELLS`` at most).  Cells are split into blocks of rows and queries, so neither a cell
-with a third of all rows nor one that all queries look into is one task.
+(``MAX_CELLS`` at most where they are fitted).  Cells are split into blocks of rows and queries, so neither a cell
+with a third of all rows nor one that all queries look into is one task.  Distances are
+held ``HELD`` at a time, however many rows a batch and cells an index has.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,6 +39,16 @@ SAMPLE = 20_000
 BOOK = 256
 GROUP = 4
 NOWHERE = -1
+#: Distances that are held at once.
+HELD = 1 << 20
+#: The most cells that are put in order by distances taken term by term, as SQL takes them.
+EXACT = 64
+
+
+def _parts(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of ``rows`` with at most ``HELD`` distances to ``columns`` others, a row at least."""
+    step = max(1, HELD // max(1, columns))
+    return (slice(a, min(a + step, rows)) for a in range(0, rows, step))
 
 
 def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -45,11 +56,16 @@ def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T))
 
 
+def _closest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of ``x`` the number of the nearest row of ``y``; of equal ones the lower."""
+    return np.concatenate([np.zeros(0, np.int64), *(_gaps(x[s], y).argmin(axis=1) for s in _parts(len(x), len(y)))])
+
+
 def _means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """``k`` centres of ``x`` by Lloyd's rounds; a centre without rows stays where it is."""
     centres = x[np.random.default_rng(seed).permutation(len(x))[:k]]
     for _ in range(rounds):
-        near = _gaps(x, centres).argmin(axis=1)
+        near = _closest(x, centres)
         centres = np.array([x[near == j].mean(axis=0) if (near == j).any() else c for j, c in enumerate(centres)])
     return centres
 
@@ -81,7 +97,7 @@ class CellIndex:
         asked = x[:200]
         gap = _gaps(asked, x)
         exact = np.argsort(gap, axis=1, kind="stable")[:, :top_k]
-        own = _gaps(x, centres).argmin(axis=1)
+        own = _closest(x, centres)
         depth = (index.nearest_cells(asked)[:, None, :] == own[exact][:, :, None]).argmax(axis=2)  # how far down a query's cells each neighbour's cell is
         index.probes = int(np.quantile(depth, recall, method="higher")) + 1
         looks = index.looks(asked, index.codes(x))
@@ -97,11 +113,25 @@ class CellIndex:
 
     def nearest_cells(self, x: np.ndarray) -> np.ndarray:
         """The cells to look into, nearest first; of equal ones the lower number."""
-        return np.argsort(_gaps(x, self.centres), axis=1, kind="stable")[:, : self.probes]
+        n = min(self.probes, len(self.centres))
+        out = np.zeros((len(x), n), np.int64)
+        size = (self.centres * self.centres).sum(axis=1).max(initial=0.0)
+        for s in _parts(len(x), len(self.centres)):
+            gap = _gaps(x[s], self.centres)
+            if n > EXACT:
+                out[s] = np.argsort(gap, axis=1, kind="stable")[:, :n]
+                continue
+            # matrix products round equal distances apart, so all that may be among the n are taken term by term
+            last = gap.min(axis=1, keepdims=True) if n == 1 else np.partition(gap, n - 1, axis=1)[:, n - 1 : n]
+            who, what = np.nonzero(gap <= last + 1e-12 * (size + (x[s] * x[s]).sum(axis=1, keepdims=True)))
+            how = np.concatenate([((x[s][who[p]] - self.centres[what[p]]) ** 2).sum(axis=1) for p in _parts(len(who), x.shape[1])])
+            order = np.lexsort((what, how, who))
+            out[s] = what[order][np.searchsorted(who[order], np.arange(len(gap)))[:, None] + np.arange(n)]
+        return out
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """One byte for each ``GROUP`` dimensions."""
-        parts = [_gaps(x[:, GROUP * k : GROUP * k + GROUP], book).argmin(axis=1) for k, book in enumerate(self.books)]
+        parts = [_closest(x[:, GROUP * k : GROUP * k + GROUP], book) for k, book in enumerate(self.books)]
         return np.array(parts, np.uint8).T.reshape(len(x), len(self.books))
 
     def looks(self, asked: np.ndarray, codes: np.ndarray) -> np.ndarray:

@@ -1,9 +1,12 @@
 """Queries over more rows than the given small tables have, against DuckDB."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlspike.operators import ranking
+from marlspike.operators import cells, ranking
 from marlspike.plans import catalog
 from marlspike.settings import Settings
 
@@ -60,3 +63,36 @@ def test_halves_of_hundredths_and_of_bytes(spark, tmp_path):
     price = F.when(F.col("id") % 2 == 0, F.col("id") * 655.36).otherwise(F.col("id") + 0.125)
     spark.range(4000).select(F.col("id").alias("o_orderkey"), price.cast("double").alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
     same(spark, str(tmp_path), "megabytes", ["orders"])
+
+
+def held(work) -> float:
+    """MB that Python and numpy hold at once for ``work``."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_routing_holds_a_bounded_part_of_the_distances():
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(4000, 8)), rng.normal(size=(3000, 8))
+    centres[7] = centres[2990] = x[0]  # equal cells: the lower number
+    index = cells.CellIndex.of(centres, 3)
+    near = index.nearest_cells(x)
+    assert near[0, :2].tolist() == [7, 2990]
+    gap = ((x[:50, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    assert near[:50].tolist() == np.argsort(gap, axis=1, kind="stable")[:, :3].tolist()
+    assert held(lambda: index.nearest_cells(x)) < 64  # all distances: 92 MB
+    assert held(lambda: cells._means(x, 3000, 1, 0)) < 64
+
+
+def test_cell_search_takes_all_of_its_cells(spark, small_dir, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(cells, "MAX_CELLS", 2)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{small_dir}/embeddings.parquet'")
+    df = catalog.QUERIES["cell_search"](spark, small_dir).select("query_id", "vec_id", "distance", "rank")
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(catalog.ORACLES["cell_search"]).fetchall())
