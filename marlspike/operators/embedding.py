@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import parts
+
 
 class Embedder(Protocol):
     """Texts to vectors.  It is sent to the workers; load heavy models on first use."""
@@ -35,12 +37,13 @@ class HashEmbedder:
 
 
 def embedded(rows: DataFrame, embedder: Embedder, text_col: str = "document") -> DataFrame:
-    """Rows with ``embedding``; the model lives as long as a Python worker's task."""
+    """Rows with ``embedding``; the model lives as long as a Python worker's task and gets some hundred texts at a time."""
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series(embedder.embed(texts.fillna("").tolist()))
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in parts(batch):
+                yield pa.array(embedder.embed([t or "" for t in part.to_pylist()]), pa.list_(pa.float32()))
 
     return rows.withColumn("embedding", run(F.col(text_col)))
 

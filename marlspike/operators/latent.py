@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.collection import scratch_dir
+from .batches import parts
 
 FEATURES = 8192
 DIMENSION = 64
 OVERSAMPLE = 16
 PASSES = 3
 MAX_PARTS = 1000
-BLOCK = 1024
+BLOCK = 128
 CHUNK = 50_000
 _WORD = re.compile(r"\w+")
 
@@ -77,16 +78,14 @@ class Rows:
             out[at[head]] += np.add.reduceat(self.value[order][:, None] * products[self.row[order]], head)
 
 
-def _chunks(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[Rows]:
-    """The rows of a batch, about ``CHUNK`` values at a time."""
-    sizes = batch.column(0).value_lengths().to_numpy().astype(np.int64)
+def _chunks(at: np.ndarray, n: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> Iterator[Rows]:
+    """Rows of ``sizes`` places and counts each, about ``CHUNK`` values at a time."""
     ends = np.cumsum(sizes)
-    at, n = (c.flatten().to_numpy().astype(np.int64) for c in (batch.column(0), batch.column(1)))
     a = 0
     while a < len(sizes):
         start = ends[a] - sizes[a]
         b = max(a + 1, int(np.searchsorted(ends, start + CHUNK, "right")))
-        yield Rows(at[start : ends[b - 1]], n[start : ends[b - 1]], sizes[a:b], idf)
+        yield Rows(*(x[start : ends[b - 1]].astype(np.int64) for x in (at, n)), sizes[a:b], idf)
         a = b
 
 
@@ -103,7 +102,8 @@ class LatentEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         found = [counted(t, len(self.idf)) for t in texts]
         flat = [np.fromiter((x for pair in found for x in pair[k]), np.int64) for k in (0, 1)]
-        out = Rows(*flat, np.array([len(a) for a, _ in found], np.int64), self.idf).times(self.directions)
+        made = [rows.times(self.directions) for rows in _chunks(*flat, np.array([len(a) for a, _ in found], np.int64), self.idf)]
+        out = np.concatenate([np.zeros((0, self.dimension)), *made])
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, size, out=np.zeros_like(out), where=size > 1e-12).tolist()
 
@@ -113,8 +113,8 @@ class LatentEmbedder:
         spark = texts.sparkSession
 
         def count(batches):
-            for batch in batches:
-                found = [counted(t, features) for t in batch.column(0).to_pylist()]
+            for part in (p for batch in batches for p in parts(batch.column(0))):
+                found = [counted(t, features) for t in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)], names=["at", "n"])
 
         path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
@@ -161,7 +161,8 @@ def _product(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
         basis, idf = shared.value
         out = np.zeros((features, width))
         for batch in batches:
-            for part in _chunks(batch, idf):
+            sizes = batch.column(0).value_lengths().to_numpy().astype(np.int64)
+            for part in _chunks(*(c.flatten().to_numpy() for c in (batch.column(0), batch.column(1))), sizes, idf):
                 part.back(part.times(basis), out)
         blocks = range(0, features, BLOCK)
         task = TaskContext.get().partitionId()

@@ -3,12 +3,14 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlspike.operators import cells, ranking
+from marlspike.operators import batches, cells, chunking, embedding, latent, ranking
 from marlspike.plans import catalog
 from marlspike.settings import Settings
+from marlspike.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +98,30 @@ def test_cell_search_takes_all_of_its_cells(spark, small_dir, monkeypatch):
     con.execute(f"create view embeddings as select * from '{small_dir}/embeddings.parquet'")
     df = catalog.QUERIES["cell_search"](spark, small_dir).select("query_id", "vec_id", "distance", "rank")
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(catalog.ORACLES["cell_search"]).fetchall())
+
+
+def test_parts_of_a_batch():
+    texts = pa.array(["x" * 10, None, "", "y" * 25, "z"])
+    assert [len(p) for p in batches.parts(texts, 12, 100)] == [3, 1, 1] and [len(p) for p in batches.parts(texts, 1000, 2)] == [2, 2, 1]
+    assert [t for p in batches.parts(texts.slice(1), 12, 100) for t in p.to_pylist()] == texts.to_pylist()[1:] and not list(batches.parts(texts.slice(0, 0)))
+
+
+def test_latent_vectors_of_many_texts_at_once():
+    """As the same texts one by one, in the memory of a part of them."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 200)) for _ in range(1500)] + ["", "w1"]
+    model = latent.LatentEmbedder(rng.normal(size=(8192, 64)), np.ones(8192), np.ones(64))
+    found = model.embed(texts)
+    assert np.allclose([model.embed([t])[0] for t in texts[-5:]], found[-5:])
+    assert held(lambda: model.embed(texts[:-2])) < 150  # all at once: 290,000 values of 64 directions, twice
+
+
+def test_models_get_a_part_of_a_batch(spark):
+    class Counting:
+        """The number of texts that the model is given at once."""
+
+        def embed(self, texts):
+            return [[float(len(texts))] for _ in texts]
+
+    rows = spark.range(0, 3000, 1, 1).select(F.lit("a text").alias("document"))
+    assert embedding.embedded(rows, Counting()).agg(F.max(F.element_at("embedding", 1)), F.count("*")).first() == (batches.PART_ROWS, 3000)
