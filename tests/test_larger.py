@@ -125,3 +125,10 @@ def test_models_get_a_part_of_a_batch(spark):
 
     rows = spark.range(0, 3000, 1, 1).select(F.lit("a text").alias("document"))
     assert embedding.embedded(rows, Counting()).agg(F.max(F.element_at("embedding", 1)), F.count("*")).first() == (batches.PART_ROWS, 3000)
+
+
+def test_extractors_get_every_file_in_parts(spark):
+    rows = spark.range(0, 700, 1, 1).select(F.concat(F.lit("/"), F.col("id").cast("string")).alias("path"), F.octet_length(F.col("id").cast("string")).cast("long").alias("length"), F.when(F.col("id") != 9, F.col("id").cast("string")).cast("binary").alias("content"))
+    found = {r.path: r for r in files.extracted(files.with_hash(rows), files.text_pages, lambda b: {"title": b.decode()}).collect()}
+    assert len(found) == 700 and all(found[f"/{k}"].full_text == f"--- Page 1 ---\n\n{k}" and found[f"/{k}"].info == {"title": str(k)} for k in range(700) if k != 9)
+    assert found["/9"].error.startswith("TypeError") and found["/9"].num_pages == 0
