@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS
+from .batches import parts
 
 
 def _pieces(text: str, separator: str) -> list[str]:
@@ -63,16 +64,23 @@ def split_text(text: str | None, size: int = DEFAULTS.chunk_size, overlap: int =
     return out
 
 
+def cut(batches: Iterator[pa.Array], size: int, overlap: int, separators: Sequence[str]) -> Iterator[pa.Array]:
+    """The chunks of each text, for a part of a batch at a time."""
+    for batch in batches:
+        for part in parts(batch):
+            yield pa.array([split_text(t, size, overlap, separators) for t in part.to_pylist()], pa.list_(pa.string()))
+
+
 def chunks(texts: DataFrame, text_col: str = "text", size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, separators: Sequence[str] = DEFAULTS.separators) -> DataFrame:
     """One row for each chunk: the other columns, chunk, chunk_id (from 0), chunk_size, total_chunks."""
     separators = tuple(separators)
 
-    @F.pandas_udf("array<string>")
-    def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split_text(t, size, overlap, separators))
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return cut(batches, size, overlap, separators)
 
     rest = [c for c in texts.columns if c != text_col]
-    held = texts.select(*rest, cut(F.col(text_col)).alias("_chunks"))
+    held = texts.select(*rest, split(F.col(text_col)).alias("_chunks"))
     rows = held.select(*rest, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_id", "chunk"))
     return rows.select(*rest, "chunk_id", F.length("chunk").alias("chunk_size"), "total_chunks", "chunk")
 

@@ -132,3 +132,12 @@ def test_extractors_get_every_file_in_parts(spark):
     found = {r.path: r for r in files.extracted(files.with_hash(rows), files.text_pages, lambda b: {"title": b.decode()}).collect()}
     assert len(found) == 700 and all(found[f"/{k}"].full_text == f"--- Page 1 ---\n\n{k}" and found[f"/{k}"].info == {"title": str(k)} for k in range(700) if k != 9)
     assert found["/9"].error.startswith("TypeError") and found["/9"].num_pages == 0
+
+
+@pytest.mark.parametrize("mark", [" "])
+def test_chunks_of_a_batch_are_made_in_parts(mark):
+    texts = [(f"word{mark}" * 1000)] * 3000 + [None, "", "one"]
+    found: list[int] = []
+    cut = lambda: found.extend(len(c) for part in chunking.cut(iter([pa.array(texts)]), 1000, 200, (mark, "")) for c in part)
+    assert held(cut) < 8  # the texts of the batch: 15 MB and more
+    assert found == [len(chunking.split_text(t, separators=(mark, ""))) for t in texts]
