@@ -134,7 +134,7 @@ def test_extractors_get_every_file_in_parts(spark):
     assert found["/9"].error.startswith("TypeError") and found["/9"].num_pages == 0
 
 
-@pytest.mark.parametrize("mark", [" "])
+@pytest.mark.parametrize("mark", [" ", "\n\n"])
 def test_chunks_of_a_batch_are_made_in_parts(mark):
     texts = [(f"word{mark}" * 1000)] * 3000 + [None, "", "one"]
     found: list[int] = []
