@@ -141,3 +141,16 @@ def test_chunks_of_a_batch_are_made_in_parts(mark):
     cut = lambda: found.extend(len(c) for part in chunking.cut(iter([pa.array(texts)]), 1000, 200, (mark, "")) for c in part)
     assert held(cut) < 8  # the texts of the batch: 15 MB and more
     assert found == [len(chunking.split_text(t, separators=(mark, ""))) for t in texts]
+
+
+def test_files_of_a_batch_are_read_in_parts():
+    class Files:
+        def mapInArrow(self, read, schema):
+            return read
+
+    read = files.extracted(Files(), files.text_pages)
+    names = [f"/{k}" for k in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"path": names, "file_name": names, "file_size": [5000] * 3000, "file_hash": names, "content": [b"word " * 1000] * 3000})
+    found: list[int] = []
+    assert held(lambda: found.extend(b.num_rows for b in read([batch]))) < 8  # the files of the batch: 15 MB, more than once
+    assert sum(found) == 3000
