@@ -143,7 +143,7 @@ def test_chunks_of_a_batch_are_made_in_parts(mark):
     assert found == [len(chunking.split_text(t, separators=(mark, ""))) for t in texts]
 
 
-def test_files_of_a_batch_are_read_in_parts():
+def test_files_of_a_batch_are_read_in_parts(spark):
     class Files:
         def mapInArrow(self, read, schema):
             return read
