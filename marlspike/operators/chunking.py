@@ -81,7 +81,8 @@ def chunks(texts: DataFrame, text_col: str = "text", size: int = DEFAULTS.chunk_
 
     rest = [c for c in texts.columns if c != text_col]
     held = texts.select(*rest, split(F.col(text_col)).alias("_chunks"))
-    rows = held.select(*rest, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_id", "chunk"))
+    # posexplode would put a filter on the size below the Python step, which then runs twice
+    rows = held.select(*rest, F.size("_chunks").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_id", "chunk")).where(F.col("chunk_id").isNotNull())
     return rows.select(*rest, "chunk_id", F.length("chunk").alias("chunk_size"), "total_chunks", "chunk")
 
 

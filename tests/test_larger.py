@@ -143,6 +143,13 @@ def test_chunks_of_a_batch_are_made_in_parts(mark):
     assert found == [len(chunking.split_text(t, separators=(mark, ""))) for t in texts]
 
 
+def test_texts_are_cut_once(spark):
+    rows = chunking.chunks(spark.createDataFrame([(1, "one"), (2, None), (3, ""), (4, " "), (5, "word " * 300)], "id long, text string"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = [(k, at, len(c), len(cs), c) for k, t in ((1, "one"), (5, "word " * 300)) for cs in [chunking.split_text(t)] for at, c in enumerate(cs)]
+    assert sorted(map(tuple, rows.collect())) == want and len(want) == 3
+
+
 def test_files_of_a_batch_are_read_in_parts(spark):
     class Files:
         def mapInArrow(self, read, schema):
