@@ -16,6 +16,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ NO_MARKED, TOO_MANY, NO_CANDIDATES, FAILED = "no_marked_items", "too_many_docume
 
 #: Rows of a block of candidates that one task ranks.
 ROWS_BLOCK = 50_000
+#: Rows and queries that are scored at once within it.
+ROWS_PART, QUERIES_PART = 1024, 2048
 
 
 def scored(candidates: DataFrame, query: Sequence[float], digits: int | None = None, strict: bool = True) -> DataFrame:
@@ -184,74 +187,145 @@ def grid(queries: DataFrame, n: int, rows: DataFrame, spread: Sequence[str], que
     return left.groupBy("_q", "_r"), right.groupBy("_q", "_r")
 
 
-def _best_rows(queries: DataFrame, n: int, candidates: DataFrame, low_: Column, top_k: int, query_id: str, order: Sequence[str], digits: int | None, block: int, scores: Callable[[pa.ListArray, list[np.ndarray]], np.ndarray], sign: int = 1) -> DataFrame:
+def _vectors(rows: DataFrame, name: str) -> Column:
+    """Vectors as they are if of floats or doubles, so that floats travel as floats, or else as doubles."""
+    kept = rows.schema[name].dataType.simpleString() in ("array<float>", "array<double>")
+    return F.col(name) if kept else F.col(name).cast("array<double>")
+
+
+def _best_rows(queries: DataFrame, n: int, candidates: DataFrame, low_: Column, top_k: int, query_id: str, order: Sequence[str], digits: int | None, block: int, scores: Callable[[pa.ListArray, _Queries], np.ndarray], sign: int = 1) -> DataFrame:
     """(query_id, the candidates' columns, low, score): the ``top_k`` best rows of each query in each block of candidates.
 
     A group has a block of queries and a block of candidates, scores them by matrix
     products and keeps ``top_k`` rows for each query; neither side meets on the driver or in one task.
     """
     kept = [c for c in candidates.columns if c not in ("embedding", "document", "low_information")]
-    rows = candidates.select(F.struct(*kept).alias("row"), low_.alias("low"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = candidates.select(F.struct(*kept).alias("row"), low_.alias("low"), _vectors(candidates, "embedding").alias("embedding"))
     schema = T.StructType([queries.schema[query_id], T.StructField("row", rows.schema["row"].dataType), T.StructField("low", T.BooleanType()), T.StructField("score", T.DoubleType())])
     id_type = to_arrow_type(schema[0].dataType)
     margin = 0.0 if digits is None else 10.0**-digits
-    asked, held = grid(queries.select(query_id, F.col("query").cast("array<double>").alias("query")), n, rows, [*[f"row.{c}" for c in order], "embedding"], query_id, block, ROWS_BLOCK)
+    asked, held = grid(queries.select(query_id, _vectors(queries, "query").alias("query")), n, rows, [*[f"row.{c}" for c in order], "embedding"], query_id, block, ROWS_BLOCK)
 
     def rank(asked: pa.Table, table: pa.Table) -> pa.Table:
-        ids = asked.column(query_id).to_pylist()
-        vectors = [np.array(v or [], np.float64) for v in asked.column("query").to_pylist()]
-        found: list[list[tuple]] = [[] for _ in ids]  # of each query: (low, -score, order columns..., row)
-        least = np.full(len(ids), -np.inf)  # what a row must reach, with 10 less for low information
         row = table.column("row").combine_chunks()
         embeddings, lows = table.column("embedding").combine_chunks(), np.array(table.column("low").to_pylist(), bool)
-        columns = [row.field(kept.index(c)).to_pylist() for c in order]
-        for start in range(0, len(table) if ids else 0, 1024):
-            score = scores(embeddings.slice(start, 1024), vectors)
-            flags = lows[start : start + 1024]
-            value = score - 10.0 * flags[:, None]
-            if len(value) > top_k:  # in a batch, what is below its own top_k cannot stay either
-                least = np.maximum(least, np.partition(value, -top_k, axis=0)[-top_k] - margin)
-            hit, query = np.nonzero((value >= least - margin) & (value > -np.inf))
-            exact = np.sign(sign) * _rounded(sign * score[hit, query], digits)
-            for i, q, s in zip(hit.tolist(), query.tolist(), exact.tolist()):
-                found[q].append((bool(flags[i]), -s, *((c[start + i] is not None, c[start + i]) for c in columns), start + i))
-            for q in np.unique(query).tolist():
-                found[q] = sorted(found[q])[:top_k]
-                if len(found[q]) == top_k:
-                    least[q] = -found[q][-1][1] - 10.0 * found[q][-1][0]
-        lines = [(q, f) for q, fs in zip(ids, found) for f in fs]
-        taken = row.take(pa.array([f[-1] for _, f in lines], pa.int64()))
-        return pa.table({query_id: pa.array([q for q, _ in lines], id_type), "row": taken, "low": pa.array([f[0] for _, f in lines], pa.bool_()), "score": pa.array([-f[1] for _, f in lines], pa.float64())})
+        place = _places([row.field(kept.index(c)) for c in order], len(table))
+        queries = asked.column("query").combine_chunks()
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, row and exact score
+        for first in range(0, len(asked) if len(table) else 0, QUERIES_PART):
+            best = _best(embeddings, lows, place, _Queries(queries.slice(first, QUERIES_PART)), top_k, margin, lambda x: np.sign(sign) * _rounded(sign * x, digits), scores)
+            found = [np.concatenate(x) for x in zip(found, (best[0] + first, *best[1:]))]
+        ids = asked.column(query_id).combine_chunks().take(pa.array(found[0])).cast(id_type)
+        return pa.table({query_id: ids, "row": row.take(pa.array(found[1])), "low": pa.array(lows[found[1]]), "score": pa.array(found[2])})
 
     return asked.cogroup(held).applyInArrow(rank, schema).select(query_id, "row.*", "low", "score")
 
 
-def _by_size(vectors: pa.ListArray, queries: list[np.ndarray]):
-    """(rows, queries, their matrices) for each length that both have."""
-    sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    for n in {len(q) for q in queries} & set(sizes.tolist()):
-        rows, columns = np.flatnonzero(sizes == n), [k for k, q in enumerate(queries) if len(q) == n]
-        a = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), n)
-        yield np.ix_(rows, columns), a, np.array([queries[k] for k in columns], np.float64).reshape(len(columns), n)
+def _places(columns: list[pa.Array], count: int) -> np.ndarray:
+    """Each row's place in the order of these columns, nulls first; equal rows as they come."""
+    if not columns:
+        return np.arange(count)
+    names = [str(k) for k in range(len(columns))]
+    sorted_ = pc.sort_indices(pa.table(columns, names=names), sort_keys=[(k, "ascending") for k in names], null_placement="at_start")
+    out = np.empty(count, np.int64)
+    out[sorted_.to_numpy()] = np.arange(count)
+    return out
 
 
-def _cosines(vectors: pa.ListArray, queries: list[np.ndarray]) -> np.ndarray:
+def _best(vectors: pa.ListArray, lows: np.ndarray, place: np.ndarray, queries: _Queries, top_k: int, margin: float, exact: Callable[[np.ndarray], np.ndarray], scores: Callable[[pa.ListArray, _Queries], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, exact score) of the ``top_k`` rows of each query, by low, score and place; a part of the rows at a time."""
+    query, row, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least = np.full(queries.count, -np.inf)  # what a row must reach, with 10 less for low information
+    for start in range(0, len(vectors), ROWS_PART):
+        part = scores(vectors.slice(start, ROWS_PART), queries)
+        flags = lows[start : start + ROWS_PART]
+        value = part - 10.0 * flags[:, None] if flags.any() else part
+        hit = value >= least - margin
+        if len(value) > top_k and np.count_nonzero(hit) > 4 * top_k * queries.count:  # what is below its own top_k cannot stay either
+            least = np.maximum(least, _reached(value, top_k) - margin)
+            hit = value >= least - margin
+        i, q = np.divmod(np.flatnonzero(hit), queries.count)
+        some = value[i, q] > -np.inf
+        i, q = i[some], q[some]
+        if not len(q):
+            continue
+        again = np.zeros(queries.count, bool)
+        again[q] = True
+        old = again[query]
+        qs, rows, s = np.concatenate([query[old], q]), np.concatenate([row[old], i + start]), np.concatenate([score[old], exact(part[i, q])])
+        by = np.lexsort((place[rows], -s, lows[rows], qs))
+        qs, rows, s = qs[by], rows[by], s[by]
+        nth = np.arange(len(qs)) - np.searchsorted(qs, qs)
+        stay = nth < top_k
+        last = nth == top_k - 1
+        least[qs[last]] = s[last] - 10.0 * lows[rows[last]]
+        query, row, score = (np.concatenate([a[~old], b[stay]]) for a, b in ((query, qs), (row, rows), (score, s)))
+    return query, row, score
+
+
+def _reached(value: np.ndarray, top_k: int) -> np.ndarray:
+    """What ``top_k`` rows of each column reach: the ``top_k``-th best of the maxima of groups of rows, which is close to that of all."""
+    groups = 8 * top_k
+    if len(value) >= 2 * groups:
+        value = value[: len(value) // groups * groups].reshape(-1, groups, value.shape[1]).max(axis=0)
+    return np.partition(value, -top_k, axis=0)[-top_k]
+
+
+class _Queries:
+    """Vectors of queries by length: (their places, the matrix, their norms)."""
+
+    def __init__(self, vectors: pa.ListArray):
+        self.count = len(vectors)
+        self.of = {n: (at, m, np.sqrt((m * m).sum(axis=1))) for n, at, m in _by_size(vectors)}
+
+
+def _by_size(vectors: pa.ListArray):
+    """(length, places, matrix) of vectors of each length."""
+    sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes).tolist():
+        if n >= 0:
+            at = np.flatnonzero(sizes == n)
+            own = vectors if len(at) == len(sizes) else vectors.take(pa.array(at))
+            yield n, at, own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
+
+
+def _pairs(vectors: pa.ListArray, queries: _Queries, others: float, score: Callable[..., np.ndarray]) -> np.ndarray:
+    """``score`` of the matrices and norms of every length that both have, ``others`` elsewhere."""
+    out = None
+    for n, rows, a in _by_size(vectors):
+        if n in queries.of:
+            columns, b, size = queries.of[n]
+            with np.errstate(all="ignore"):
+                found = score(a, np.sqrt((a * a).sum(axis=1)), b, size)
+            if found.shape == (len(vectors), queries.count):
+                return found
+            out = np.full((len(vectors), queries.count), others) if out is None else out
+            out[np.ix_(rows, columns)] = found
+    return np.full((len(vectors), queries.count), others) if out is None else out
+
+
+def _cosines(vectors: pa.ListArray, queries: _Queries) -> np.ndarray:
     """Cosine of every vector with every query, 0 to 1; 0 where one is zero, not a number, missing or of another length."""
-    out = np.zeros((len(vectors), len(queries)))
-    for place, a, b in _by_size(vectors, queries):
-        with np.errstate(all="ignore"):
-            found = (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1)))
-        out[place] = np.where(np.isfinite(found), np.maximum(found, 0.0), 0.0)
-    return out
 
+    def score(a, size, b, sizes):
+        found = a @ b.T
+        found /= size[:, None] * sizes
+        if not all(((x > 1e-100) & (x < 1e100)).all() for x in (size, sizes)):
+            found[~np.isfinite(found)] = 0.0
+        return np.maximum(found, 0.0, out=found)
 
-def _nearness(vectors: pa.ListArray, queries: list[np.ndarray]) -> np.ndarray:
+    return _pairs(vectors, queries, 0.0, score)
+
+
+def _nearness(vectors: pa.ListArray, queries: _Queries) -> np.ndarray:
     """Minus the squared L2 distance of every vector and every query; below everything where one is missing or of another length."""
-    out = np.full((len(vectors), len(queries)), -np.inf)
-    for place, a, b in _by_size(vectors, queries):
+
+    def score(a, _, b, __):
         found = -np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T))
-        out[place] = np.where(np.isfinite(found), found, -np.inf)
-    return out
+        found[~np.isfinite(found)] = -np.inf
+        return found
+
+    return _pairs(vectors, queries, -np.inf, score)
 
 
 def batch_top_k(queries: DataFrame, candidates: DataFrame, top_k: int, query_id: str, order: Sequence[str], digits: int | None = None, max_queries: int | None = None, block: int = 4096) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from marlspike.operators import embedding, latent, ranking
 from marlspike.plans import catalog
@@ -146,3 +148,40 @@ def test_texts_are_read_once(spark, small_dir):
     """The result is made of the counted words: its plan reads no text again."""
     found = catalog.QUERIES["latent_similar"](spark, small_dir)
     assert not [f for f in found.inputFiles() if "documents" in f] and found.count() > 0
+
+
+def test_best_rows_of_blocks_are_those_of_all_pairs(monkeypatch):
+    """With ties, rows low in information, missing vectors and other lengths, whatever the parts."""
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(-2, 3, 3).astype(float).tolist() for _ in range(400)] + [None, [], [1.0, 2.0], [0.0, 0.0, 0.0]]
+    asked = [rng.integers(-2, 3, 3).astype(float).tolist() for _ in range(30)] + [None, [2.0, 1.0]]
+    lows, ids = rng.random(len(rows)) < 0.3, rng.permutation(len(rows))
+    place = ranking._places([pa.array([None if k == 7 else int(k) for k in ids])], len(rows))
+
+    def score(a, b):
+        if not a or not b or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return max(0.0, float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))))
+
+    want = set()
+    for q, b in enumerate(asked):
+        best = sorted((bool(lows[k]), -round(score(a, b), 4), ids[k] != 7, ids[k], k) for k, a in enumerate(rows))[:6]
+        want |= {(q, k, -s) for _, s, _, _, k in best}
+    vectors, queries = (pa.array(x, pa.list_(pa.float64())) for x in (rows, asked))
+    for part in (1024, 64, 5):
+        monkeypatch.setattr(ranking, "ROWS_PART", part)
+        q, k, s = ranking._best(vectors, lows, place, ranking._Queries(queries), 6, 1e-4, lambda x: ranking._rounded(x, 4), ranking._cosines)
+        assert {(a, b, round(c, 4)) for a, b, c in zip(q.tolist(), k.tolist(), s.tolist())} == want and len(q) == len(want)
+
+
+def test_many_equal_rows_are_ranked_fast(spark):
+    """4 million pairs that tie: 2.4 s on 4 cores, and 21.6 when each of them was put in a list."""
+    one = F.array(F.lit(0.6), F.lit(0.8)).cast("array<float>")
+    rows = spark.range(20_000).select(F.col("id"), one.alias("embedding"), F.lit(False).alias("low_information"))
+    queries = spark.range(200).select(F.col("id").alias("q"), one.alias("query"))
+    run = lambda n: sorted((r.q, r["rank"], r.id) for r in ranking.batch_top_k(queries.where(f"q < {n}"), rows, 3, "q", ["id"], 4).collect())
+    run(1)
+    start = time.perf_counter()
+    found = run(200)
+    took = time.perf_counter() - start
+    assert found == [(q, k + 1, k) for q in range(200) for k in range(3)] and took < 5, took
